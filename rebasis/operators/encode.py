@@ -67,10 +67,12 @@ class HashedTermEncoder:
         return encode
 
 
-def encode_udf(encoder: Encoder, batch_size: int = BATCH_SIZE, half: bool = False):
+def encode_udf(encoder: Encoder, batch_size: int = BATCH_SIZE, half: bool = False,
+               distinct_calls: bool = False):
     """A column function text -> unit vector; ``half`` rounds to 16-bit floats.
 
-    Never deduplicated by the optimizer, so calling it twice encodes twice.
+    With ``distinct_calls`` the optimizer may not merge equal calls, so that
+    calling it twice encodes twice.
     """
     dim, name = encoder.dim, encoder.name
 
@@ -93,7 +95,7 @@ def encode_udf(encoder: Encoder, batch_size: int = BATCH_SIZE, half: bool = Fals
     udf = predict_batch_udf(
         make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
     )
-    return udf.asNondeterministic() if hasattr(udf, "asNondeterministic") else udf
+    return udf.asNondeterministic() if distinct_calls else udf
 
 
 def encode(df: DataFrame, encoder: Encoder, prefix: str = "", text: str = "text",

@@ -49,7 +49,8 @@ def determinism_audit(texts: DataFrame, encoder: Encoder, prefix: str = "", text
                       least: float = DETERMINISM_COSINE, batch_size: int = BATCH_SIZE) -> DataFrame:
     """Encode each text twice in one pass and compare; one row."""
     given = with_prefix(prefix, text)
-    first, second = encode_udf(encoder, batch_size), encode_udf(encoder, batch_size)
+    first = encode_udf(encoder, batch_size, distinct_calls=True)
+    second = encode_udf(encoder, batch_size, distinct_calls=True)
     pairs = texts.select(first(given).alias("a"), second(given).alias("b"))
     return pairs.select(dot("a", "b").alias("cosine")).agg(
         F.lit(encoder.name).alias("model"),

@@ -48,11 +48,14 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schemas.MANIFEST).json(f"{root}/manifest")
 
 
-def sidecars(spark: SparkSession, pattern: str) -> DataFrame:
-    """All encode sidecars that match a path or glob, with the file each came from."""
+def sidecars(spark: SparkSession, pattern: str, pretty: bool = False) -> DataFrame:
+    """All encode sidecars that match a path or glob, with the file each came from.
+
+    ``pretty``: files hold one indented object each instead of one object per line.
+    """
     return (
         spark.read.schema(schemas.ENCODE_RUNS)
-        .option("multiLine", True)
+        .option("multiLine", pretty)
         .json(pattern)
         .withColumn("sidecar", F.col("_metadata.file_name"))
     )
@@ -75,7 +78,7 @@ def id_column(df: DataFrame) -> str:
 
 
 EXPECTED_JSON = T.MapType(T.StringType(), T.StringType())
-EXPECTED_ENTRY = T.StructType.fromDDL("ndcg_at_10 DOUBLE, source STRING")
+EXPECTED_ENTRY = schemas.struct("ndcg_at_10 DOUBLE, source STRING")
 
 
 def expected_metrics(spark: SparkSession, path: str | None) -> DataFrame:
