@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rebasis.operators.ordering import Cut, shuffled_index
+from rebasis.session import small
 
 
 def positive(qrels: DataFrame) -> DataFrame:
@@ -23,13 +24,18 @@ def missing_documents(judged: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
-def to_rows(judged: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Id pairs as distinct (query_row, corpus_row); pairs without a row drop out."""
+def to_rows(judged: DataFrame, queries: DataFrame, corpus: DataFrame,
+            n_judged: int | None = None) -> DataFrame:
+    """Id pairs as distinct (query_row, corpus_row); pairs without a row drop out.
+
+    With a known small number of judgments these are broadcast to the corpus ids.
+    """
     q = queries.select("query_id", F.col("row_idx").alias("query_row"))
     d = corpus.select(F.col("doc_id").alias("corpus_id"), F.col("row_idx").alias("corpus_row"))
-    return (
-        judged.join(q, "query_id").join(d, "corpus_id").select("query_row", "corpus_row").distinct()
-    )
+    pairs = judged.join(q, "query_id").select("query_row", "corpus_id")
+    if n_judged is not None:
+        pairs = small(pairs, n_judged)
+    return d.join(pairs, "corpus_id").select("query_row", "corpus_row").distinct()
 
 
 def in_split(qrels: DataFrame, train: Cut) -> DataFrame:

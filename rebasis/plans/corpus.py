@@ -13,6 +13,7 @@ from rebasis.operators.fingerprint import flat_fingerprint, tree_fingerprint
 from rebasis.operators.judgments import missing_documents, positive, to_rows
 from rebasis.operators.ordering import Cut, find_cut, shuffled_index, sorted_index
 from rebasis.registry import N_DOCS, N_QUERIES, SEED
+from rebasis.session import small
 from rebasis.sinks.tables import refuse_if_frozen, write_manifest, write_table
 from rebasis.sources.tables import frozen
 
@@ -34,6 +35,7 @@ class Chosen:
     queries: DataFrame
     judged: DataFrame
     missing: DataFrame
+    n_judged: int
     n_positives: int
     query_cut: Cut
     distractor_cut: Cut
@@ -48,7 +50,12 @@ def choose(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, spec: Freeze
         judged.select("query_id").distinct(), "query_id", spec.n_queries, spec.seed, "queries"
     )
     judged = judged.where(query_cut.keeps("query_id"))
-    wanted = judged.select(F.col("corpus_id").alias("_id"), F.lit(True).alias("_pos")).distinct()
+    n_judged = judged.count()
+    # at most one row per judgment, and at most n_queries ids below
+    wanted = small(
+        judged.select(F.col("corpus_id").alias("_id")).distinct().withColumn("_pos", F.lit(True)),
+        n_judged,
+    )
     n_positives = corpus.select("_id").join(wanted, "_id", "left_semi").count()
     n_distractors = spec.n_docs - n_positives
     if n_distractors < 0:
@@ -63,11 +70,12 @@ def choose(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, spec: Freeze
         .where(F.col("_pos").isNotNull() | distractor_cut.keeps("_id"))
         .drop("_pos")
     )
-    taken = queries.join(
-        judged.select(F.col("query_id").alias("_id")).distinct(), "_id", "left_semi"
-    )
+    asked = small(judged.select(F.col("query_id").alias("_id")).distinct(), spec.n_queries)
+    taken = queries.join(asked, "_id", "left_semi")
     missing = missing_documents(judged, corpus.withColumnRenamed("_id", "doc_id"))
-    return Chosen(documents, taken, judged, missing, n_positives, query_cut, distractor_cut)
+    return Chosen(
+        documents, taken, judged, missing, n_judged, n_positives, query_cut, distractor_cut
+    )
 
 
 def indexed_corpus(chosen: Chosen, spec: FreezeSpec) -> DataFrame:
@@ -102,7 +110,7 @@ def frozen_frames(corpus: DataFrame, queries: DataFrame, qrels: DataFrame,
     """The frozen tables as plans, without writing them."""
     chosen = choose(corpus, queries, qrels, spec)
     docs, asked = indexed_corpus(chosen, spec), indexed_queries(chosen, spec)
-    return Frozen(docs, asked, to_rows(chosen.judged, asked, docs)), chosen
+    return Frozen(docs, asked, to_rows(chosen.judged, asked, docs, chosen.n_judged)), chosen
 
 
 def manifest_row(tables: Frozen, spec: FreezeSpec) -> DataFrame:
@@ -193,7 +201,7 @@ def freeze(spark: SparkSession, corpus: DataFrame, queries: DataFrame, qrels: Da
     write_table(indexed_corpus(chosen, spec), f"{root}/corpus")
     write_table(indexed_queries(chosen, spec), f"{root}/queries")
     docs, asked = frozen(spark, root, "corpus"), frozen(spark, root, "queries")
-    write_table(to_rows(chosen.judged, asked, docs), f"{root}/qrels")
+    write_table(to_rows(chosen.judged, asked, docs, chosen.n_judged), f"{root}/qrels")
     tables = Frozen(docs, asked, frozen(spark, root, "qrels"))
     require_invariants(tables, spec.n_docs)
     write_manifest(manifest_row(tables, spec), root)

@@ -11,12 +11,15 @@ from rebasis import schemas
 from rebasis.operators.encode import Encoder, encode, expected_shards, resume_plan, shard_of
 from rebasis.operators.fingerprint import flat_fingerprint, tree_fingerprint
 from rebasis.registry import BATCH_SIZE, SHARD_ROWS
+from rebasis.session import small
 from rebasis.sinks.tables import append_run, exists, refuse_if_encoded, write_vectors
 from rebasis.sources.tables import frozen, id_column, manifest, sidecars
 from rebasis.sources.vectors import vectors
 
-# At most this many tasks write shards at a time, each one shard after another.
-WRITE_TASKS = 10_000
+# At most this many tasks write shards, each one shard after another. Shards are
+# spread by hash, so several tasks per shard keep most of them apart.
+WRITE_TASKS = 40_000
+TASKS_PER_SHARD = 4
 
 
 def verify_input(df: DataFrame, recorded: DataFrame) -> tuple[str, str]:
@@ -41,13 +44,18 @@ def verify_input(df: DataFrame, recorded: DataFrame) -> tuple[str, str]:
 def encode_pending(rows: DataFrame, pending: DataFrame, encoder: Encoder, model: str, split: str,
                    prefix: str, input_hash: str, root: str, batch_size: int = BATCH_SIZE,
                    max_tokens: int | None = None, shard_rows: int = SHARD_ROWS,
-                   tasks: int = WRITE_TASKS) -> None:
+                   n_pending: int | None = None) -> None:
     """Encode the rows of pending shards and store them, one task per shard.
 
     Text is moved to its shard's task before encoding, so vectors are not shuffled.
     """
     waiting = rows.select("row_idx", "text", shard_of("row_idx", shard_rows).alias("shard_id"))
-    waiting = waiting.join(pending.select("shard_id"), "shard_id").repartition(tasks, "shard_id")
+    if n_pending is None:
+        n_pending = pending.count()
+    tasks = max(1, min(TASKS_PER_SHARD * n_pending, WRITE_TASKS))
+    waiting = waiting.join(small(pending.select("shard_id"), n_pending), "shard_id").repartition(
+        tasks, "shard_id"
+    )
     made = encode(waiting, encoder, prefix, batch_size=batch_size, half=True, max_tokens=max_tokens)
     write_vectors(
         made.select(
@@ -84,7 +92,7 @@ def encode_split(spark: SparkSession, corpus_root: str, root: str, split: str, e
     n_pending = pending.count()
     if n_pending:
         encode_pending(rows, pending, encoder, model, split, prefix, input_hash, table,
-                       batch_size, max_tokens, shard_rows, min(n_pending, WRITE_TASKS))
+                       batch_size, max_tokens, shard_rows, n_pending)
     seconds = time.monotonic() - started
 
     wanted = expected.agg(F.sum("n_rows").alias("n"), F.count("*").alias("s")).first()

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# A keyed table of at most this many rows may be broadcast (ids and small columns only).
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,3 +51,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, n_rows: int) -> DataFrame:
+    """``df`` marked for broadcast if its counted or bounded rows allow it."""
+    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer splits than the cluster has cores, redistributed by ``key``.
+
+    Tables of many files or row groups, as any large one, come back untouched.
+    Only for plain scans: their split count is known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)

@@ -36,7 +36,7 @@ def _sparse(df: DataFrame, ident: str, digits: int = 6) -> DataFrame:
     + "SELECT doc_id, bucket, round(w, 6) AS w FROM t"
 )
 def encode_hashed_tf(spark: SparkSession, sf: str) -> DataFrame:
-    return _sparse(E.encode(st.table(spark, sf, "documents"), ENCODER), "doc_id")
+    return _sparse(E.encode(st.texts(spark, sf), ENCODER), "doc_id")
 
 
 _TEXT_RANKED = (
@@ -54,7 +54,7 @@ graded AS (
 
 
 def _text_ranked(spark: SparkSession, sf: str, encoder: E.Encoder = ENCODER) -> DataFrame:
-    docs = E.encode(st.table(spark, sf, "documents").select("doc_id", "text"), encoder)
+    docs = E.encode(st.texts(spark, sf).select("doc_id", "text"), encoder)
     asked = E.encode(st.table(spark, sf, "benchmark"), encoder)
     return top_k(docs, asked, doc_id="doc_id", query_id="item_id")
 
@@ -194,7 +194,7 @@ def vector_shapes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT 'hashed-terms-256' AS model, count(*) AS n_texts, 1.0 AS min_cosine, 1.0 AS mean_cosine, 'OK' AS status FROM documents")
 def determinism_audit(spark: SparkSession, sf: str) -> DataFrame:
-    docs = st.table(spark, sf, "documents")
+    docs = st.texts(spark, sf)
     return A.determinism_audit(docs, ENCODER, "passage: ").withColumns(
         {c: F.round(c, 6) for c in ("min_cosine", "mean_cosine")}
     )
@@ -332,7 +332,7 @@ def check_summary(spark: SparkSession, sf: str) -> DataFrame:
             "totals", A.totals_audit(_stored(spark, sf), rows), model_split, F.col("n_rows")
         ),
         "determinism": lambda: A.as_checks(
-            "determinism", A.determinism_audit(st.table(spark, sf, "documents"), ENCODER),
+            "determinism", A.determinism_audit(st.texts(spark, sf), ENCODER),
             F.col("model"), F.col("min_cosine"),
         ),
         "broken": broken,

@@ -238,7 +238,7 @@ def alignment_gaps(spark: SparkSession, sf: str) -> DataFrame:
 FROM documents"""
 )
 def title_join(spark: SparkSession, sf: str) -> DataFrame:
-    docs = st.table(spark, sf, "documents").withColumn("title", F.concat(F.lit("  "), "source", F.lit(" ")))
+    docs = st.texts(spark, sf).withColumn("title", F.concat(F.lit("  "), "source", F.lit(" ")))
     return docs.select("doc_id", F.md5(title_and_text("text", "title")).alias("text_md5"))
 
 
@@ -250,21 +250,21 @@ _SPACES = [0xA0, 0x3000, 0x0B, 0x85, 0x1F]
 def unicode_trim(spark: SparkSession, sf: str) -> DataFrame:
     """Texts padded with unusual spaces; trimming gives what plain texts give."""
     pad = F.lit("".join(map(chr, _SPACES)))
-    docs = st.table(spark, sf, "documents")
+    docs = st.texts(spark, sf)
     return docs.select("doc_id", F.md5(strip(F.concat(pad, "text", pad))).alias("text_md5"))
 
 
 @query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def mojibake_repair(spark: SparkSession, sf: str) -> DataFrame:
     """Corrupted texts, repaired; the twin states the original."""
-    docs = st.table(spark, sf, "documents")
+    docs = st.texts(spark, sf)
     return docs.select("doc_id", F.md5(repair(corrupt("text"))).alias("text_md5"))
 
 
 @query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def repair_clean_text(spark: SparkSession, sf: str) -> DataFrame:
     """Texts without defects come through the repair unchanged."""
-    docs = st.table(spark, sf, "documents")
+    docs = st.texts(spark, sf)
     return docs.select("doc_id", F.md5(repair("text")).alias("text_md5"))
 
 
@@ -326,7 +326,7 @@ FROM (SELECT doc_id, {_WORDS} AS w FROM documents)"""
 )
 def input_cap(spark: SparkSession, sf: str) -> DataFrame:
     """The model's input limit of 512 tokens, as an operator."""
-    docs = st.table(spark, sf, "documents")
+    docs = st.texts(spark, sf)
     return docs.select(
         "doc_id",
         F.size(tokens("text")).cast("bigint").alias("n_tokens"),

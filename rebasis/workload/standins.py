@@ -18,6 +18,7 @@ from rebasis.operators.linmap import planted_extension, planted_rotation
 from rebasis.operators.ordering import sample
 from rebasis.plans.corpus import FreezeSpec, frozen_frames
 from rebasis.registry import N_QUERIES
+from rebasis.session import spread, stored
 
 MODELS = {"studio/base": 64, "studio/rotated": 64, "studio/extended": 96}
 BLEND = 0.35
@@ -27,8 +28,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents for work that is heavy per row; their one file is one split."""
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def raw_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         F.col("doc_id").cast("string").alias("_id"),
         F.concat(F.lit("  "), "source", F.lit(" ")).alias("title"),
         "text",
@@ -45,7 +51,7 @@ def contained(spark: SparkSession, sf: str) -> DataFrame:
     A contained passage brings its second to fourth words along as whole words,
     so documents and passages meet on word triples before they are compared.
     """
-    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    docs, items = texts(spark, sf), table(spark, sf, "benchmark")
 
     def triples(words):
         return F.transform(
@@ -71,12 +77,14 @@ def contained(spark: SparkSession, sf: str) -> DataFrame:
 def raw_qrels(spark: SparkSession, sf: str) -> DataFrame:
     """Scores are 0 for documents labelled toxic, else 1; grades follow the quality label."""
     labels = table(spark, sf, "labels")
-    return contained(spark, sf).join(labels, "doc_id", "left").select(
+    judged = contained(spark, sf).join(labels, "doc_id", "left").select(
         F.col("item_id").cast("string").alias("query_id"),
         F.col("doc_id").cast("string").alias("corpus_id"),
         F.when(F.col("toxic") == 1, 0).otherwise(1).alias("score"),
         (F.coalesce("quality", F.lit(0)) + 1).alias("rel"),
     )
+    # judgments are a table that several steps read
+    return stored(judged, "qrels")
 
 
 @dataclass

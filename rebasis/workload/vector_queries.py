@@ -365,7 +365,7 @@ TEXT_MODELS = [
 
 def text_vectors(spark: SparkSession, sf: str, models: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents and passages under several text encoders, and their judgments."""
-    docs = st.table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), "text")
+    docs = st.texts(spark, sf).select(F.col("doc_id").alias("row_idx"), "text")
     asked = st.table(spark, sf, "benchmark").select(F.col("item_id").alias("row_idx"), "text")
     out = None
     for model in models or TEXT_MODELS:
