@@ -14,7 +14,7 @@ def dense(column: pa.Array, dim: int | None = None) -> np.ndarray:
     if column.null_count or (lengths != dim).any():
         raise ValueError(f"expected vectors of length {dim}, found {sorted(set(lengths.tolist()))}")
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(-1, dim).astype(np.float64)
+    return flat.reshape(len(column), dim).astype(np.float64)
 
 
 def list_column(matrix: np.ndarray, value_type: pa.DataType) -> pa.Array:

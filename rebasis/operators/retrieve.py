@@ -127,9 +127,12 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP_K, *, doc_id: str =
     right = queries.select(*keys, F.col(vector).alias("_v"))
     left = docs.select(F.col(doc_id).cast("bigint").alias("_d"), F.col(vector).alias("_v"))
 
-    if shape.n * (shape.dim or 0) * 8 <= broadcast_bytes:
+    if shape.n == 0:
+        none = right.select(*keys, F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias(doc_id))
+        return none.withColumn("score", F.lit(0.0)).where(F.lit(False))
+    if shape.n * shape.dim * 8 <= broadcast_bytes:
         held = right.toArrow()
-        block = dense(held["_v"].combine_chunks(), shape.dim or 0)
+        block = dense(held["_v"].combine_chunks(), shape.dim)
         shared = spark.sparkContext.broadcast(block)
         found = _fewer_tasks(left, max_tasks).mapInArrow(
             _scan(shared, k, decimals), "_q int, _d bigint, score double"

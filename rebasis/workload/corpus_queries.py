@@ -82,7 +82,7 @@ END AS BIGINT) AS violations, true AS passed
 FROM (SELECT unnest({_INVARIANTS}) AS invariant) n"""
 )
 def corpus_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    made = st.corpus(spark, sf)
+    made = st.corpus(spark, sf, written=True)
     return invariants(made.frozen, made.spec.n_docs)
 
 
@@ -113,7 +113,7 @@ def _tree(table: str, ident: str, order: str, chunk: int) -> str:
   (SELECT count(*) FROM qrels) AS n_qrels, true AS ftfy_cleaned"""
 )
 def corpus_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    made = st.corpus(spark, sf)
+    made = st.corpus(spark, sf, written=True)
     return manifest_row(made.frozen, made.spec)
 
 

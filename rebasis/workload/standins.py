@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from rebasis.functions.vectors import let, unit
 from rebasis.operators.linmap import planted_extension, planted_rotation
 from rebasis.operators.ordering import sample
-from rebasis.plans.corpus import FreezeSpec, frozen_frames
+from rebasis.operators.judgments import to_rows
+from rebasis.plans.corpus import Frozen, FreezeSpec, frozen_frames
 from rebasis.registry import N_QUERIES
 from rebasis.session import spread, stored
 
@@ -94,8 +95,11 @@ class Corpus:
     spec: FreezeSpec
 
 
-def corpus(spark: SparkSession, sf: str) -> Corpus:
-    """Freeze half of the documents around half of the judged passages."""
+def corpus(spark: SparkSession, sf: str, written: bool = False) -> Corpus:
+    """Freeze half of the documents around half of the judged passages.
+
+    ``written`` stores the tables first, for work that reads them several times.
+    """
     qrels = raw_qrels(spark, sf)
     n_judged = qrels.where(F.col("score") > 0).select("query_id").distinct().count()
     spec = FreezeSpec(
@@ -104,6 +108,10 @@ def corpus(spark: SparkSession, sf: str) -> Corpus:
         source="documents",
     )
     frozen, chosen = frozen_frames(raw_corpus(spark, sf), raw_queries(spark, sf), qrels, spec)
+    if written:
+        docs, asked = stored(frozen.corpus, "corpus"), stored(frozen.queries, "queries")
+        qrels = stored(to_rows(chosen.judged, asked, docs, chosen.n_judged), "qrels-rows")
+        frozen = Frozen(docs, asked, qrels)
     return Corpus(frozen, chosen, spec)
 
 
