@@ -17,11 +17,19 @@ def positive(qrels: DataFrame) -> DataFrame:
     )
 
 
-def missing_documents(judged: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Judged document ids that the corpus lacks."""
-    return judged.select("corpus_id").distinct().join(
-        corpus.select(F.col("doc_id").alias("corpus_id")), "corpus_id", "left_anti"
+def missing_documents(judged: DataFrame, corpus: DataFrame,
+                      n_judged: int | None = None) -> DataFrame:
+    """Judged document ids that the corpus lacks.
+
+    The corpus ids are first cut down to judged ones, a scan where the
+    judgments are few enough to broadcast.
+    """
+    wanted = judged.select("corpus_id").distinct()
+    n = judged.count() if n_judged is None else n_judged
+    present = corpus.select(F.col("doc_id").alias("corpus_id")).join(
+        small(wanted, n), "corpus_id", "left_semi"
     )
+    return wanted.join(present, "corpus_id", "left_anti")
 
 
 def to_rows(judged: DataFrame, queries: DataFrame, corpus: DataFrame,
@@ -52,8 +60,15 @@ def renumbered(test_qrels: DataFrame, test_docs: DataFrame, index: str = "row_id
     ).select("query_row", "corpus_row", "test_row")
 
 
-def judged_texts(qrels: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """The texts of judged pairs: (query_row, corpus_row, query_text, doc_text)."""
+def judged_texts(qrels: DataFrame, queries: DataFrame, corpus: DataFrame,
+                 n_pairs: int | None = None) -> DataFrame:
+    """The texts of judged pairs: (query_row, corpus_row, query_text, doc_text).
+
+    A known small number of pairs is broadcast, so that no document text moves.
+    """
+    if n_pairs is not None:
+        qrels = small(qrels, n_pairs)
     q = queries.select(F.col("row_idx").alias("query_row"), F.col("text").alias("query_text"))
     d = corpus.select(F.col("row_idx").alias("corpus_row"), F.col("text").alias("doc_text"))
-    return qrels.join(q, "query_row").join(d, "corpus_row")
+    texts = d.join(qrels, "corpus_row")
+    return q.join(texts, "query_row").select("query_row", "corpus_row", "query_text", "doc_text")

@@ -23,6 +23,8 @@ from rebasis.operators.arrow import dense, list_column
 MATRIX_BYTES = 256 << 20
 # Product matrices one task accumulates in one pass.
 PASS_BYTES = 512 << 20
+# Rows per vector dimension that make a task's sums no larger than its input.
+ROWS_PER_DIM = 1
 # Singular values below this share of the largest count as zero.
 RELATIVE_CUTOFF = 1e-7
 
@@ -99,6 +101,11 @@ def product(df: DataFrame, left: str, right: str, max_tasks: int | None = None)
     return products(df, [(left, right)], max_tasks).select("i", "row")
 
 
+def tasks_for(n_rows: int, dims: list[int], most: int) -> int:
+    """Tasks to sum ``n_rows`` rows with: few enough that sums are not the larger part."""
+    return max(1, min(most, n_rows // (ROWS_PER_DIM * max(dims))))
+
+
 def cells(matrix: DataFrame) -> DataFrame:
     """The relational form (i, j, value) of matrix rows (i, row)."""
     return matrix.select("i", F.posexplode("row").alias("j", "value"))

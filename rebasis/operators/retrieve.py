@@ -48,14 +48,16 @@ class _Best:
         q, d = np.nonzero(better)
         if not len(q):
             return
-        all_q = np.concatenate([np.repeat(np.arange(n), k), q])
-        all_score = np.concatenate([self.score.ravel(), score[q, d]])
-        all_ident = np.concatenate([self.ident.ravel(), ident[d]])
+        # only queries with a better candidate are sorted again
+        hit, place = np.unique(q, return_inverse=True)
+        all_q = np.concatenate([np.repeat(np.arange(len(hit)), k), place])
+        all_score = np.concatenate([self.score[hit].ravel(), score[q, d]])
+        all_ident = np.concatenate([self.ident[hit].ravel(), ident[d]])
         order = np.lexsort((all_ident, -all_score, all_q))
-        sizes = k + np.bincount(q, minlength=n)
+        sizes = k + np.bincount(place)
         starts = np.cumsum(sizes) - sizes
         keep = order[starts[:, None] + np.arange(k)]
-        self.score, self.ident = all_score[keep], all_ident[keep]
+        self.score[hit], self.ident[hit] = all_score[keep], all_ident[keep]
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q, r = np.nonzero(np.isfinite(self.score))
@@ -113,33 +115,35 @@ def _fewer_tasks(df: DataFrame, max_tasks: int | None) -> DataFrame:
 def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP_K, *, doc_id: str = "row_idx",
           query_id: list[str] | str = "query_row", vector: str = "embedding",
           decimals: int = SCORE_DECIMALS, broadcast_bytes: int = BROADCAST_BYTES,
-          block_bytes: int = BLOCK_BYTES, max_tasks: int | None = None) -> DataFrame:
+          block_bytes: int = BLOCK_BYTES, max_tasks: int | None = None,
+          query_shape: tuple[int, int] | None = None) -> DataFrame:
     """The ``k`` best documents of every query: query ids, rank (1-based), doc id, score.
 
     Documents are scanned once and never shuffled: each task multiplies its
     Arrow batches with the broadcast query block and keeps k rows per query.
     Query sets above ``broadcast_bytes`` are blocked on both sides instead, and
-    blocks meet by an equi-join on their numbers.
+    blocks meet by an equi-join on their numbers. ``query_shape``, the number
+    and length of query vectors, saves counting them if known.
     """
     keys = [query_id] if isinstance(query_id, str) else list(query_id)
     spark = docs.sparkSession
-    shape = queries.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("dim")).first()
+    n, dim = query_shape or queries.agg(F.count("*"), F.max(F.size(vector))).first()
     right = queries.select(*keys, F.col(vector).alias("_v"))
     left = docs.select(F.col(doc_id).cast("bigint").alias("_d"), F.col(vector).alias("_v"))
 
-    if shape.n == 0:
+    if n == 0:
         none = right.select(*keys, F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias(doc_id))
         return none.withColumn("score", F.lit(0.0)).where(F.lit(False))
-    if shape.n * shape.dim * 8 <= broadcast_bytes:
+    if n * dim * 8 <= broadcast_bytes:
         held = right.toArrow()
-        block = dense(held["_v"].combine_chunks(), shape.dim)
+        block = dense(held["_v"].combine_chunks(), dim)
         shared = spark.sparkContext.broadcast(block)
         found = _fewer_tasks(left, max_tasks).mapInArrow(
             _scan(shared, k, decimals), "_q int, _d bigint, score double"
         )
         best = _rank(found, ["_q"], k)
         names = held.select(keys).append_column(
-            "_q", pa.array(np.arange(shape.n, dtype=np.int32))
+            "_q", pa.array(np.arange(n, dtype=np.int32))
         )
         named = spark.createDataFrame(
             names, T.StructType([*(right.schema[c] for c in keys), T.StructField("_q", T.IntegerType())])
@@ -147,9 +151,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP_K, *, doc_id: str =
         # as many rows as the broadcast query block
         ranked = best.join(F.broadcast(named), "_q")
     else:
-        row_bytes = shape.dim * 8
+        row_bytes = dim * 8
         per_block = max(1, block_bytes // row_bytes)
-        q_blocks = math.ceil(shape.n / per_block)
+        q_blocks = math.ceil(n / per_block)
         d_blocks = max(1, math.ceil(docs.count() / per_block))
         # numbers of blocks are small integers: one copy of a row per opposite block
         left = left.withColumn("_db", F.pmod(F.xxhash64("_d"), F.lit(d_blocks)).cast("int")).withColumn(

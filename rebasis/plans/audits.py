@@ -71,7 +71,8 @@ def prefix_audit(qrels: DataFrame, queries: DataFrame, corpus: DataFrame, encode
     pairs = qrels.groupBy("query_row").agg(F.min("corpus_row").alias("corpus_row"))
     if n_queries is not None:
         pairs = pairs.orderBy("query_row").limit(n_queries)
-    texts = judged_texts(pairs, queries, corpus)
+    n_pairs = pairs.count() if n_queries is None else n_queries
+    texts = judged_texts(pairs, queries, corpus, n_pairs)
     call = encode_udf(encoder, batch_size)
     vectors = texts.select(
         call(with_prefix(query_prefix, "query_text")).alias("q_with"),

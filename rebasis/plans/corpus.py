@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rebasis import schemas
@@ -72,7 +72,7 @@ def choose(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, spec: Freeze
     )
     asked = small(judged.select(F.col("query_id").alias("_id")).distinct(), spec.n_queries)
     taken = queries.join(asked, "_id", "left_semi")
-    missing = missing_documents(judged, corpus.withColumnRenamed("_id", "doc_id"))
+    missing = missing_documents(judged, corpus.withColumnRenamed("_id", "doc_id"), n_judged)
     return Chosen(
         documents, taken, judged, missing, n_judged, n_positives, query_cut, distractor_cut
     )
@@ -140,14 +140,17 @@ def invariants(tables: Frozen, n_docs: int | None = None) -> DataFrame:
         parts = ", ".join(f"'{n}', `{n}`" for n in counts)
         return one.selectExpr(f"stack({len(counts)}, {parts}) AS (invariant, violations)")
 
-    def per_table(df: DataFrame, name: str, ident: str) -> DataFrame:
+    n_corpus, n_queries = tables.corpus.count(), tables.queries.count()
+
+    def outside(column: str, n: int) -> Column:
+        return F.count_if(~F.col(column).between(0, n - 1))
+
+    def per_table(df: DataFrame, name: str, ident: str, n: int) -> DataFrame:
         empty = strip("text") == ""
         content = {
             f"{name}_text_null": F.count_if(F.col("text").isNull()),
             f"{name}_text_empty": F.count_if(empty),
-            f"{name}_row_range": F.count_if(
-                ~F.col("row_idx").between(0, F.lit(df.count() - 1))
-            ),
+            f"{name}_row_range": outside("row_idx", n),
         }
         repeats = lambda c: unfolded(
             df.groupBy(c).count(),
@@ -155,19 +158,19 @@ def invariants(tables: Frozen, n_docs: int | None = None) -> DataFrame:
         )
         return unfolded(df, content).unionByName(repeats(ident)).unionByName(repeats("row_idx"))
 
-    def orphans(df: DataFrame, key: str, other: DataFrame, other_key: str, name: str) -> DataFrame:
-        gone = df.select(F.col(key).alias("k")).join(
-            other.select(F.col(other_key).alias("k")), "k", "left_anti"
-        )
-        return unfolded(gone, {name: F.count("*")})
-
+    lost = tables.queries.select("row_idx").join(
+        tables.qrels.select(F.col("query_row").alias("row_idx")), "row_idx", "left_anti"
+    )
     rows = (
-        per_table(tables.corpus, "corpus", "doc_id")
-        .unionByName(per_table(tables.queries, "queries", "query_id"))
-        .unionByName(unfolded(tables.qrels, {"qrels_empty": (F.count("*") == 0).cast("int")}))
-        .unionByName(orphans(tables.qrels, "corpus_row", tables.corpus, "row_idx", "qrels_corpus_row"))
-        .unionByName(orphans(tables.qrels, "query_row", tables.queries, "row_idx", "qrels_query_row"))
-        .unionByName(orphans(tables.queries, "row_idx", tables.qrels, "query_row", "query_without_positive"))
+        per_table(tables.corpus, "corpus", "doc_id", n_corpus)
+        .unionByName(per_table(tables.queries, "queries", "query_id", n_queries))
+        # row numbers being dense, those in range exist
+        .unionByName(unfolded(tables.qrels, {
+            "qrels_empty": (F.count("*") == 0).cast("int"),
+            "qrels_corpus_row": outside("corpus_row", n_corpus),
+            "qrels_query_row": outside("query_row", n_queries),
+        }))
+        .unionByName(unfolded(lost, {"query_without_positive": F.count("*")}))
     )
     if n_docs is not None:
         off = F.abs(F.count("*") - F.lit(n_docs))

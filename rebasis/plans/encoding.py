@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rebasis import schemas
 from rebasis.operators.encode import Encoder, encode, expected_shards, resume_plan, shard_of
 from rebasis.operators.fingerprint import flat_fingerprint, tree_fingerprint
+from rebasis.plans.audits import stored_type_ok
 from rebasis.registry import BATCH_SIZE, SHARD_ROWS
 from rebasis.session import small
 from rebasis.sinks.tables import append_run, exists, refuse_if_encoded, write_vectors
@@ -96,7 +97,10 @@ def encode_split(spark: SparkSession, corpus_root: str, root: str, split: str, e
     seconds = time.monotonic() - started
 
     wanted = expected.agg(F.sum("n_rows").alias("n"), F.count("*").alias("s")).first()
-    written = vectors(spark, table, model, split).count()
+    made = vectors(spark, table, model, split)
+    if not stored_type_ok(made):
+        raise TypeError(f"{table} does not hold 32-bit vectors")
+    written = made.count()
     if written != wanted.n:
         raise ValueError(f"{written} vectors stored for {wanted.n} rows of {model}/{split}")
     kind = "corpus" if key.startswith("corpus") else "queries"

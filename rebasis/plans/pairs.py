@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from rebasis import schemas
 from rebasis.functions.vectors import dim_of, ratio
 from rebasis.operators.judgments import in_split
-from rebasis.operators.linmap import LinearMap, fit_many, translate
+from rebasis.operators.linmap import LinearMap, fit_many, tasks_for, translate
 from rebasis.operators.metrics import micro_recall
 from rebasis.operators.ordering import Cut, find_cut
 from rebasis.operators.retrieve import top_k
-from rebasis.registry import SEED, TOP_K, TRAIN_DOCS
+from rebasis.registry import SEED, TOP_K, TRAIN_DOCS, model_pairs
 
 TRAIN_QUERIES = ("all", "none", "holdout")
 NATIVE = ""
@@ -43,8 +43,8 @@ def aligned(vectors: DataFrame, models: list[str], keep: dict[str, object]) -> D
     return reduce(DataFrame.unionByName, parts)
 
 
-def _shapes(vectors: DataFrame, models: list[str]) -> tuple[dict[str, int], int]:
-    """Dimension by model and the common number of documents; raises where counts differ.
+def _shapes(vectors: DataFrame, models: list[str]) -> tuple[dict[str, int], int, int]:
+    """Dimension by model, numbers of documents and queries; raises where counts differ.
 
     Counts come from file footers and dimensions from one row each. Uneven
     lengths surface in the scans that read the vectors anyway.
@@ -60,15 +60,16 @@ def _shapes(vectors: DataFrame, models: list[str]) -> tuple[dict[str, int], int]
         if len(set(found.values())) > 1:
             raise ValueError(f"{split} counts differ: {found}")
     dims = {m: dim_of(_of(vectors, m, "corpus")) for m in models}
-    return dims, counts[models[0], "corpus"]
+    return dims, counts[models[0], "corpus"], counts[models[0], "queries"]
 
 
 def fit_pairs(vectors: DataFrame, pairs: list[tuple[str, str]], dims: dict[str, int], cut: Cut,
-              train_queries: str, qrels: DataFrame) -> dict[tuple[str, str], LinearMap]:
+              train_queries: str, qrels: DataFrame, n_rows: int) -> dict[tuple[str, str], LinearMap]:
     """All maps from one aligned training table.
 
     ``train_queries``: ``all`` stacks every query onto the training documents,
     ``none`` leaves queries out, ``holdout`` takes those without a test judgment.
+    ``n_rows`` is the number of training rows, at most.
     """
     if train_queries not in TRAIN_QUERIES:
         raise ValueError(f"train_queries must be one of {TRAIN_QUERIES}")
@@ -82,8 +83,11 @@ def fit_pairs(vectors: DataFrame, pairs: list[tuple[str, str]], dims: dict[str,
         asked = aligned(vectors, models, {"queries": F.lit(True)})
         rows = rows.unionByName(asked.join(scored, "row_idx", "left_anti"))
     name = {m: f"v{n}" for n, m in enumerate(models)}
+    tasks = tasks_for(
+        n_rows, list(dims.values()), vectors.sparkSession.sparkContext.defaultParallelism
+    )
     fitted = fit_many(
-        rows, {name[m]: dims[m] for m in models}, [(name[a], name[b]) for a, b in pairs]
+        rows, {name[m]: dims[m] for m in models}, [(name[a], name[b]) for a, b in pairs], tasks
     )
     return {(a, b): fitted[name[a], name[b]] for a, b in pairs}
 
@@ -99,7 +103,7 @@ def evaluate_pairs(vectors: DataFrame, qrels: DataFrame, pairs: list[tuple[str,
     """
     spark = vectors.sparkSession
     models = list(dict.fromkeys(m for pair in pairs for m in pair))
-    dims, n_docs = _shapes(vectors, models)
+    dims, n_docs, n_queries = _shapes(vectors, models)
     if train_size > n_docs:
         raise ValueError(f"{train_size} training documents asked for, {n_docs} exist")
     cut = find_cut(_of(vectors, models[0], "corpus").select("row_idx"), "row_idx",
@@ -112,7 +116,9 @@ def evaluate_pairs(vectors: DataFrame, qrels: DataFrame, pairs: list[tuple[str,
         return spark.createDataFrame([], schemas.PAIR_RESULTS)
 
     started = time.monotonic()
-    maps = fit_pairs(vectors, pairs, dims, cut, train_queries, qrels)
+    maps = fit_pairs(
+        vectors, pairs, dims, cut, train_queries, qrels, train_size + n_queries
+    )
     seconds = round((time.monotonic() - started) / len(pairs), 3)
 
     recalls = []
@@ -129,7 +135,8 @@ def evaluate_pairs(vectors: DataFrame, qrels: DataFrame, pairs: list[tuple[str,
         docs = _of(vectors, target, "corpus").where(~cut.keeps("row_idx")).select(
             F.col("row_idx").alias("corpus_row"), "embedding"
         )
-        ranked = top_k(docs, queries, k, doc_id="corpus_row", query_id=["source", "query_row"])
+        ranked = top_k(docs, queries, k, doc_id="corpus_row", query_id=["source", "query_row"],
+                       query_shape=(n_queries * (1 + len(sources)), dims[target]))
         names = F.array(*(F.lit(s) for s in (NATIVE, *sources)))
         pairs_judged = test_qrels.withColumn("source", F.explode(names))
         recalls.append(
@@ -160,5 +167,11 @@ def evaluate_pairs(vectors: DataFrame, qrels: DataFrame, pairs: list[tuple[str,
     )
 
 
+def evaluate_grid(vectors: DataFrame, qrels: DataFrame, **options) -> DataFrame:
+    """All ordered pairs of the models that ``vectors`` holds."""
+    pairs = model_pairs(vectors).orderBy("source", "target").collect()
+    return evaluate_pairs(vectors, qrels, [(r.source, r.target) for r in pairs], **options)
+
+
 def all_pairs(models: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for a in models for b in models if a != b]

@@ -43,13 +43,14 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as parquet to the shared folder and read it back.
 
-    Unlike :func:`pin` the result keeps column pruning and filter pushdown.
+    Unlike :func:`pin` the result keeps column pruning and filter pushdown, and
+    directories by the columns ``by``.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +10,9 @@ from rebasis.registry import SHARD_ROWS
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Is there anything readable at ``path``, on whatever file system it names?"""
-    try:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        return not found.select("path").limit(1).isEmpty()
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
+    """Does ``path`` exist, on whatever file system it names? Lists no files."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def refuse_if_frozen(spark: SparkSession, root: str) -> None:

@@ -14,8 +14,9 @@ from rebasis.operators.judgments import in_split, renumbered
 from rebasis.operators.ordering import find_cut, split_train_test
 from rebasis.operators.retrieve import top_k
 from rebasis.plans.ceilings import ceilings
-from rebasis.plans.pairs import all_pairs, evaluate_pairs
+from rebasis.plans.pairs import all_pairs, evaluate_grid, evaluate_pairs
 from rebasis.plans.reports import ceiling_lines, pair_summary
+from rebasis.session import stored
 from rebasis.workload import sql as S
 from rebasis.workload import standins as st
 from rebasis.workload.base import query
@@ -321,7 +322,11 @@ def pair_ratio_least_squares(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_pairs_sql(_ALL))
 def pair_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return _evaluated(spark, sf, _ALL)
+    found = stored(st.vectors(spark, sf), "vectors", ("model", "split"))
+    half = st.base_vectors(spark, sf).count() // 2
+    return evaluate_grid(found, st.graded_pairs(spark, sf), train_size=half).drop(
+        "train_seconds", "train_queries", "map_rank"
+    )
 
 
 @query(
@@ -383,11 +388,9 @@ def text_vectors(spark: SparkSession, sf: str, models: list | None = None) -> tu
 @query()
 def text_pair_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Translate between text encoders: half of the documents train, all others are searched."""
-    from rebasis.session import stored
-
     found, judged = text_vectors(spark, sf)
     half = st.table(spark, sf, "documents").count() // 2
     return evaluate_pairs(
-        stored(found, "text-vectors"), stored(judged, "text-qrels"),
+        stored(found, "text-vectors", ("model", "split")), stored(judged, "text-qrels"),
         all_pairs([m.name for m in TEXT_MODELS]), train_size=half,
     )
