@@ -13,17 +13,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rebasis import schemas
-from rebasis.functions.text import slug, with_prefix
+from rebasis.functions.text import slug, title_and_text, with_prefix
 from rebasis.functions.vectors import dot
-from rebasis.operators.encode import Encoder, encode_udf
+from rebasis.operators.encode import Encoder, encode, encode_udf
 from rebasis.operators.judgments import judged_texts
+from rebasis.operators.metrics import ndcg
+from rebasis.operators.ordering import shuffled_index
+from rebasis.operators.retrieve import top_k
 from rebasis.registry import (
     BATCH_SIZE,
     DETERMINISM_COSINE,
     METRIC_TOLERANCE,
     PREFIX_GAP,
     SPLITS,
+    TOP_K,
 )
+from rebasis.session import small
 from rebasis.sources.vectors import shard_totals, stored_shapes
 
 
@@ -120,6 +125,24 @@ def metric_audit(measured: DataFrame, expected: DataFrame,
     )
 
 
+def benchmark_ndcg(corpus: DataFrame, queries: DataFrame, graded: DataFrame, encoder: Encoder,
+                   query_prefix: str = "", doc_prefix: str = "", k: int = TOP_K,
+                   batch_size: int = BATCH_SIZE) -> DataFrame:
+    """NDCG of one encoder on raw tables (_id, title, text), (_id, text) and graded ids; one row.
+
+    Documents are searched under dense row numbers, as ids may be strings.
+    """
+    title = "title" if "title" in corpus.columns else None
+    docs = shuffled_index(corpus.select("_id", title_and_text("text", title).alias("text")), "_id")
+    ranked = top_k(
+        encode(docs, encoder, doc_prefix, batch_size=batch_size),
+        encode(queries, encoder, query_prefix, batch_size=batch_size), k, query_id="_id",
+    ).withColumnRenamed("_id", "query_id")
+    names = docs.select("row_idx", F.col("_id").alias("doc_id"))
+    named = names.join(small(ranked, k * queries.count()), "row_idx")
+    return ndcg(graded, named, k=k).select(F.lit(encoder.name).alias("model"), "ndcg", "n_queries")
+
+
 def hash_audit(runs: DataFrame, recorded: DataFrame) -> DataFrame:
     """Fingerprints in encode sidecars against the manifest; absent ones are skipped."""
     kinds = ["corpus_hash", "queries_hash"]

@@ -265,6 +265,24 @@ def metric_tolerance(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_KEYED_RANKED = _TEXT_RANKED.replace("ORDER BY score DESC, doc_id", f"ORDER BY score DESC, {S.key('doc_id', 'shuffle')}")
+
+
+@query(
+    S.with_(_KEYED_RANKED, S.ndcg("graded", "ranked", "item_id", "doc_id"))
+    + "SELECT 'hashed-terms-256' AS model, round(avg(ndcg), 6) AS ndcg, count(*) AS n_queries FROM ndcgs"
+)
+def benchmark_ndcg(spark: SparkSession, sf: str) -> DataFrame:
+    """NDCG from raw tables with string ids; equal scores rank in row order."""
+    docs = st.raw_corpus(spark, sf).drop("title")
+    graded = _text_graded(spark, sf).select(
+        F.col("item_id").cast("string").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), "rel"
+    )
+    return A.benchmark_ndcg(docs, st.raw_queries(spark, sf), graded, ENCODER).withColumn(
+        "ndcg", F.round("ndcg", 6)
+    )
+
+
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
     """Encode sidecars as if each document source were a model: sizes from the documents."""
     docs = st.table(spark, sf, "documents")
