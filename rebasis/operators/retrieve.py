@@ -24,35 +24,41 @@ BROADCAST_BYTES = 128 << 20
 # Vector bytes of one side of a block pair, beyond the broadcast bound.
 BLOCK_BYTES = 64 << 20
 # Score cells held at a time by one task.
-CELLS = 4 << 20
+CELLS = 2 << 20
 
 _CANDIDATES = pa.schema([("_q", pa.int32()), ("_d", pa.int64()), ("score", pa.float64())])
 
 
 class _Best:
-    """Running top-k per query: score descending, then id ascending."""
+    """Running top-k per query: rounded score descending, then id ascending."""
 
-    def __init__(self, n_queries: int, k: int):
-        self.k = k
+    def __init__(self, n_queries: int, k: int, decimals: int = SCORE_DECIMALS):
+        self.k, self.decimals = k, decimals
+        # scores further apart than this keep their order when rounded
+        self.margin = 10.0**-decimals
         self.score = np.full((n_queries, k), -np.inf)
         self.ident = np.full((n_queries, k), np.iinfo(np.int64).max)
 
     def offer(self, score: np.ndarray, ident: np.ndarray) -> None:
+        """Take a (queries, documents) block of raw scores; NaN is never taken."""
         n, k = len(self.score), self.k
-        last_score, last_ident = self.score[:, -1:], self.ident[:, -1:]
-        better = score > last_score
-        better |= (score == last_score) & (ident[None, :] < last_ident)
-        if score.shape[1] > k and np.count_nonzero(better) > 4 * n * k:
-            at_least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-            better &= ~(score < at_least)
-        q, d = np.nonzero(better)
+        near = score >= self.score[:, -1:] - self.margin
+        if score.shape[1] > k and np.count_nonzero(near) > 4 * n * k:
+            kth = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+            near &= ~(score < kth - self.margin)
+        q, d = np.nonzero(near)
+        # adding zero turns a rounded -0.0 into 0.0
+        value, ident = np.round(score[q, d], self.decimals) + 0.0, ident[d]
+        last = self.score[q, -1]
+        better = (value > last) | ((value == last) & (ident < self.ident[q, -1]))
+        q, value, ident = q[better], value[better], ident[better]
         if not len(q):
             return
         # only queries with a better candidate are sorted again
         hit, place = np.unique(q, return_inverse=True)
         all_q = np.concatenate([np.repeat(np.arange(len(hit)), k), place])
-        all_score = np.concatenate([self.score[hit].ravel(), score[q, d]])
-        all_ident = np.concatenate([self.ident[hit].ravel(), ident[d]])
+        all_score = np.concatenate([self.score[hit].ravel(), value])
+        all_ident = np.concatenate([self.ident[hit].ravel(), ident])
         order = np.lexsort((all_ident, -all_score, all_q))
         sizes = k + np.bincount(place)
         starts = np.cumsum(sizes) - sizes
@@ -64,24 +70,21 @@ class _Best:
         return q.astype(np.int32), self.ident[q, r], self.score[q, r]
 
 
-def _offer_all(best: _Best, queries: np.ndarray, ident: np.ndarray, docs: np.ndarray,
-               decimals: int) -> None:
+def _offer_all(best: _Best, queries: np.ndarray, ident: np.ndarray, docs: np.ndarray) -> None:
     step = max(1, CELLS // max(1, len(queries)))
     for lo in range(0, len(ident), step):
-        scores = queries @ docs[lo : lo + step].T
-        # adding zero turns a rounded -0.0 into 0.0
-        best.offer(np.round(scores, decimals) + 0.0, ident[lo : lo + step])
+        best.offer(queries @ docs[lo : lo + step].T, ident[lo : lo + step])
 
 
 def _scan(shared, k: int, decimals: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
-        best = _Best(len(queries), k)
+        best = _Best(len(queries), k, decimals)
         for batch in batches:
             ident = batch.column(0).to_numpy(zero_copy_only=False)
             if len(ident):
                 docs = dense(batch.column(1), queries.shape[1])
-                _offer_all(best, queries, ident, docs, decimals)
+                _offer_all(best, queries, ident, docs)
         q, d, score = best.rows()
         yield pa.record_batch([pa.array(q), pa.array(d), pa.array(score)], schema=_CANDIDATES)
 
@@ -97,8 +100,8 @@ def _block_pair(k: int, decimals: int, n_keys: int):
             return out.append_column("_d", none["_d"]).append_column("score", none["score"])
         q = dense(queries["_v"].combine_chunks())
         d = dense(docs["_v"].combine_chunks(), q.shape[1])
-        best = _Best(len(q), k)
-        _offer_all(best, q, docs["_d"].to_numpy(), d, decimals)
+        best = _Best(len(q), k, decimals)
+        _offer_all(best, q, docs["_d"].to_numpy(), d)
         row, ident, score = best.rows()
         out = keys.take(pa.array(row))
         return out.append_column("_d", pa.array(ident)).append_column("score", pa.array(score))

@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     A local session without the setting gets a temporary folder; a cluster
     without it is an error, since a machine-local folder would be lost.
     """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if spark.sparkContext.master.startswith("local"):

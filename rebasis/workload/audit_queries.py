@@ -14,7 +14,7 @@ from rebasis.plans import audits as A
 from rebasis.plans.corpus import FreezeSpec, freeze
 from rebasis.plans.encoding import encode_grid
 from rebasis.plans.reports import encode_summary
-from rebasis.session import fresh_path
+from rebasis.session import fresh_path, stored
 from rebasis.sources import tables as src
 from rebasis.sources.vectors import shard_totals, stored_shapes, vectors
 from rebasis.streaming.encode_stream import encode_new_files, encoded
@@ -91,10 +91,11 @@ stored AS (SELECT vec_id AS row_idx, vec_id // {ROWS} AS shard_id FROM embedding
 
 
 def _stored(spark: SparkSession, sf: str) -> DataFrame:
-    return st.base_vectors(spark, sf).select(
+    rows = st.base_vectors(spark, sf).select(
         F.lit("studio/base").alias("model"), F.lit("corpus").alias("split"), "row_idx", "embedding",
         E.shard_of("row_idx", ROWS).alias("shard_id"),
     )
+    return stored(rows, "vectors", ("model", "split"))
 
 
 @query(
