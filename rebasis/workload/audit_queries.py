@@ -43,7 +43,7 @@ _TEXT_RANKED = (
     S.terms("documents", "doc_id", "text", "dt") + ","
     + S.terms("benchmark", "item_id", "text", "qt") + """,
 ranked AS (
-  SELECT item_id, doc_id, score, rank FROM (
+  SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (
       SELECT item_id, doc_id, round(sum(q.w * d.w), 6) AS score FROM qt q JOIN dt d USING (bucket) GROUP BY ALL))
   WHERE rank <= 10),
@@ -193,7 +193,7 @@ def vector_shapes(spark: SparkSession, sf: str) -> DataFrame:
     return stored_shapes(st.vectors(spark, sf))
 
 
-@query("SELECT 'hashed-terms-256' AS model, count(*) AS n_texts, 1.0 AS min_cosine, 1.0 AS mean_cosine, 'OK' AS status FROM documents")
+@query("SELECT 'hashed-terms-256' AS model, count(*) AS n_texts, CAST(1 AS DOUBLE) AS min_cosine, CAST(1 AS DOUBLE) AS mean_cosine, 'OK' AS status FROM documents")
 def determinism_audit(spark: SparkSession, sf: str) -> DataFrame:
     docs = st.texts(spark, sf)
     return A.determinism_audit(docs, ENCODER, "passage: ").withColumns(

@@ -91,7 +91,7 @@ def ranked(docs: str, queries: str, doc: str = "corpus_row", query: str = "query
     """A top-k common table over relations with a vector column ``v``."""
     return f"""
 {name} AS (
-  SELECT {query}, {doc}, score, rank FROM (
+  SELECT {query}, {doc}, score, CAST(rank AS INT) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY {query} ORDER BY score DESC, {doc}) AS rank FROM (
       SELECT q.{query}, d.{doc}, round({dot('q.v', 'd.v')}, 6) + 0.0 AS score
       FROM {queries} q, {docs} d))

@@ -208,7 +208,7 @@ _DIMS = "SELECT max(len(embedding)) AS d FROM embeddings"
 
 @query(
     f"""SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j,
-  CASE WHEN i = d - 1 - j THEN CASE WHEN j % 2 = 1 THEN -1.0 ELSE 1.0 END ELSE 0.0 END AS value
+  CAST(CASE WHEN i = d - 1 - j THEN CASE WHEN j % 2 = 1 THEN -1 ELSE 1 END ELSE 0 END AS DOUBLE) AS value
 FROM ({_DIMS}), range(64) a(i), range(64) b(j)"""
 )
 def orthogonal_map(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,7 +220,7 @@ def orthogonal_map(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j,
-  CASE WHEN j < 64 AND i = j THEN 1.0 WHEN j >= 64 AND i = j - 64 THEN 2.0 ELSE 0.0 END AS value
+  CAST(CASE WHEN j < 64 AND i = j THEN 1 WHEN j >= 64 AND i = j - 64 THEN 2 ELSE 0 END AS DOUBLE) AS value
 FROM range(64) a(i), range(96) b(j)"""
 )
 def least_squares_map(spark: SparkSession, sf: str) -> DataFrame:
@@ -294,7 +294,7 @@ SELECT source, p.target, method, src_dim, tgt_dim, (SELECT count(*) // 2 FROM em
   (SELECT count(*) FROM test_docs) AS test_docs, (SELECT count(*) FROM test_qrels) AS test_qrels,
   (SELECT count(DISTINCT query_row) FROM test_qrels) AS test_queries,
   round(recall, 5) AS recall_at_10_translated, round(recall, 5) AS recall_at_10_native_target,
-  CASE WHEN recall > 0 THEN 1.0 ELSE 0.0 END AS ratio, 42 AS seed
+  CAST(CASE WHEN recall > 0 THEN 1 ELSE 0 END AS DOUBLE) AS ratio, 42 AS seed
 FROM pairs p JOIN recalls USING (target)"""
 
 
