@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,10 @@ from rebasis.operators.arrow import dense
 from rebasis.registry import TOP_K
 
 SCORE_DECIMALS = 6
-# Query vectors are broadcast up to this size; beyond it both sides are blocked.
+# Query vectors are broadcast in blocks of this size, with one scan of the
+# documents for each; beyond this many scans both sides are blocked.
 BROADCAST_BYTES = 128 << 20
+MAX_PASSES = 16
 # Vector bytes of one side of a block pair, beyond the broadcast bound.
 BLOCK_BYTES = 64 << 20
 # Score cells held at a time by one task.
@@ -109,77 +112,89 @@ def _block_pair(k: int, decimals: int, n_keys: int):
     return run
 
 
-def _fewer_tasks(df: DataFrame, max_tasks: int | None) -> DataFrame:
-    """Merge input splits so that each task reports its best rows once for many files."""
-    limit = max_tasks or 4 * df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(limit)
-
-
 def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP_K, *, doc_id: str = "row_idx",
           query_id: list[str] | str = "query_row", vector: str = "embedding",
           decimals: int = SCORE_DECIMALS, broadcast_bytes: int = BROADCAST_BYTES,
-          block_bytes: int = BLOCK_BYTES, max_tasks: int | None = None,
-          query_shape: tuple[int, int] | None = None) -> DataFrame:
+          max_passes: int = MAX_PASSES, block_bytes: int = BLOCK_BYTES,
+          max_tasks: int | None = None, query_shape: tuple[int, int] | None = None) -> DataFrame:
     """The ``k`` best documents of every query: query ids, rank (1-based), doc id, score.
 
-    Documents are scanned once and never shuffled: each task multiplies its
-    Arrow batches with the broadcast query block and keeps k rows per query.
-    Query sets above ``broadcast_bytes`` are blocked on both sides instead, and
-    blocks meet by an equi-join on their numbers. ``query_shape``, the number
-    and length of query vectors, saves counting them if known.
+    Documents are scanned and never shuffled: each task multiplies its Arrow
+    batches with the broadcast query block and keeps k rows per query. Query
+    sets above ``broadcast_bytes`` take one scan per block, up to
+    ``max_passes``. Beyond that both sides are blocked, and blocks meet by an
+    equi-join on their numbers. ``query_shape``, the number and length of query
+    vectors, saves counting them if known. Ids must be unique on both sides.
     """
     keys = [query_id] if isinstance(query_id, str) else list(query_id)
-    spark = docs.sparkSession
     n, dim = query_shape or queries.agg(F.count("*"), F.max(F.size(vector))).first()
     right = queries.select(*keys, F.col(vector).alias("_v"))
     left = docs.select(F.col(doc_id).cast("bigint").alias("_d"), F.col(vector).alias("_v"))
 
     if n == 0:
-        none = right.select(*keys, F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias(doc_id))
-        return none.withColumn("score", F.lit(0.0)).where(F.lit(False))
-    if n * dim * 8 <= broadcast_bytes:
-        held = right.toArrow()
-        block = dense(held["_v"].combine_chunks(), dim)
-        shared = spark.sparkContext.broadcast(block)
-        found = _fewer_tasks(left, max_tasks).mapInArrow(
-            _scan(shared, k, decimals), "_q int, _d bigint, score double"
-        )
-        best = _rank(found, ["_q"], k)
-        names = held.select(keys).append_column(
-            "_q", pa.array(np.arange(n, dtype=np.int32))
-        )
-        named = spark.createDataFrame(
-            names, T.StructType([*(right.schema[c] for c in keys), T.StructField("_q", T.IntegerType())])
-        )
-        # as many rows as the broadcast query block
-        ranked = best.join(F.broadcast(named), "_q")
+        ranked = right.select(
+            *keys, F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("_d"),
+            F.lit(0.0).alias("score"),
+        ).where(F.lit(False))
+    elif n * dim * 8 <= broadcast_bytes * max_passes:
+        passes = math.ceil(n * dim * 8 / broadcast_bytes)
+        tasks = max_tasks or 4 * docs.sparkSession.sparkContext.defaultParallelism
+        # merged splits: a task reports its best rows once for many files
+        scan = left.coalesce(tasks)
+        part = F.pmod(F.xxhash64(*keys), F.lit(passes))
+        ranked = reduce(DataFrame.unionByName, (
+            _one_pass(scan, right if passes == 1 else right.where(part == p), keys, k, decimals,
+                      dim, broadcast_bytes)
+            for p in range(passes)
+        ))
     else:
-        row_bytes = dim * 8
-        per_block = max(1, block_bytes // row_bytes)
-        q_blocks = math.ceil(n / per_block)
-        d_blocks = max(1, math.ceil(docs.count() / per_block))
-        # numbers of blocks are small integers: one copy of a row per opposite block
-        left = left.withColumn("_db", F.pmod(F.xxhash64("_d"), F.lit(d_blocks)).cast("int")).withColumn(
-            "_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
-        )
-        right = right.withColumn("_qb", F.pmod(F.xxhash64(*keys), F.lit(q_blocks)).cast("int"))
-        right = right.withColumn(
-            "_db", F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1)))
-        ).select("_qb", "_db", *keys, "_v")
-        schema = T.StructType([
-            *(right.schema[c] for c in keys),
-            T.StructField("_d", T.LongType()), T.StructField("score", T.DoubleType()),
-        ])
-        found = (
-            left.select("_qb", "_db", "_d", "_v")
-            .groupBy("_qb", "_db")
-            .cogroup(right.groupBy("_qb", "_db"))
-            .applyInArrow(_block_pair(k, decimals, len(keys)), schema)
+        per_block = max(1, block_bytes // (dim * 8))
+        ranked = _block_join(
+            left, right, keys, k, decimals,
+            max(1, math.ceil(docs.count() / per_block)), math.ceil(n / per_block),
         )
-        ranked = _rank(found, keys, k)
     return ranked.select(*keys, "rank", F.col("_d").alias(doc_id), "score")
 
 
+def _one_pass(left: DataFrame, right: DataFrame, keys: list[str], k: int, decimals: int, dim: int,
+              broadcast_bytes: int) -> DataFrame:
+    """Rank one query block, small enough for the driver, against a scan of the documents."""
+    spark = left.sparkSession
+    held = right.toArrow()
+    block = dense(held["_v"].combine_chunks(), dim)
+    if block.nbytes > 2 * broadcast_bytes:  # hashing spreads unique ids evenly
+        raise ValueError("a query block is too large; query ids are not unique")
+    found = left.mapInArrow(
+        _scan(spark.sparkContext.broadcast(block), k, decimals), "_q int, _d bigint, score double"
+    )
+    numbered = held.select(keys).append_column("_q", pa.array(np.arange(len(block), dtype=np.int32)))
+    named = spark.createDataFrame(
+        numbered, T.StructType([*(right.schema[c] for c in keys), T.StructField("_q", T.IntegerType())])
+    )
+    # as many rows as the broadcast query block
+    return _rank(found, ["_q"], k).join(F.broadcast(named), "_q").drop("_q")
+
+
+def _block_join(left: DataFrame, right: DataFrame, keys: list[str], k: int, decimals: int,
+                d_blocks: int, q_blocks: int) -> DataFrame:
+    """Every block of documents with every block of queries; rows are copied per opposite block."""
+    left = left.withColumn("_db", F.pmod(F.xxhash64("_d"), F.lit(d_blocks)).cast("int"))
+    left = left.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    right = right.withColumn("_qb", F.pmod(F.xxhash64(*keys), F.lit(q_blocks)).cast("int"))
+    right = right.withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))))
+    schema = T.StructType([
+        *(right.schema[c] for c in keys),
+        T.StructField("_d", T.LongType()), T.StructField("score", T.DoubleType()),
+    ])
+    found = (
+        left.select("_qb", "_db", "_d", "_v")
+        .groupBy("_qb", "_db")
+        .cogroup(right.select("_qb", "_db", *keys, "_v").groupBy("_qb", "_db"))
+        .applyInArrow(_block_pair(k, decimals, len(keys)), schema)
+    )
+    return _rank(found, keys, k)
+
+
 def _rank(found: DataFrame, keys: list[str], k: int) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "_d")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -40,7 +40,9 @@ def data():
 
 
 @pytest.mark.parametrize("parts", [1, 4, 16])
-@pytest.mark.parametrize("how", [{}, {"broadcast_bytes": 0, "block_bytes": 6 * 8 * 50}])
+@pytest.mark.parametrize("how", [
+    {}, {"broadcast_bytes": 6 * 8 * 7}, {"broadcast_bytes": 0, "block_bytes": 6 * 8 * 50},
+])
 def test_equals_brute_force_with_ties(spark, data, parts, how):
     docs, queries = data
     d, q = frames(spark, docs, queries, parts)
@@ -83,7 +85,7 @@ def test_several_query_keys(spark, data):
     docs, queries = data
     d, q = frames(spark, docs, queries)
     named = q.select(F.explode(F.array(F.lit("x"), F.lit("y"))).alias("source"), "query_row", "embedding")
-    for how in ({}, {"broadcast_bytes": 0, "block_bytes": 2000}):
+    for how in ({}, {"broadcast_bytes": 700}, {"broadcast_bytes": 0, "block_bytes": 2000}):
         got = top_k(d, named, 10, query_id=["source", "query_row"], **how)
         for s in "xy":
             assert lists(got.where(F.col("source") == s)) == brute(docs, queries)
