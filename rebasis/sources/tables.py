@@ -11,31 +11,45 @@ from pyspark.sql import types as T
 from rebasis import schemas
 
 
-def _scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    if path.rstrip("/").endswith((".json", ".jsonl", ".json.gz", ".jsonl.gz")):
-        return reader.json(path)
-    return reader.parquet(path)
+def _is(path: str, *endings: str) -> bool:
+    return path.rstrip("/").removesuffix(".gz").endswith(endings)
+
+
+def _scan(spark: SparkSession, path: str, json_schema: T.StructType) -> DataFrame:
+    """Parquet brings its schema; JSON gets one, so that no text is read to infer it."""
+    if _is(path, ".json", ".jsonl"):
+        return spark.read.schema(json_schema).json(path)
+    return spark.read.parquet(path)
 
 
 def raw_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(_id, text) and, where the files have one, title."""
-    return _scan(spark, path)
+    """(_id, text) and title; parquet files may lack the title."""
+    return _scan(spark, path, schemas.RAW_CORPUS)
 
 
 def raw_queries(spark: SparkSession, path: str) -> DataFrame:
-    return _scan(spark, path)
+    return _scan(spark, path, schemas.RAW_QUERIES)
+
+
+# Judgment files name their columns with hyphens or with underscores.
+HYPHENED = {"query-id": "query_id", "corpus-id": "corpus_id"}
+TSV_QRELS = schemas.struct("query-id STRING, corpus-id STRING, score INT")
+JSON_QRELS = schemas.struct(
+    "query-id STRING, corpus-id STRING, query_id STRING, corpus_id STRING, score INT"
+)
 
 
 def raw_qrels(spark: SparkSession, path: str) -> DataFrame:
     """Judgments as (query_id, corpus_id, score), from parquet, JSON lines or TSV."""
-    if path.rstrip("/").endswith((".tsv", ".tsv.gz")):
-        tsv = T.StructType([T.StructField(c, T.StringType()) for c in ("query-id", "corpus-id")])
-        found = spark.read.schema(tsv.add("score", T.IntegerType())).csv(path, sep="\t", header=True)
+    if _is(path, ".tsv"):
+        found = spark.read.schema(TSV_QRELS).csv(path, sep="\t", header=True)
     else:
-        found = _scan(spark, path)
-    names = {"query-id": "query_id", "corpus-id": "corpus_id"}
-    return found.withColumnsRenamed({a: b for a, b in names.items() if a in found.columns})
+        found = _scan(spark, path, JSON_QRELS)
+    names = [
+        F.coalesce(*(F.col(f"`{c}`") for c in (old, new) if c in found.columns)).alias(new)
+        for old, new in HYPHENED.items()
+    ]
+    return found.select(*names, "score")
 
 
 def frozen(spark: SparkSession, root: str, name: str) -> DataFrame:

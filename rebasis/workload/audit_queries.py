@@ -228,9 +228,10 @@ def prefix_gap(spark: SparkSession, sf: str) -> DataFrame:
     """Prefixes of one registered model, over every judged passage."""
     models = registry.models(spark)
     name = "intfloat/e5-base-v2"
-    qrels = st.contained(spark, sf).select(
+    judged = st.contained(spark, sf).select(
         F.col("item_id").alias("query_row"), F.col("doc_id").alias("corpus_row")
     )
+    qrels = stored(judged, "qrels")
     asked = st.table(spark, sf, "benchmark").withColumnRenamed("item_id", "row_idx")
     docs = st.table(spark, sf, "documents").withColumnRenamed("doc_id", "row_idx")
     return A.prefix_audit(

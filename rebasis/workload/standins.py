@@ -151,7 +151,7 @@ def graded_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Both splits of all three models: (model, split, row_idx, embedding)."""
+    """Both splits of all three models, stored by directory: (model, split, row_idx, embedding)."""
     maps = {
         "studio/base": F.col("embedding"),
         "studio/rotated": planted_rotation("embedding"),
@@ -166,4 +166,4 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
                 image.cast("array<float>").alias("embedding"),
             )
             out = part if out is None else out.unionByName(part)
-    return out
+    return stored(out, "vectors", ("model", "split"))

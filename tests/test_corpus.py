@@ -143,11 +143,15 @@ def test_readers(spark):
     pairs = spark.createDataFrame([("1", "2", 1)], "`query-id` string, `corpus-id` string, score int")
     pairs.write.csv(f"{root}/qrels/test.tsv", sep="\t", header=True)
     pairs.write.parquet(f"{root}/pairs")
+    pairs.write.json(f"{root}/hyphens.jsonl")
+    src.raw_qrels(spark, f"{root}/pairs").write.json(f"{root}/underscores.jsonl")
     corpus, queries, graded = src.benchmark_layout(spark, root)
     assert corpus.count() == 2 and queries.columns == ["_id", "text"]
     assert graded.first() == ("1", "2", 1)
-    for path in (f"{root}/qrels/test.tsv", f"{root}/pairs"):
-        assert src.raw_qrels(spark, path).first() == ("1", "2", 1)
+    for name in ("qrels/test.tsv", "pairs", "hyphens.jsonl", "underscores.jsonl"):
+        assert src.raw_qrels(spark, f"{root}/{name}").first() == ("1", "2", 1)
+    spark.createDataFrame([(7, "x")], "_id int, text string").write.json(f"{root}/ints.json")
+    assert src.raw_corpus(spark, f"{root}/ints.json").first() == ("7", None, "x")
     assert src.raw_corpus(spark, f"{root}/corpus.jsonl").count() == 2
 
 
