@@ -149,12 +149,17 @@ def solve_orthogonal(cross: np.ndarray) -> LinearMap:
     return LinearMap(u @ vt, "orthogonal_procrustes", rank, condition)
 
 
-def solve_least_squares(gram: np.ndarray, cross: np.ndarray,
+def spectrum(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues, ascending, and eigenvectors of a Gram matrix."""
+    return np.linalg.eigh((gram + gram.T) / 2)
+
+
+def solve_least_squares(gram: tuple[np.ndarray, np.ndarray], cross: np.ndarray,
                         cutoff: float = RELATIVE_CUTOFF) -> LinearMap:
-    """The minimum-norm M of least ``|A M - B|``, from ``A'A`` and ``A'B``."""
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    """The minimum-norm M of least ``|A M - B|``, from the spectrum of ``A'A`` and ``A'B``."""
+    values, vectors = gram
     top = values[-1]
-    least = top * max(cutoff**2, np.finfo(float).eps * len(gram))
+    least = top * max(cutoff**2, np.finfo(float).eps * len(values))
     kept = values > least if top > 0 else np.zeros(len(values), bool)
     basis = vectors[:, kept]
     matrix = basis @ ((basis.T @ cross) / values[kept, None])
@@ -202,10 +207,16 @@ def fit_many(df: DataFrame, dims: dict[str, int], pairs: list[tuple[str, str]],
                 matrix[mine["i"].to_numpy()] = dense(mine["row"].combine_chunks(), dims[b])
             sums[a, b], sums[b, a] = matrix, matrix.T
 
+    # one spectrum serves all targets of a source
+    spectra = {
+        a: spectrum(sums[a, a]) for a in dict.fromkeys(
+            a for a, b in pairs if method_for(dims[a], dims[b]) == "least_squares"
+        )
+    }
     return {
         (a, b): solve_orthogonal(sums[a, b])
         if method_for(dims[a], dims[b]) == "orthogonal_procrustes"
-        else solve_least_squares(sums[a, a], sums[a, b])
+        else solve_least_squares(spectra[a], sums[a, b])
         for a, b in pairs
     }
 

@@ -374,12 +374,12 @@ TEXT_MODELS = [
 ]
 
 
-def text_vectors(spark: SparkSession, sf: str, models: list | None = None) -> tuple[DataFrame, DataFrame]:
+def text_vectors(spark: SparkSession, sf: str, models: list) -> tuple[DataFrame, DataFrame]:
     """Documents and passages under several text encoders, and their judgments."""
     docs = st.texts(spark, sf).select(F.col("doc_id").alias("row_idx"), "text")
     asked = st.table(spark, sf, "benchmark").select(F.col("item_id").alias("row_idx"), "text")
     out = None
-    for model in models or TEXT_MODELS:
+    for model in models:
         for split, rows in (("corpus", docs), ("queries", asked)):
             part = encode(rows, model).select(
                 F.lit(model.name).alias("model"), F.lit(split).alias("split"), "row_idx", "embedding"
@@ -391,12 +391,22 @@ def text_vectors(spark: SparkSession, sf: str, models: list | None = None) -> tu
     return out, judged
 
 
-@query()
-def text_pair_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Translate between text encoders: half of the documents train, all others are searched."""
-    found, judged = text_vectors(spark, sf)
+def _text_grid(spark: SparkSession, sf: str, models: list) -> DataFrame:
+    found, judged = text_vectors(spark, sf, models)
     half = st.table(spark, sf, "documents").count() // 2
     return evaluate_pairs(
         stored(found, "text-vectors", ("model", "split")), stored(judged, "text-qrels"),
-        all_pairs([m.name for m in TEXT_MODELS]), train_size=half,
+        all_pairs([m.name for m in models]), train_size=half,
     )
+
+
+@query()
+def text_pair_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Translate between text encoders: half of the documents train, all others are searched."""
+    return _text_grid(spark, sf, TEXT_MODELS)
+
+
+@query()
+def text_pair_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The same between the smallest and the largest registered dimension."""
+    return _text_grid(spark, sf, [TEXT_MODELS[0], HashedTermEncoder(2560, "d", "terms/d")])

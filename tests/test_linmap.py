@@ -146,6 +146,17 @@ def test_grid_equals_numpy(spark, spaces):
     assert {r.method for r in rows} == {"orthogonal_procrustes", "least_squares"}
 
 
+@pytest.mark.parametrize("parts", [1, 16])
+def test_pairs_do_not_depend_on_partitions(spark, spaces, parts):
+    table = vector_table(spark, spaces)
+    judged = spark.createDataFrame([(q, q) for q in range(60)], "query_row long, corpus_row long")
+    one, two = (
+        P.evaluate_grid(t, judged, train_size=150).drop("train_seconds")
+        for t in (table.repartition(4), table.repartition(parts))
+    )
+    assert sorted(one.collect()) == sorted(two.collect())
+
+
 def test_training_query_choices(spark, spaces):
     table = vector_table(spark, spaces)
     judged = spark.createDataFrame([(q, q) for q in range(60)], "query_row long, corpus_row long")
