@@ -56,7 +56,7 @@ def _encode(spark: SparkSession, a: argparse.Namespace) -> int:
         spark, a.corpus, a.out, a.split, encoder, side, prefix, model, a.batch_size,
         a.max_tokens, force=a.force,
     )
-    encode_summary(src.sidecars(spark, f"{a.out}/runs").drop("sidecar")).show(truncate=False)
+    encode_summary(src.encode_runs(spark, a.out).drop("sidecar")).show(truncate=False)
     return 0
 
 
@@ -67,7 +67,7 @@ def _models(found: DataFrame) -> list[str]:
 def _ceilings(spark: SparkSession, a: argparse.Namespace) -> int:
     held = src.manifest(spark, a.corpus)
     if exists(spark, f"{a.vectors}/runs"):
-        A.require_hashes(src.sidecars(spark, f"{a.vectors}/runs"), held)
+        A.require_hashes(src.encode_runs(spark, a.vectors), held)
     found = vectors(spark, f"{a.vectors}/vectors")
     qrels = src.frozen(spark, a.corpus, "qrels")
     ceiling_lines(ceilings(found, qrels, a.models or _models(found))).show(1000, truncate=False)

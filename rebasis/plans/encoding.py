@@ -13,8 +13,8 @@ from rebasis.operators.fingerprint import flat_fingerprint, tree_fingerprint
 from rebasis.plans.audits import stored_type_ok
 from rebasis.registry import BATCH_SIZE, SHARD_ROWS
 from rebasis.session import small
-from rebasis.sinks.tables import append_run, exists, refuse_if_encoded, write_vectors
-from rebasis.sources.tables import frozen, id_column, manifest, sidecars
+from rebasis.sinks.tables import exists, refuse_if_encoded, write_run, write_vectors
+from rebasis.sources.tables import encode_runs, frozen, id_column, manifest
 from rebasis.sources.vectors import vectors
 
 # At most this many tasks write shards, each one shard after another. Shards are
@@ -72,15 +72,15 @@ def encode_split(spark: SparkSession, corpus_root: str, root: str, split: str, e
                  prefix_type: str, prefix: str, model: str | None = None,
                  batch_size: int = BATCH_SIZE, max_tokens: int | None = None,
                  shard_rows: int = SHARD_ROWS, force: bool = False) -> DataFrame:
-    """Verify, resume, encode, check totals, append the sidecar; returns the sidecar row.
+    """Verify, resume, encode, check totals, write the sidecar; returns the sidecar row.
 
     ``root`` holds ``vectors`` and ``runs``. Shards made with another prefix or
     input count as missing; ``force`` encodes every shard again.
     """
     model = model or encoder.name
-    runs, table = f"{root}/runs", f"{root}/vectors"
-    if exists(spark, runs):
-        refuse_if_encoded(sidecars(spark, runs), model, split, force)
+    table = f"{root}/vectors"
+    if exists(spark, f"{root}/runs"):
+        refuse_if_encoded(encode_runs(spark, root), model, split, force)
     rows = frozen(spark, corpus_root, split)
     key, input_hash = verify_input(rows, manifest(spark, corpus_root))
 
@@ -110,7 +110,7 @@ def encode_split(spark: SparkSession, corpus_root: str, root: str, split: str, e
         input_hash if kind == "corpus" else None, input_hash if kind == "queries" else None,
         round(seconds, 1), round(written / max(seconds, 1e-3), 1),
     )], schemas.ENCODE_RUNS)
-    append_run(run, runs)
+    write_run(run, root, model, split)
     return run
 
 

@@ -45,9 +45,9 @@ def write_vectors(df: DataFrame, root: str, shard_rows: int = SHARD_ROWS) -> Non
     )
 
 
-def append_run(run: DataFrame, root: str) -> None:
-    """Add one row to the encode sidecars."""
-    run.coalesce(1).write.mode("append").json(root)
+def write_run(run: DataFrame, root: str, model: str, split: str) -> None:
+    """Store the sidecar of one model and split; encoding again replaces it."""
+    run.coalesce(1).write.mode("overwrite").json(f"{root}/runs/{model.replace('/', '_')}__{split}")
 
 
 def write_pair_results(results: DataFrame, path: str, fmt: str = "json") -> None:

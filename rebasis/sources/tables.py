@@ -75,6 +75,11 @@ def sidecars(spark: SparkSession, pattern: str, pretty: bool = False) -> DataFra
     )
 
 
+def encode_runs(spark: SparkSession, root: str) -> DataFrame:
+    """The sidecars of all encoded models and splits under ``root``."""
+    return sidecars(spark, f"{root}/runs/*")
+
+
 def benchmark_layout(spark: SparkSession, root: str, split: str = "test") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Corpus and queries as JSON lines, judgments as ``qrels/<split>.tsv``."""
     corpus = spark.read.schema(schemas.RAW_CORPUS).json(f"{root}/corpus.jsonl")

@@ -387,7 +387,7 @@ def encode_job(spark: SparkSession, sf: str) -> DataFrame:
     failed = encode_grid(spark, root, store, jobs).where(~F.col("passed")).collect()
     if failed:
         raise RuntimeError(str(failed))
-    return src.sidecars(spark, f"{store}/runs").select(
+    return src.encode_runs(spark, store).select(
         "model", "split", "dim", "n_rows", "prefix", "n_shards", "normalized", "dtype"
     )
 

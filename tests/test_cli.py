@@ -42,7 +42,7 @@ def test_jobs_end_to_end(spark, capsys):
         for split in R.SPLITS:
             job = ["encode", "--corpus", root, "--out", out, "--split", split, "--encoder", module(name)]
             assert main(job, spark) == 0
-    assert {r.prefix for r in src.sidecars(spark, f"{out}/runs").collect()} == {
+    assert {r.prefix for r in src.encode_runs(spark, out).collect()} == {
         "query: ", "passage: ", "search_query: ", "search_document: ", R.INSTRUCT_PROMPT, "",
     }
     where = ["--corpus", root, "--vectors", out]

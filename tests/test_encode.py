@@ -107,6 +107,7 @@ def test_encode_split_and_resume(spark, frozen):
     assert E.resume_plan(expected, stored, model, split, "passage: ", "x").count() == 5
 
     run = P.encode_split(spark, frozen, root, **{**JOB, "prefix": "other: "}, force=True).first()
+    assert [r.prefix for r in src.encode_runs(spark, root).collect()] == ["other: "]
     assert run.prefix == "other: " and vectors(spark, table, model, split).count() == 230
     assert {r.prefix for r in vectors(spark, table).select("prefix").distinct().collect()} == {"other: "}
     with pytest.raises(FileNotFoundError):
@@ -148,7 +149,7 @@ def test_grid_reports_failures(spark, frozen):
     bad = {**JOB, "encoder": Failing("dim")}
     rows = P.encode_grid(spark, frozen, root, [bad, JOB]).collect()
     assert [(r.subject, r.status) for r in rows] == [("failing/corpus", "FAIL"), ("hashed-terms-32/corpus", "OK")]
-    refuse_if_encoded(src.sidecars(spark, f"{root}/runs"), "failing", "corpus")
+    refuse_if_encoded(src.encode_runs(spark, root), "failing", "corpus")
 
 
 def test_pretty_sidecars(spark):
