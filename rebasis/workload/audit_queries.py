@@ -16,7 +16,7 @@ from rebasis.plans.encoding import encode_grid
 from rebasis.plans.reports import encode_summary
 from rebasis.session import fresh_path, stored
 from rebasis.sources import tables as src
-from rebasis.sources.vectors import shard_totals, stored_shapes, vectors
+from rebasis.sources.vectors import stored_shapes, vectors
 from rebasis.streaming.encode_stream import encode_new_files, encoded
 from rebasis.workload import sql as S
 from rebasis.workload import standins as st

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rebasis import registry
 from rebasis.functions import vectors as V
 from rebasis.operators import linmap as L
 from rebasis.operators import metrics as M
