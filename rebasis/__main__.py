@@ -25,7 +25,8 @@ from rebasis.plans.corpus import FreezeSpec, freeze, load
 from rebasis.plans.encoding import encode_split
 from rebasis.plans.pairs import evaluate_grid, evaluate_pairs
 from rebasis.plans.reports import ceiling_lines, encode_summary, pair_summary
-from rebasis.sinks.tables import exists, write_pair_results
+from rebasis.session import exists
+from rebasis.sinks.tables import write_pair_results
 from rebasis.sources import tables as src
 from rebasis.sources.vectors import vectors
 

@@ -105,8 +105,11 @@ def metric_audit(measured: DataFrame, expected: DataFrame,
     outcome is unknown, not passed.
     """
     scale = F.when(F.col("scale") == "0-100", F.lit(100.0)).otherwise(F.lit(1.0))
-    known = expected.select(
-        slug("model").alias("slug"),
+    # an entry under the full name goes before one under the slug
+    known = expected.groupBy(slug("model").alias("slug")).agg(
+        F.max_by(F.struct("ndcg_at_10", "scale", "tolerance"), F.col("model").contains("/")).alias("e")
+    ).select("slug", "e.*").select(
+        "slug",
         (F.col("ndcg_at_10") / scale).alias("expected"),
         (
             F.lit(tolerance) if tolerance is not None

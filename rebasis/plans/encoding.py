@@ -12,8 +12,8 @@ from rebasis.operators.encode import Encoder, encode, expected_shards, resume_pl
 from rebasis.operators.fingerprint import flat_fingerprint, tree_fingerprint
 from rebasis.plans.audits import stored_type_ok
 from rebasis.registry import BATCH_SIZE, SHARD_ROWS
-from rebasis.session import small
-from rebasis.sinks.tables import exists, refuse_if_encoded, write_run, write_vectors
+from rebasis.session import exists, small
+from rebasis.sinks.tables import refuse_if_encoded, write_run, write_vectors
 from rebasis.sources.tables import encode_runs, frozen, id_column, manifest
 from rebasis.sources.vectors import vectors
 

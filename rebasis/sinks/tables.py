@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 
 from rebasis.operators.encode import shard_of
 from rebasis.registry import SHARD_ROWS
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Does ``path`` exist, on whatever file system it names? Lists no files."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+from rebasis.session import exists
 
 
 def refuse_if_frozen(spark: SparkSession, root: str) -> None:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rebasis import schemas
+from rebasis.session import exists
 
 
 def _is(path: str, *endings: str) -> bool:
@@ -104,8 +106,11 @@ def expected_metrics(spark: SparkSession, path: str | None) -> DataFrame:
     """Expected metrics by model from one JSON object.
 
     Keys that start with an underscore describe the file: its scale and its
-    tolerance. Without a file the table is empty.
+    tolerance. Without a file the table is empty, with a warning if one was named.
     """
+    if path is not None and not exists(spark, path):
+        warnings.warn(f"{path} not found; metrics are reported without comparison", stacklevel=2)
+        path = None
     if path is None:
         return spark.createDataFrame([], schemas.EXPECTED_METRICS)
     return parse_expected(spark.read.text(path, wholetext=True))

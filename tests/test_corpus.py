@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 from rebasis.operators import diff
 from rebasis.operators import judgments as J
 from rebasis.plans import corpus as C
-from rebasis.session import fresh_path
-from rebasis.sinks.tables import exists
+from rebasis.session import exists, fresh_path
 from rebasis.sources import tables as src
 
 
@@ -163,3 +162,5 @@ def test_expected_metrics(spark):
     assert set(rows) == {"m/a", "m_b"} and rows["m/a"].ndcg_at_10 == 0.5
     assert rows["m_b"].scale == "0-1" and rows["m_b"].tolerance == 0.1
     assert src.expected_metrics(spark, None).count() == 0
+    with pytest.warns(UserWarning, match="without comparison"):
+        assert src.expected_metrics(spark, f"{path}-absent").count() == 0

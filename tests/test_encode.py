@@ -232,7 +232,7 @@ def test_metric_audit(spark):
         [("o/near", 0.70), ("o/far", 0.70), ("o/none", 0.70), ("o/percent", 0.70)], "model string, ndcg double"
     )
     expected = spark.createDataFrame(
-        [("o/near", 0.71, None, "0-1", 0.02), ("o_far", 0.75, None, "0-1", 0.02), ("o/percent", 70.5, None, "0-100", 2.0)],
+        [("o/near", 0.71, None, "0-1", 0.02), ("o_near", 0.1, None, "0-1", 0.02), ("o_far", 0.75, None, "0-1", 0.02), ("o/percent", 70.5, None, "0-100", 2.0)],
         "model string, ndcg_at_10 double, source string, scale string, tolerance double",
     )
     def got(**how):
