@@ -121,5 +121,5 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item, with all their columns."""
-    bad = stored(matches(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(small(bad, bad.count()), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = stored(matches(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
+    return docs.join(small(bad, bad.count()), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")

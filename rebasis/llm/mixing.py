@@ -235,8 +235,8 @@ def mixed_documents(docs: DataFrame, spec: Mix = Mix()) -> DataFrame:
     A document taken whole keeps its text as it is; a part is its words with one
     space between. Rows equal in id, source and text are copies of one document.
     """
-    keyed = docs.withColumns({"version": F.xxhash64("text")})
-    units = keyed.select("doc_id", "source", "version", F.size(text_words("text")).cast("long").alias("size"))
+    keyed = docs.withColumn("__version", F.xxhash64("text"))
+    units = keyed.select("doc_id", "source", F.col("__version").alias("version"), F.size(text_words("text")).cast("long").alias("size"))
     mixed = mix(units, spec)
     of_unit = Window.partitionBy("source_no", "start", "epoch").orderBy("lo")
     runs = mixed.pieces().withColumn("new", F.when(
@@ -245,15 +245,15 @@ def mixed_documents(docs: DataFrame, spec: Mix = Mix()) -> DataFrame:
     runs = runs.groupBy("doc_id", "source", "version", "source_no", "start", "size", "epoch", "run").agg(
         F.min(F.col("lo") - F.col("start")).cast("int").alias("lo"), F.max(F.col("hi") - F.col("start")).cast("int").alias("hi"))
     lists = runs.groupBy("doc_id", "source", "version", "source_no", "start", "size").agg(
-        F.collect_list(F.struct("epoch", "lo", "hi")).alias("runs"))  # at most two runs per block of one document
-    left = lists.select(F.col("doc_id").alias("u_id"), F.col("source").alias("u_source"),
-                        F.col("version").alias("u_version"), F.col("size").alias("u_size"), "runs")
-    texts = keyed.dropDuplicates(["doc_id", "source", "version"])
-    met = texts.join(left, F.col("doc_id").eqNullSafe(F.col("u_id")) & F.col("source").eqNullSafe(F.col("u_source"))
-                     & F.col("version").eqNullSafe(F.col("u_version")))
-    cut = met.withColumn("u_words", text_words("text")).withColumn("u_run", F.explode("runs"))
-    whole = (F.col("u_run.lo") == 0) & (F.col("u_run.hi") == F.col("u_size"))
-    part = F.array_join(F.slice("u_words", F.col("u_run.lo") + 1, F.col("u_run.hi") - F.col("u_run.lo")), " ")
+        F.collect_list(F.struct("epoch", "lo", "hi")).alias("__runs"))  # at most two runs per block of one document
+    left = lists.select(F.col("doc_id").alias("__ui"), F.col("source").alias("__us"),
+                        F.col("version").alias("__uv"), F.col("size").alias("__un"), "__runs")
+    texts = keyed.dropDuplicates(["doc_id", "source", "__version"])
+    met = texts.join(left, F.col("doc_id").eqNullSafe(F.col("__ui")) & F.col("source").eqNullSafe(F.col("__us"))
+                     & F.col("__version").eqNullSafe(F.col("__uv")))
+    cut = met.withColumn("__words", text_words("text")).withColumn("__run", F.explode("__runs"))
+    whole = (F.col("__run.lo") == 0) & (F.col("__run.hi") == F.col("__un"))
+    part = F.array_join(F.slice("__words", F.col("__run.lo") + 1, F.col("__run.hi") - F.col("__run.lo")), " ")
     out = cut.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))

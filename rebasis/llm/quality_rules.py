@@ -123,18 +123,18 @@ def frequent_lines(found: DataFrame, min_documents: int = 20, share: float = 0.0
 
 def with_bad(rows: DataFrame, bad: DataFrame, host: str) -> DataFrame:
     """``rows`` with the frequent lines of their host, an empty array if it has none."""
-    side = bad.select(F.col("host").alias("bad_host"), "bad")
+    side = bad.select(F.col("host").alias("__host"), F.col("bad").alias("__bad"))
     size = bad.agg(F.coalesce(F.sum(F.size("bad") + 1), F.lit(0))).first()[0]
     return (
-        rows.join(small(side, size), F.col(host).eqNullSafe(F.col("bad_host")), "left").drop("bad_host")
-        .withColumn("bad", F.coalesce("bad", F.array().cast("array<bigint>")))
+        rows.join(small(side, size), F.col(host).eqNullSafe(F.col("__host")), "left").drop("__host")
+        .withColumn("__bad", F.coalesce("__bad", F.array().cast("array<bigint>")))
     )
 
 
 def judge(found: DataFrame, bad: DataFrame, max_removed: float = 0.8) -> DataFrame:
     """Base counts, the words in frequent lines, and the verdict, one row per row of ``found``."""
     removed = F.aggregate(
-        F.filter("lines", lambda x: F.array_contains("bad", x["h"])), F.lit(0).cast("long"),
+        F.filter("lines", lambda x: F.array_contains("__bad", x["h"])), F.lit(0).cast("long"),
         lambda s, x: s + x["n"],
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 100 * MAX_REPEATED * F.col("n_words"))
@@ -160,21 +160,25 @@ def apply_rules(docs: DataFrame, host: str = "source", max_removed: float = 0.8)
     """
     found = stored(signals(docs, host), "quality")
     bad = stored(frequent_lines(found), "frequent")
-    n_words = F.size(F.flatten("cells"))
-    split = docs.withColumns({"cells": line_words("text"), "raw": F.split(F.coalesce("text", F.lit("")), "\n")})
-    marked = with_bad(split, bad, host).withColumn("gone", F.transform(
-        "cells", lambda c: (F.size(c) > 0) & F.array_contains("bad", F.xxhash64(normal_line(c)))))
-    lost = F.aggregate(
-        F.zip_with("cells", "gone", lambda c, g: F.when(g, F.size(c)).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    ok = (
-        (n_words >= MIN_WORDS)
-        & (100 * repeat_words(F.flatten("cells")) <= 100 * MAX_REPEATED * n_words)
-        & (lost <= max_removed * n_words)
-    )
-    rest = F.array_join(F.filter("raw", lambda line, i: ~F.get("gone", i)), "\n")
-    kept = marked.where(ok)
-    text = F.when(lost > 0, rest).otherwise(F.col("text"))
-    out = kept.withColumn("text", text)
+
+
+    def judged(cells: Column, gone: Column, words: Column) -> Column:
+        lost = F.aggregate(
+            F.zip_with(cells, gone, lambda c, g: F.when(g, F.size(c)).otherwise(0)), F.lit(0), lambda s, x: s + x)
+        rest = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, i: ~F.get(gone, i)), "\n")
+        n = F.size(words)
+        return let(lost, lambda out: F.struct(
+            ((n >= MIN_WORDS) & (out <= max_removed * n)
+             & (100 * repeat_words(words) <= 100 * MAX_REPEATED * n)).alias("ok"),
+            F.when(out > 0, rest).otherwise(F.col("text")).alias("rest"),
+        ))
+
+    verdict = let(line_words("text"), lambda cells: let(
+        F.transform(cells, lambda c: (F.size(c) > 0) & F.array_contains("__bad", F.xxhash64(normal_line(c)))),
+        lambda gone: let(F.flatten(cells), lambda words: judged(cells, gone, words))))
+    # a generator keeps the filter from being pushed into, and computed beside, the verdict
+    out = with_bad(docs, bad, host).select(*docs.columns, F.explode(F.array(verdict)).alias("__q"))
+    out = out.where("__q.ok").withColumn("text", F.col("__q.rest"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

@@ -282,8 +282,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD) -
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Of each component the document of the least id; of repeated ids the first text in order."""
     chosen = near_duplicates(docs.select("doc_id", "text")).where(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("of")).distinct()
+        F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__of")).distinct()
     chosen = stored(chosen, "representatives")
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__of")), "left_semi")
     first = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("nth_", F.row_number().over(first)).where("nth_ = 1").drop("nth_")
+    return kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
