@@ -25,12 +25,15 @@ ordered by text. An empty table gives no shards.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,18 +43,31 @@ MAGIC = b"RPT1"
 BASE = 1 << 16
 SHARD_IDS = 1 << 20
 MAX_SYMBOLS = 1 << 24
-ROUNDS = 5
+ROUNDS = 3
 MIN_USES = 8
+SLOT_BITS = 18
+SLOTS = 1 << SLOT_BITS
 END_ID = 1
-CACHE_WORDS = 400_000
-LONG_WORD = 48
+CACHE_WORDS = 1_000_000
+GROUP_BYTES = 1 << 23
+MARKS = b".,;:!?%$#&*|"
+# letters that lower-case and normalise one by one
+LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+# byte-level vocabularies show a byte as itself if it is printable, else as the next free character from 256
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 VOCABULARY = "word_bpe_49k.json"
 
 IMAGE_SCHEMA = "part int, no int, n_docs int, n_ids bigint, n_symbols bigint, image binary"
 
 
 class WordEncoder:
-    """Ids of a text as little-endian uint32 bytes; frequent words are encoded once."""
+    """Ids of texts, batch by batch: each distinct word is looked up once, and encoded once while it is remembered.
+
+    The tokenizer lower-cases, and parts letters and digits from other marks, so an unknown word
+    is looked up as its lower-case stem and the marks behind it. A stem of Latin letters is one word
+    to the library's model, which is asked for it directly; all else takes the whole way.
+    """
 
     def __init__(self, path: str | None = None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -59,24 +75,66 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        done = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, done)}
-
-    def __call__(self, text: bytes) -> bytes:
-        words, known = text.split(), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        found = self._learn(list({w for w in words if w not in known}))
-        out = b"".join([known[w] if w in known else found[w] for w in words])
+    @staticmethod
+    def parts(word: bytes) -> tuple[bytes, ...]:
+        """Pieces whose ids make up the word's; the word itself unless they surely do."""
+        if b"<|" in word:  # may be a special token, which is told by case
+            return (word,)
+        stem = word.rstrip(MARKS)
+        if not stem:
+            return (word,)
+        ends_plain = stem[-1:].isalnum() if stem[-1] < 128 else stem.decode()[-1].isalpha()
+        if not ends_plain:
+            return (word,)
+        return (stem.lower(),) if stem == word else (stem.lower(), word[len(stem):])
+
+    def learn(self, words: list[bytes]) -> None:
+        known, parts, tokenize, plain = self.known, self.parts, self.model.tokenize, LATIN.fullmatch
+        split = [parts(w) for w in words]
+        ask: list[bytes] = []
+        for piece in {p for ps in split for p in ps}:
+            if piece in known:
+                continue
+            text = piece.decode()
+            if not plain(text):
+                ask.append(piece)
+                continue
+            if not text.isascii():
+                text = text.lower().encode().decode("latin-1").translate(BYTE_CHARS)
+            known[piece] = array("I", [t.id for t in tokenize(text)]).tobytes()
+        done = self.tokenizer.encode_batch_fast([p.decode() for p in ask], add_special_tokens=False)
+        known.update((p, array("I", e.ids).tobytes()) for p, e in zip(ask, done))
+        for word, ps in zip(words, split):
+            if len(ps) > 1:
+                known[word] = known[ps[0]] + known[ps[1]]
+            elif ps[0] is not word:
+                known[word] = known[ps[0]]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by the end id, and how many each text has."""
+        known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        known.update((w, ids) for w, ids in found.items() if len(w) <= LONG_WORD)
-        return out
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        found = list(map(known.get, words))
+        if new := [n for n, ids in enumerate(found) if ids is None]:
+            self.learn([words[n] for n in new])
+            for n in new:
+                found[n] = known[words[n]]
+        table = np.frombuffer(b"".join(found), np.uint32)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(size) - size
+        codes = coded.indices.to_numpy()
+        each = size[codes]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = table[np.repeat(starts[codes] - ends[:-1], each) + np.arange(int(ends[-1]))]
+        bounds = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return np.insert(ids, bounds[1:], END_ID), np.diff(bounds) + 1
 
 
 _encoders: dict[str | None, WordEncoder] = {}
@@ -90,68 +148,83 @@ def encoder(path: str | None) -> WordEncoder:
 
 
 def repair(ids: np.ndarray, rounds: int = ROUNDS, min_uses: int = MIN_USES) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rules are rows (left, right, expansion length), numbered from ``BASE``."""
+    """(symbols, rules): rules are rows (left, right, expansion length), numbered from ``BASE``.
+
+    Pairs are counted in a table of hashed slots. A slot stands for one pair in a round; another
+    pair of the same slot waits for a later round.
+    """
     seq = ids.astype(np.uint32)
     tables: list[np.ndarray] = []
-    n_rules = 0
-    lengths = np.ones(0, np.uint32)
+    sizes = np.ones(BASE, np.uint32)
+    held = np.zeros(SLOTS, np.uint64)
     for _ in range(rounds):
-        if len(seq) < 2:
+        room = MAX_SYMBOLS - len(sizes)
+        if len(seq) < 2 or room <= 0:
             break
         pairs = (seq[:-1].astype(np.uint64) << np.uint64(24)) | seq[1:]
-        # a cheap table of hashed counts leaves few pairs to sort
-        slot = (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-        often = np.bincount(slot.view(np.int64), minlength=1 << 20)[slot.view(np.int64)] >= min_uses
-        at = np.flatnonzero(often)
-        if not len(at):
-            break
-        kinds, which, uses = np.unique(pairs[at], return_inverse=True, return_counts=True)
-        good = uses[which] >= min_uses
-        at, which = at[good], which[good]
+        slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+        held[slot] = pairs
+        at = np.flatnonzero(held[slot] == pairs)
+        at = at[np.bincount(slot[at], minlength=SLOTS)[slot[at]] >= min_uses]
         # of a run of neighbouring places every second one is taken, once without the pairs that get too few
         for last in (False, True):
             new_run = np.diff(at, prepend=-2) > 1
-            start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-            take = (np.arange(len(at)) - start) % 2 == 0
-            chosen = take if last else np.bincount(which[take], minlength=len(kinds))[which] >= min_uses
-            at, which = at[chosen], which[chosen]
-            if not len(at):
-                break
-        if not len(at):
+            order = np.arange(len(at))
+            take = ((order - np.maximum.accumulate(np.where(new_run, order, 0))) & 1) == 0
+            at = at[take] if last else at[np.bincount(slot[at[take]], minlength=SLOTS)[slot[at]] >= min_uses]
+        named = np.flatnonzero(np.bincount(slot[at], minlength=SLOTS))[:room]
+        if not len(named):
             break
-        named = np.unique(which)[: MAX_SYMBOLS - BASE - n_rules]
-        number = np.zeros(len(kinds), np.int64) - 1
-        number[named] = BASE + n_rules + np.arange(len(named))
-        fits = number[which] >= 0
-        at, which = at[fits], which[fits]
-        left = (kinds[named] >> np.uint64(24)).astype(np.uint32)
-        right = (kinds[named] & np.uint64(0xFFFFFF)).astype(np.uint32)
-        size = [np.where(s < BASE, 1, lengths[np.maximum(s.astype(np.int64) - BASE, 0)] if n_rules else 1)
-                for s in (left, right)]
-        size = (size[0] + size[1]).astype(np.uint32)
+        number = np.zeros(SLOTS, np.uint32)
+        number[named] = len(sizes) + np.arange(len(named))
+        at = at[number[slot[at]] > 0]
+        left = (held[named] >> np.uint64(24)).astype(np.uint32)
+        right = (held[named] & np.uint64(0xFFFFFF)).astype(np.uint32)
+        size = sizes[left] + sizes[right]
         tables.append(np.stack([left, right, size], axis=1))
-        lengths = np.concatenate([lengths, size])
-        n_rules += len(named)
-        seq[at] = number[which]
+        sizes = np.concatenate([sizes, size])
+        seq[at] = number[slot[at]]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-    rules = np.concatenate(tables) if tables else np.zeros((0, 3), np.uint32)
-    return seq, rules
+    return seq, np.concatenate(tables) if tables else np.zeros((0, 3), np.uint32)
+
+
+class Grammar:
+    """Rules with their expansions laid end to end, for expanding many symbols at once."""
+
+    def __init__(self, rules: np.ndarray) -> None:
+        self.sizes = np.concatenate([np.ones(BASE, np.int64), rules[:, 2]])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.zeros(int(self.sizes.sum()), np.uint32)
+        self.flat[:BASE] = np.arange(BASE)
+        # shorter rules first: both halves of a rule are shorter than the rule
+        for n in np.unique(rules[:, 2]):
+            of_size = np.flatnonzero(rules[:, 2] == n)
+            for symbol, side in ((rules[of_size, 0], 0), (rules[of_size, 1], 1)):
+                shift = self.sizes[rules[of_size, 0]] if side else 0
+                self._copy(symbol, self.starts[BASE + of_size] + shift)
+
+    def _places(self, symbols: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.sizes[symbols]
+        ahead = np.cumsum(size) - size
+        step = np.arange(int(size.sum()))
+        return np.repeat(self.starts[symbols] - ahead, size) + step, np.repeat(to - ahead, size) + step
+
+    def _copy(self, symbols: np.ndarray, to: np.ndarray) -> None:
+        source, target = self._places(symbols, to)
+        self.flat[target] = self.flat[source]
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids that symbols stand for."""
+        size = self.sizes[symbols]
+        ahead = np.cumsum(size) - size
+        return self.flat[np.repeat(self.starts[symbols] - ahead, size) + np.arange(int(size.sum()))]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
     """The ids that symbols stand for."""
-    seq = symbols
-    while len(seq) and (bound := seq >= BASE).any():
-        at = np.arange(len(seq)) + np.cumsum(bound) - bound
-        out = np.empty(len(seq) + int(bound.sum()), np.uint32)
-        rule = rules[seq[bound].astype(np.int64) - BASE]
-        out[at[~bound]] = seq[~bound]
-        out[at[bound]] = rule[:, 0]
-        out[at[bound] + 1] = rule[:, 1]
-        seq = out
-    return seq
+    return Grammar(rules).expand(symbols)
 
 
 def write_image(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, rounds: int = ROUNDS) -> tuple[bytes, int]:
@@ -181,50 +254,65 @@ class Image:
         packed = np.frombuffer(raw, "u1", 3 * symbols, at + 12 * rules).reshape(-1, 3).astype(np.uint32)
         self.symbols = packed[:, 0] | packed[:, 1] << 8 | packed[:, 2] << 16
         self.starts = np.cumsum(self.counts) - self.counts
+        self.grammar = Grammar(self.rules)
 
     def all(self) -> np.ndarray:
-        return expand(self.symbols, self.rules)
+        return self.grammar.expand(self.symbols)
 
     def read(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop``, expanding only the symbols that cover them."""
-        size = np.ones(len(self.symbols), np.int64)
-        bound = self.symbols >= BASE
-        size[bound] = self.rules[self.symbols[bound].astype(np.int64) - BASE, 2]
-        ends = np.cumsum(size)
+        ends = np.cumsum(self.grammar.sizes[self.symbols])
         first = int(np.searchsorted(ends, start, "right"))
         last = int(np.searchsorted(ends, stop, "left")) + 1
         before = int(ends[first - 1]) if first else 0
-        return expand(self.symbols[first:last], self.rules)[start - before: stop - before]
+        return self.grammar.expand(self.symbols[first:last])[start - before: stop - before]
 
     def document(self, n: int) -> np.ndarray:
         return self.read(int(self.starts[n]), int(self.starts[n] + self.counts[n]))
 
 
+def groups(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose texts hold about ``most`` bytes, one row at least."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    lo, held = 0, 0
+    for n, k in enumerate(size.tolist()):
+        held += k
+        if held >= most:
+            yield lo, n + 1
+            lo, held = n + 1, 0
+    if lo < len(size):
+        yield lo, len(size)
+
+
 def _writer(path: str | None, shard_ids: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        end = np.array([END_ID], "<u4").tobytes()
         doc_ids, counts, parts, total, no, part = [], [], [], 0, 0, 0
 
         def image() -> pa.RecordBatch:
-            raw, symbols = write_image(doc_ids, counts, np.frombuffer(b"".join(parts), "<u4"), rounds)
+            raw, symbols = write_image(doc_ids, counts, np.concatenate(parts), rounds)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([len(doc_ids)], pa.int32()),
                  pa.array([total], pa.int64()), pa.array([symbols], pa.int64()), pa.array([raw], pa.binary())],
                 ["part", "no", "n_docs", "n_ids", "n_symbols", "image"])
 
         for batch in batches:
-            for doc_id, text, at in zip(batch.column("doc_id").to_pylist(), batch.column("text"),
-                                        batch.column("part").to_pylist()):
-                part = at
-                ids = encode(text.as_py() or b"") + end
-                doc_ids.append(doc_id)
-                counts.append(len(ids) // 4)
-                parts.append(ids)
-                total += counts[-1]
-                if total >= shard_ids:
-                    yield image()
-                    doc_ids, counts, parts, total, no = [], [], [], 0, no + 1
+            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            part = batch.column("part")[0].as_py() if len(keys) else part
+            for lo, hi in groups(texts):
+                ids, sizes = encode(texts.slice(lo, hi - lo))
+                start, at, first = 0, 0, lo
+                for n, size in enumerate(sizes.tolist(), lo + 1):
+                    at += size
+                    if total + at - start >= shard_ids or n == hi:
+                        doc_ids += keys[first:n]
+                        counts += sizes[first - lo: n - lo].tolist()
+                        parts.append(ids[start:at])
+                        total += at - start
+                        start, first = at, n
+                        if total >= shard_ids:
+                            yield image()
+                            doc_ids, counts, parts, total, no = [], [], [], 0, no + 1
         if doc_ids:
             yield image()
 
@@ -233,7 +321,7 @@ def _writer(path: str | None, shard_ids: int, rounds: int):
 
 def write_shards(docs: DataFrame, path: str | None = None, shard_ids: int = SHARD_IDS, rounds: int = ROUNDS) -> DataFrame:
     """Encode and write all documents; the stored table of shard images (part, no, ...)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = F.col("doc_id").asc_nulls_first()
     ordered = rows.repartitionByRange(order).sortWithinPartitions(order, F.col("text").asc_nulls_first())
     images = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_writer(path, shard_ids, rounds), IMAGE_SCHEMA)
