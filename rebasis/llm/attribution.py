@@ -88,7 +88,7 @@ def attribute(first: np.ndarray, last: np.ndarray, starts: np.ndarray, ends: np.
     owner = np.where(b >= a, a, -1)
     several = b > a
     if rule == "first":
-        owner = np.where(several & (starts[np.minimum(a, len(starts) - 1)] > first), -1, owner)
+        owner = np.where(starts[np.minimum(a, len(starts) - 1)] > first, -1, owner)
     elif rule == "most":
         for t in np.flatnonzero(several):
             s = np.arange(a[t], b[t] + 1)

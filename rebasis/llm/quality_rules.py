@@ -82,12 +82,11 @@ def normal_line(words: Column) -> Column:
 
 def signals(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row per document: id, host, anchor, base counts, and (hash, words) of each of its lines."""
+    # generators, so that no later filter takes the splitting into its own lambdas
     split = docs.select(
-        "doc_id", F.col(host).alias("host"), F.col("text"), line_words("text").alias("cells"),
-        F.split(F.coalesce("text", F.lit("")), "\n").alias("raw"),
-    )
-    flat = split.select("*", F.flatten("cells").alias("words"))
-    spoken = F.filter("raw", lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+        "doc_id", F.col(host).alias("host"), F.col("text"), F.explode(F.array(line_words("text"))).alias("cells"))
+    flat = split.select("*", F.explode(F.array(F.flatten("cells"))).alias("words"))
+    spoken = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     return flat.select(
         "doc_id", "host", anchor(F.col("words")).alias("anchor"),
         F.size("words").cast("long").alias("n_words"),
