@@ -31,6 +31,12 @@ from rebasis.sources import tables as src
 from rebasis.sources.vectors import vectors
 
 
+def _print(df: DataFrame, **how) -> None:
+    """All rows of a report, which has a row per model, pair or check."""
+    rows = df.collect()
+    df.sparkSession.createDataFrame(rows, df.schema).show(max(1, len(rows)), truncate=False, **how)
+
+
 def _encoder(path: str) -> Encoder:
     """An encoder object, or a function without arguments that makes one."""
     module, name = path.split(":")
@@ -39,12 +45,12 @@ def _encoder(path: str) -> Encoder:
 
 
 def _freeze(spark: SparkSession, a: argparse.Namespace) -> int:
-    spec = FreezeSpec(a.n_queries, a.n_docs, a.seed, a.source_name)
+    spec = FreezeSpec(a.n_queries, a.n_docs, a.seed, a.source_name, flat_hash=a.flat_hash)
     freeze(
         spark, src.raw_corpus(spark, a.corpus), src.raw_queries(spark, a.queries),
         src.raw_qrels(spark, a.qrels), a.out, spec,
     )
-    src.manifest(spark, a.out).show(truncate=False, vertical=True)
+    _print(src.manifest(spark, a.out), vertical=True)
     return 0
 
 
@@ -52,12 +58,12 @@ def _encode(spark: SparkSession, a: argparse.Namespace) -> int:
     side = "doc" if a.split == "corpus" else "query"
     encoder = _encoder(a.encoder)
     model = a.model or encoder.name
-    prefix = a.prefix if a.prefix is not None else R.prefix_for(R.models(spark), model, side)
+    prefix = a.prefix if a.prefix is not None else R.prefix_of(R.models(spark), encoder, side, model)
     encode_split(
         spark, a.corpus, a.out, a.split, encoder, side, prefix, model, a.batch_size,
-        a.max_tokens, force=a.force,
+        a.max_tokens, force=a.force, registered_dim=R.dim_for(R.models(spark), model),
     )
-    encode_summary(src.encode_runs(spark, a.out).drop("sidecar")).show(truncate=False)
+    _print(encode_summary(src.encode_runs(spark, a.out).drop("sidecar")))
     return 0
 
 
@@ -71,7 +77,7 @@ def _ceilings(spark: SparkSession, a: argparse.Namespace) -> int:
         A.require_hashes(src.encode_runs(spark, a.vectors), held)
     found = vectors(spark, f"{a.vectors}/vectors")
     qrels = src.frozen(spark, a.corpus, "qrels")
-    ceiling_lines(ceilings(found, qrels, a.models or _models(found))).show(1000, truncate=False)
+    _print(ceiling_lines(ceilings(found, qrels, a.models or _models(found))))
     return 0
 
 
@@ -86,7 +92,7 @@ def _pairs(spark: SparkSession, a: argparse.Namespace) -> int:
     else:
         raise SystemExit("give --source and --target, or --all-pairs")
     write_pair_results(results, a.out)
-    pair_summary(spark.read.schema(results.schema).json(a.out)).show(1000, truncate=False)
+    _print(pair_summary(spark.read.schema(results.schema).json(a.out)))
     return 0
 
 
@@ -107,7 +113,7 @@ def _check(spark: SparkSession, a: argparse.Namespace) -> int:
     def determinism() -> DataFrame:
         texts = load(spark, a.corpus).queries
         return each(lambda e: A.as_checks(
-            "determinism", A.determinism_audit(texts, e, R.prefix_for(registered, e.name, "doc")),
+            "determinism", A.determinism_audit(texts, e, R.prefix_of(registered, e, "doc")),
             F.col("model"), F.to_json(F.struct("min_cosine", "mean_cosine")),
         ))
 
@@ -116,7 +122,7 @@ def _check(spark: SparkSession, a: argparse.Namespace) -> int:
         return each(lambda e: A.as_checks(
             "prefix", A.prefix_audit(
                 tables.qrels, tables.queries, tables.corpus, e,
-                R.prefix_for(registered, e.name, "query"), R.prefix_for(registered, e.name, "doc"),
+                R.prefix_of(registered, e, "query"), R.prefix_of(registered, e, "doc"),
             ),
             F.col("model"), F.to_json(F.struct("with_prefix", "without_prefix", "gap")),
         ))
@@ -124,7 +130,7 @@ def _check(spark: SparkSession, a: argparse.Namespace) -> int:
     def metric() -> DataFrame:
         tables = src.benchmark_layout(spark, a.benchmark)
         measured = each(lambda e: A.benchmark_ndcg(
-            *tables, e, R.prefix_for(registered, e.name, "query"), R.prefix_for(registered, e.name, "doc")
+            *tables, e, R.prefix_of(registered, e, "query"), R.prefix_of(registered, e, "doc")
         ))
         result = A.metric_audit(measured, src.expected_metrics(spark, a.expected))
         return A.as_checks(
@@ -133,8 +139,8 @@ def _check(spark: SparkSession, a: argparse.Namespace) -> int:
 
     checks = {"dim": dim, "determinism": determinism, "prefix": prefix, "metric": metric}
     results = A.run_checks(spark, checks, a.names)
-    results.show(1000, truncate=False)
-    A.summary(results).show(truncate=False)
+    _print(results)
+    _print(A.summary(results))
     return A.exit_code(results)
 
 
@@ -149,6 +155,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--n-docs", type=int, default=R.N_DOCS)
     p.add_argument("--seed", type=int, default=R.SEED)
     p.add_argument("--source-name", default="")
+    p.add_argument("--flat-hash", action="store_true", help="record the hash of all ids in one run, too")
     p.set_defaults(run=_freeze)
 
     p = jobs.add_parser("encode")

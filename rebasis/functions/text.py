@@ -126,6 +126,10 @@ def corrupt(c: Column | str) -> Column:
     return F.translate(latin, CP1252_BYTES, CP1252_SHOWN)
 
 
+# ASCII white space without the vertical tab, the same in Java, RE2 and DuckDB
+TOKEN_SPACE = "[ \\t\\n\\f\\r]+"
+
+
 def with_prefix(prefix: Column | str, text: Column | str) -> Column:
     return F.concat(F.lit(prefix) if isinstance(prefix, str) else prefix, _col(text))
 
@@ -136,7 +140,7 @@ def cap_tokens(text: Column | str, n: int) -> Column:
 
 
 def tokens(text: Column | str) -> Column:
-    return F.filter(F.split(_col(text), r"\s+"), lambda t: t != "")
+    return F.filter(F.split(_col(text), TOKEN_SPACE), lambda t: t != "")
 
 
 def slug(name: Column | str) -> Column:

@@ -7,18 +7,23 @@ from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rebasis.functions.text import cap_tokens, with_prefix
+from rebasis.functions.text import TOKEN_SPACE, cap_tokens, with_prefix
 from rebasis.functions.vectors import NORM_FLOOR
 from rebasis.registry import BATCH_SIZE, SHARD_ROWS
 
 
 class Encoder(Protocol):
-    """What a model has to offer. ``load`` runs once per Python worker."""
+    """What a model has to offer. ``load`` runs once per Python worker.
+
+    A model that brings a query prompt of its own has it as ``query_prompt``.
+    """
 
     name: str
     revision: str
@@ -32,7 +37,7 @@ class Encoder(Protocol):
 class HashedTermEncoder:
     """Term frequencies in ``dim`` buckets by the MD5 of ``salt + token``.
 
-    Tokens are lower-case and split at white space. Needs no model files.
+    Tokens are lower-case and split at ASCII white space, as by ``text.tokens``. Needs no model files.
     """
 
     # Tokens whose bucket one worker remembers.
@@ -45,24 +50,27 @@ class HashedTermEncoder:
 
     def load(self) -> Callable[[np.ndarray], np.ndarray]:
         dim, salt, most = self.dim, self.salt, self.REMEMBERED
-        seen: dict[str, int] = {}
+        seen: dict[str, int] = {"": -1}
 
         def bucket(token: str) -> int:
             digest = hashlib.md5((salt + token).encode()).hexdigest()
-            if len(seen) >= most:
-                seen.clear()
             found = seen[token] = int(digest[:8], 16) % dim
             return found
 
         def encode(texts: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(texts), dim), np.float32)
-            for n, text in enumerate(texts):
-                if text:
-                    places = [
-                        seen[t] if t in seen else bucket(t) for t in text.lower().split()
-                    ]
-                    out[n] = np.bincount(places, minlength=dim)
-            return out
+            # each distinct token of a batch is looked up once; counts are one pass over all tokens
+            lower = pa.array([t.lower() if t else "" for t in texts], pa.string())
+            lists = pc.split_pattern_regex(lower, pattern=TOKEN_SPACE)
+            coded = lists.flatten().dictionary_encode()
+            if len(seen) >= most:
+                seen.clear()
+                seen[""] = -1
+            place = np.array([seen[t] if t in seen else bucket(t) for t in coded.dictionary.to_pylist()], np.int64)
+            place = place[coded.indices.to_numpy()] if len(coded) else place
+            text = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+            real = place >= 0
+            cells = np.bincount(text[real] * dim + place[real], minlength=len(texts) * dim)
+            return cells.reshape(len(texts), dim).astype(np.float32)
 
         return encode
 
@@ -122,15 +130,19 @@ def expected_shards(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
 def completed_shards(vectors: DataFrame) -> DataFrame:
     """Row counts of stored shards by what they were made from."""
-    return vectors.groupBy("model", "split", "prefix", "input_hash", "shard_id").agg(
-        F.count("*").alias("n_rows")
-    )
+    return vectors.groupBy(
+        "model", "split", "prefix", "input_hash", "revision", "max_tokens", "shard_id"
+    ).agg(F.count("*").alias("n_rows"))
 
 
 def resume_plan(expected: DataFrame, vectors: DataFrame, model: str, split: str,
-                prefix: str, input_hash: str) -> DataFrame:
-    """The expected shards not yet stored whole, with this prefix and input."""
+                prefix: str, input_hash: str, revision: str,
+                max_tokens: int | None = None) -> DataFrame:
+    """The expected shards not yet stored whole, with this prefix, input, revision and token cap."""
     done = completed_shards(
         vectors.where((F.col("model") == model) & (F.col("split") == split))
-    ).where((F.col("prefix") == prefix) & (F.col("input_hash") == input_hash))
+    ).where(
+        (F.col("prefix") == prefix) & (F.col("input_hash") == input_hash) & (F.col("revision") == revision)
+        & F.col("max_tokens").eqNullSafe(F.lit(max_tokens).cast("int"))
+    )
     return expected.join(done.select("shard_id", "n_rows"), ["shard_id", "n_rows"], "left_anti")

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from rebasis.functions.hashing import sha16
 from rebasis.registry import SHARD_ROWS
 
-# A flat fingerprint is one running hash over all ids, so one task must see
-# them all. It is taken up to this many ids only.
-FLAT_ROWS = 2_000_000
-
 
 def _joined(parts: Column) -> Column:
     """Each part followed by a NUL, so that ["ab", "c"] and ["a", "bc"] differ."""
@@ -25,16 +21,12 @@ def _in_order(order: str, value: str) -> Column:
     )
 
 
-def flat_fingerprint(df: DataFrame, ident: str, index: str = "row_idx",
-                     n_rows: int | None = None) -> DataFrame:
+def flat_fingerprint(df: DataFrame, ident: str, index: str = "row_idx") -> DataFrame:
     """One row (fingerprint, n): the hash of all ids in index order.
 
-    NULL instead of the hash above ``FLAT_ROWS`` ids; use
-    :func:`tree_fingerprint` there. ``n_rows`` saves the count if known.
+    One running hash over all ids, so one task sees them all. For comparison
+    with hashes made elsewhere, where asked for; guards use :func:`tree_fingerprint`.
     """
-    n = df.count() if n_rows is None else n_rows
-    if n > FLAT_ROWS:
-        return df.agg(F.lit(None).cast("string").alias("fingerprint"), F.count("*").alias("n"))
     ids = df.select(F.col(index).alias("o"), F.col(ident).cast("string").alias("v"))
     return ids.agg(
         sha16(_joined(_in_order("o", "v"))).alias("fingerprint"), F.count("*").alias("n")

@@ -55,7 +55,7 @@ def ndcg_by_query(graded: DataFrame, ranked: DataFrame, query: str = "query_id",
                   doc: str = "doc_id", rel: str = "rel", k: int = TOP_K) -> DataFrame:
     """Linear gains over log2(rank + 1), against the best order of the k top grades.
 
-    Only judged queries that were searched count; 0 where no grade is positive.
+    Every judged query counts; 0 where nothing was found or no grade is positive.
     """
     best = Window.partitionBy(query).orderBy(F.desc(rel))
     ideal = (
@@ -71,7 +71,9 @@ def ndcg_by_query(graded: DataFrame, ranked: DataFrame, query: str = "query_id",
         .groupBy(query)
         .agg(F.coalesce(F.sum(F.col(rel) / F.log2(F.col("rank") + 1.0)), F.lit(0.0)).alias("dcg"))
     )
-    return ideal.join(gained, query).select(query, ratio("dcg", "idcg").alias("ndcg"))
+    return ideal.join(gained, query, "left").select(
+        query, ratio(F.coalesce("dcg", F.lit(0.0)), "idcg").alias("ndcg")
+    )
 
 
 def ndcg(graded: DataFrame, ranked: DataFrame, query: str = "query_id", doc: str = "doc_id",

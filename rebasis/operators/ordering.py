@@ -22,8 +22,6 @@ DIRECT_ROWS = 10_000
 # Hex digits per counting round: at most 16 ** 4 counters reach the driver.
 PREFIX_DIGITS = 4
 KEY_DIGITS = 32
-# Up to this many rows one task may number the rows of a sorted table.
-SINGLE_TASK_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -120,18 +118,12 @@ def shuffled_index(df: DataFrame, ident: str, seed: int = SEED, stream: str = "s
     )
 
 
-def sorted_index(df: DataFrame, by: list[str], index: str = "row_idx",
-                 max_rows: int | None = None) -> DataFrame:
+def sorted_index(df: DataFrame, by: list[str], index: str = "row_idx") -> DataFrame:
     """Dense 0-based index in the order of columns that identify a row.
 
-    With a known bound of at most ``SINGLE_TASK_ROWS`` one window does it.
-    Otherwise rows are range-partitioned and pinned (range bounds are sampled,
-    so a recomputation could move rows), and partitions get offsets.
+    Rows are range-partitioned and pinned (range bounds are sampled, so a
+    recomputation could move rows), and partitions get offsets.
     """
-    if max_rows is not None and max_rows <= SINGLE_TASK_ROWS:
-        return df.withColumn(
-            index, F.row_number().over(Window.orderBy(*by)).cast("bigint") - 1
-        ).select(index, *df.columns)
     ranged = pin(df.repartitionByRange(*by).sortWithinPartitions(*by))
     # the row id is (partition << 33) + position in the partition
     placed = ranged.withColumn("_id", F.monotonically_increasing_id())

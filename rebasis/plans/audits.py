@@ -32,6 +32,9 @@ from rebasis.session import small
 from rebasis.sources.vectors import shard_totals, stored_shapes
 
 
+HASHES = ("corpus_hash", "queries_hash", "corpus_tree_hash", "queries_tree_hash")
+
+
 def dim_audit(found: DataFrame, registry: DataFrame) -> DataFrame:
     """Every stored vector against the registered dimension, by model and split."""
     splits = F.explode(F.array(*(F.lit(s) for s in SPLITS)))
@@ -66,12 +69,12 @@ def determinism_audit(texts: DataFrame, encoder: Encoder, prefix: str = "", text
 
 
 def prefix_audit(qrels: DataFrame, queries: DataFrame, corpus: DataFrame, encoder: Encoder,
-                 query_prefix: str, doc_prefix: str, n_queries: int | None = 100,
+                 query_prefix: str, doc_prefix: str, n_queries: int | None = None,
                  least: float = PREFIX_GAP, batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Mean cosine of judged pairs with and without prefixes, for the first judged queries.
+    """Mean cosine of judged pairs with and without prefixes.
 
-    One judged document per query, the one of lowest row. ``n_queries=None``
-    takes every judged query.
+    One judged document per query, the one of lowest row. Every judged query, or the
+    first ``n_queries``.
     """
     pairs = qrels.groupBy("query_row").agg(F.min("corpus_row").alias("corpus_row"))
     if n_queries is not None:
@@ -147,14 +150,21 @@ def benchmark_ndcg(corpus: DataFrame, queries: DataFrame, graded: DataFrame, enc
 
 
 def hash_audit(runs: DataFrame, recorded: DataFrame) -> DataFrame:
-    """Fingerprints in encode sidecars against the manifest; absent ones are skipped."""
-    kinds = ["corpus_hash", "queries_hash"]
-    claimed = runs.select("model", "split", *kinds).unpivot(
-        ["model", "split"], kinds, "kind", "claimed"
-    )
-    actual = recorded.select(*kinds).unpivot([], kinds, "kind", "recorded")
+    """Fingerprints in encode sidecars against the manifest.
+
+    Skipped are those of the other split and those that neither side has. One that only
+    one side has fails: nothing shows that the run belongs to this corpus.
+    """
+    kinds = [k for k in HASHES if k in runs.columns or k in recorded.columns]
+
+    def held(df: DataFrame) -> list[Column]:
+        return [F.col(k) if k in df.columns else F.lit(None).cast("string").alias(k) for k in kinds]
+
+    claimed = runs.select("model", "split", *held(runs)).unpivot(["model", "split"], kinds, "kind", "claimed")
+    actual = recorded.select(*held(recorded)).unpivot([], kinds, "kind", "recorded")
     status = (
-        F.when(F.col("claimed").isNull() | F.col("recorded").isNull(), "SKIP")
+        F.when(F.col("claimed").isNull() & F.col("recorded").isNull(), "SKIP")
+        .when(F.col("claimed").isNull() & ~F.startswith("kind", "split"), "SKIP")
         .when(F.col("claimed") == F.col("recorded"), "OK")
         .otherwise("FAIL")
     )
@@ -162,10 +172,11 @@ def hash_audit(runs: DataFrame, recorded: DataFrame) -> DataFrame:
 
 
 def require_hashes(runs: DataFrame, recorded: DataFrame) -> None:
-    bad = hash_audit(runs, recorded).where(F.col("status") == "FAIL").limit(5).collect()
+    failed = hash_audit(runs, recorded).where(F.col("status") == "FAIL")
+    bad = failed.orderBy("model", "split", "kind").limit(5).collect()
     if bad:
         raise ValueError(
-            "fingerprint mismatch: "
+            f"fingerprint mismatch, {failed.count()} in all: "
             + "; ".join(f"{r.model}/{r.split} {r.kind} {r.claimed} != {r.recorded}" for r in bad)
         )
 
@@ -215,7 +226,7 @@ def run_checks(spark: SparkSession, checks: dict[str, Callable[[], DataFrame]],
         try:
             rows += checks[name]().select(*schemas.CHECKS.fieldNames()).collect()
         except Exception as e:  # noqa: BLE001 - reported as a failed check
-            rows.append((name, "", "FAIL", False, str(e)[:500]))
+            rows.append((name, "", "FAIL", False, str(e)))
     return spark.createDataFrame(rows, schemas.CHECKS)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,7 @@ class FreezeSpec:
     seed: int = SEED
     source: str = ""
     clean_text: bool = True
+    flat_hash: bool = False
 
 
 @dataclass
@@ -94,7 +96,7 @@ def indexed_queries(chosen: Chosen, spec: FreezeSpec) -> DataFrame:
     text = repair("text") if spec.clean_text else F.col("text")
     return sorted_index(
         chosen.queries.select(F.col("_id").alias("query_id"), text.alias("text")),
-        ["query_id"], max_rows=spec.n_queries,
+        ["query_id"],
     )
 
 
@@ -103,6 +105,7 @@ class Frozen:
     corpus: DataFrame
     queries: DataFrame
     qrels: DataFrame
+    missing: DataFrame | None = None
 
 
 def frozen_frames(corpus: DataFrame, queries: DataFrame, qrels: DataFrame,
@@ -114,16 +117,16 @@ def frozen_frames(corpus: DataFrame, queries: DataFrame, qrels: DataFrame,
 
 
 def manifest_row(tables: Frozen, spec: FreezeSpec) -> DataFrame:
-    """One row of seed, source, fingerprints and counts."""
+    """One row of seed, source, fingerprints and counts. Tree fingerprints always, flat ones if asked for."""
     spark = tables.corpus.sparkSession
-    n_corpus, n_queries = tables.corpus.count(), tables.queries.count()
 
-    def hashes(df: DataFrame, ident: str, n: int) -> tuple[str | None, str]:
-        flat = flat_fingerprint(df, ident, n_rows=n).first().fingerprint
-        return flat, tree_fingerprint(df, ident).first().fingerprint
+    def hashes(df: DataFrame, ident: str) -> tuple[str | None, str, int]:
+        flat = flat_fingerprint(df, ident).first().fingerprint if spec.flat_hash else None
+        tree = tree_fingerprint(df, ident).first()
+        return flat, tree.fingerprint, tree.n
 
-    corpus_hash, corpus_tree = hashes(tables.corpus, "doc_id", n_corpus)
-    queries_hash, queries_tree = hashes(tables.queries, "query_id", n_queries)
+    corpus_hash, corpus_tree, n_corpus = hashes(tables.corpus, "doc_id")
+    queries_hash, queries_tree, n_queries = hashes(tables.queries, "query_id")
     row = (
         spec.seed, spec.source, corpus_hash, queries_hash, corpus_tree, queries_tree,
         n_corpus, n_queries, tables.qrels.count(), spec.clean_text,
@@ -187,8 +190,9 @@ def require_invariants(tables: Frozen, n_docs: int | None = None) -> DataFrame:
         lost = tables.queries.join(
             tables.qrels.select(F.col("query_row").alias("row_idx")), "row_idx", "left_anti"
         )
+        n_lost = lost.count()
         names = [r.query_id for r in lost.orderBy("query_id").limit(20).collect()]
-        hint = f"; queries without positives include {names}" if names else ""
+        hint = f"; {n_lost} queries without positives, the first {names}" if names else ""
         raise ValueError("broken corpus invariants: " + ", ".join(broken) + hint)
     return found.sparkSession.createDataFrame(rows, found.schema)
 
@@ -198,6 +202,7 @@ def freeze(spark: SparkSession, corpus: DataFrame, queries: DataFrame, qrels: Da
     """Write corpus, queries, qrels and, last, the manifest. Refuses a frozen ``root``.
 
     Each table is written before the next step reads it, so nothing is computed twice.
+    Judged documents that the raw corpus lacks are stored as ``missing`` and warned about.
     """
     refuse_if_frozen(spark, root)
     chosen = choose(corpus, queries, qrels, spec)
@@ -205,7 +210,11 @@ def freeze(spark: SparkSession, corpus: DataFrame, queries: DataFrame, qrels: Da
     write_table(indexed_queries(chosen, spec), f"{root}/queries")
     docs, asked = frozen(spark, root, "corpus"), frozen(spark, root, "queries")
     write_table(to_rows(chosen.judged, asked, docs, chosen.n_judged), f"{root}/qrels")
-    tables = Frozen(docs, asked, frozen(spark, root, "qrels"))
+    write_table(chosen.missing.select(F.col("corpus_id").alias("doc_id")), f"{root}/missing")
+    missing = spark.read.schema("doc_id STRING").parquet(f"{root}/missing")
+    if n_missing := missing.count():
+        warnings.warn(f"{n_missing} judged documents are not in the corpus; their judgments are dropped", stacklevel=2)
+    tables = Frozen(docs, asked, frozen(spark, root, "qrels"), missing)
     require_invariants(tables, spec.n_docs)
     write_manifest(manifest_row(tables, spec), root)
     return tables

@@ -26,17 +26,21 @@ TASKS_PER_SHARD = 4
 def verify_input(df: DataFrame, recorded: DataFrame) -> tuple[str, str]:
     """Recompute the fingerprint of a frozen table; raises if the manifest has another.
 
-    Returns the manifest column and the value that agreed.
+    The tree fingerprint, or the flat one of a manifest that has no other. Returns the
+    manifest column and the value that agreed.
     """
     ident = id_column(df)
     side = "corpus" if ident == "doc_id" else "queries"
     held = recorded.first()
     if held is None:
         raise FileNotFoundError("the corpus has no manifest; freeze it first")
-    if held[f"{side}_hash"] is not None:
+    held = held.asDict()
+    if held.get(f"{side}_tree_hash") is not None:
+        key, seen = f"{side}_tree_hash", tree_fingerprint(df, ident).first().fingerprint
+    elif held.get(f"{side}_hash") is not None:
         key, seen = f"{side}_hash", flat_fingerprint(df, ident).first().fingerprint
     else:
-        key, seen = f"{side}_tree_hash", tree_fingerprint(df, ident).first().fingerprint
+        raise ValueError(f"the manifest has no fingerprint of the {side} table")
     if seen != held[key]:
         raise ValueError(f"{key} mismatch: {seen} != {held[key]}; the {side} table has drifted")
     return key, seen
@@ -61,7 +65,8 @@ def encode_pending(rows: DataFrame, pending: DataFrame, encoder: Encoder, model:
     write_vectors(
         made.select(
             "row_idx", "embedding", F.lit(prefix).alias("prefix"),
-            F.lit(input_hash).alias("input_hash"), F.lit(model).alias("model"),
+            F.lit(input_hash).alias("input_hash"), F.lit(encoder.revision).alias("revision"),
+            F.lit(max_tokens).cast("int").alias("max_tokens"), F.lit(model).alias("model"),
             F.lit(split).alias("split"), "shard_id",
         ),
         root, shard_rows,
@@ -71,25 +76,30 @@ def encode_pending(rows: DataFrame, pending: DataFrame, encoder: Encoder, model:
 def encode_split(spark: SparkSession, corpus_root: str, root: str, split: str, encoder: Encoder,
                  prefix_type: str, prefix: str, model: str | None = None,
                  batch_size: int = BATCH_SIZE, max_tokens: int | None = None,
-                 shard_rows: int = SHARD_ROWS, force: bool = False) -> DataFrame:
+                 shard_rows: int = SHARD_ROWS, force: bool = False,
+                 registered_dim: int | None = None) -> DataFrame:
     """Verify, resume, encode, check totals, write the sidecar; returns the sidecar row.
 
-    ``root`` holds ``vectors`` and ``runs``. Shards made with another prefix or
-    input count as missing; ``force`` encodes every shard again.
+    ``root`` holds ``vectors`` and ``runs``. Shards made with another prefix, input, revision
+    or token cap count as missing; ``force`` encodes every shard again. An encoder whose
+    dimension is not the ``registered_dim`` is refused.
     """
+    if registered_dim is not None and registered_dim != encoder.dim:
+        raise ValueError(f"{encoder.name} has {encoder.dim} dimensions, {registered_dim} are registered")
     model = model or encoder.name
     table = f"{root}/vectors"
     if exists(spark, f"{root}/runs"):
         refuse_if_encoded(encode_runs(spark, root), model, split, force)
     rows = frozen(spark, corpus_root, split)
-    key, input_hash = verify_input(rows, manifest(spark, corpus_root))
+    held = manifest(spark, corpus_root)
+    key, input_hash = verify_input(rows, held)
 
     started = time.monotonic()
     expected = expected_shards(rows, shard_rows)
     pending = expected
     if not force and exists(spark, table):
         stored = vectors(spark, table, model, split, must_exist=False)
-        pending = resume_plan(expected, stored, model, split, prefix, input_hash)
+        pending = resume_plan(expected, stored, model, split, prefix, input_hash, encoder.revision, max_tokens)
     n_pending = pending.count()
     if n_pending:
         encode_pending(rows, pending, encoder, model, split, prefix, input_hash, table,
@@ -103,11 +113,13 @@ def encode_split(spark: SparkSession, corpus_root: str, root: str, split: str, e
     written = made.count()
     if written != wanted.n:
         raise ValueError(f"{written} vectors stored for {wanted.n} rows of {model}/{split}")
-    kind = "corpus" if key.startswith("corpus") else "queries"
+    flat, tree = (held.first()[f"{split}_{k}"] for k in ("hash", "tree_hash"))
+    corpus_side = split == "corpus"
     run = spark.createDataFrame([(
         model, encoder.revision, split, encoder.dim, True, "float16", prefix_type, prefix,
         written, wanted.s, max_tokens, batch_size,
-        input_hash if kind == "corpus" else None, input_hash if kind == "queries" else None,
+        flat if corpus_side else None, None if corpus_side else flat,
+        tree if corpus_side else None, None if corpus_side else tree,
         round(seconds, 1), round(written / max(seconds, 1e-3), 1),
     )], schemas.ENCODE_RUNS)
     write_run(run, root, model, split)
@@ -127,5 +139,5 @@ def encode_grid(spark: SparkSession, corpus_root: str, root: str,
             done = encode_split(spark, corpus_root, root, **job).first()
             outcome.append(("encode", subject, "OK", True, f"{done.n_rows} rows"))
         except Exception as e:  # noqa: BLE001 - reported as a failed check
-            outcome.append(("encode", subject, "FAIL", False, str(e)[:500]))
+            outcome.append(("encode", subject, "FAIL", False, str(e)))
     return spark.createDataFrame(outcome, schemas.CHECKS)

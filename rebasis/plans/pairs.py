@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rebasis import schemas
 from rebasis.functions.vectors import dim_of, ratio
+from rebasis.operators.diff import alignment_gaps
 from rebasis.operators.judgments import in_split
 from rebasis.operators.linmap import LinearMap, fit_many, tasks_for, translate
 from rebasis.operators.metrics import micro_recall
@@ -44,21 +45,28 @@ def aligned(vectors: DataFrame, models: list[str], keep: dict[str, object]) -> D
 
 
 def _shapes(vectors: DataFrame, models: list[str]) -> tuple[dict[str, int], int, int]:
-    """Dimension by model, numbers of documents and queries; raises where counts differ.
+    """Dimension by model, numbers of documents and queries; raises where rows are not the same.
 
-    Counts come from file footers and dimensions from one row each. Uneven
+    Row numbers are compared by count and by an order-free sum and exclusive-or of their
+    hashes, one scan of that column; dimensions come from one row each. Uneven
     lengths surface in the scans that read the vectors anyway.
     """
-    counts = {
-        (r.model, r.split): r["count"]
-        for r in vectors.where(F.col("model").isin(models)).groupBy("model", "split").count().collect()
-    }
+    mark = F.xxhash64("row_idx")
+    read = vectors.where(F.col("model").isin(models)).groupBy("model", "split").agg(
+        F.count("*").alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("total"), F.bit_xor(mark).alias("mix"),
+    ).collect()
+    counts = {(r.model, r.split): r.n for r in read}
+    marks = {(r.model, r.split): (r.total, r.mix) for r in read}
     for split in ("corpus", "queries"):
         found = {m: counts.get((m, split), 0) for m in models}
         if 0 in found.values():
             raise FileNotFoundError(f"no {split} vectors for some of {found}")
         if len(set(found.values())) > 1:
             raise ValueError(f"{split} counts differ: {found}")
+        if len({marks[m, split] for m in models}) > 1:
+            first = _of(vectors, models[0], split)
+            gaps = {m: alignment_gaps(first, _of(vectors, m, split)).count() for m in models[1:]}
+            raise ValueError(f"{split} rows differ from those of {models[0]}: {gaps} rows are on one side only")
     dims = {m: dim_of(_of(vectors, m, "corpus")) for m in models}
     return dims, counts[models[0], "corpus"], counts[models[0], "queries"]
 

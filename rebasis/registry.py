@@ -68,6 +68,21 @@ def prefix_for(registry: DataFrame, model: str, side: str) -> str:
     return row.prefix
 
 
+def dim_for(registry: DataFrame, model: str) -> int | None:
+    """The registered dimension of a model, None if it is not registered."""
+    row = registry.where(F.col("model") == model).select("dim").first()
+    return None if row is None else row.dim
+
+
+def prefix_of(registry: DataFrame, encoder: object, side: str, model: str | None = None) -> str:
+    """The prefix an encoder is used with: its own ``query_prompt`` where that overrides, else the registered one."""
+    model = model or encoder.name
+    own = getattr(encoder, "query_prompt", None)
+    if own is not None and side == "query" and model.startswith(OWN_PROMPT_FAMILY):
+        return own
+    return prefix_for(registry, model, side)
+
+
 def effective_prefix(own_prompt: Column, model: Column | str = "model",
                      side: Column | str = "side", prefix: Column | str = "prefix") -> Column:
     """The registry prefix, or the model's own query prompt where it brings one."""

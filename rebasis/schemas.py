@@ -38,6 +38,7 @@ MANIFEST = struct(
 # model, split and shard_id are directories of the stored table.
 VECTORS = struct(
     "row_idx BIGINT, embedding ARRAY<FLOAT>, prefix STRING, input_hash STRING, "
+    "revision STRING, max_tokens INT, "
     "model STRING, split STRING, shard_id BIGINT"
 )
 
@@ -45,6 +46,7 @@ ENCODE_RUNS = struct(
     "model STRING, revision STRING, split STRING, dim INT, normalized BOOLEAN, "
     "dtype STRING, prefix_type STRING, prefix STRING, n_rows BIGINT, n_shards INT, "
     "max_seq_length INT, batch_size INT, corpus_hash STRING, queries_hash STRING, "
+    "corpus_tree_hash STRING, queries_tree_hash STRING, "
     "seconds DOUBLE, rows_per_sec DOUBLE"
 )
 

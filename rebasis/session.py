@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,18 +16,16 @@ BROADCAST_ROWS = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a temporary folder; a cluster
-    without it is an error, since a machine-local folder would be lost.
+    Without the setting, the folder given to ``setCheckpointDir``. A session in one
+    process that has neither gets a temporary folder; a cluster without a folder is an
+    error, since a machine-local one would be lost.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        current = spark.sparkContext.getCheckpointDir()
-        if current is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rebasis-"))
-            current = spark.sparkContext.getCheckpointDir()
-        return current.rstrip("/")
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rebasis-"))
+        return spark.sparkContext.getCheckpointDir().rstrip("/")
     raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 

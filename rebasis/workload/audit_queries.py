@@ -11,7 +11,7 @@ from rebasis.operators import encode as E
 from rebasis.operators import metrics as M
 from rebasis.operators.retrieve import top_k
 from rebasis.plans import audits as A
-from rebasis.plans.corpus import FreezeSpec, freeze
+from rebasis.plans.corpus import Frozen, FreezeSpec, freeze, load, manifest_row
 from rebasis.plans.encoding import encode_grid
 from rebasis.plans.reports import encode_summary
 from rebasis.session import fresh_path, stored
@@ -116,10 +116,10 @@ def shard_layout(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""SELECT shard_id, count(*) AS n_rows FROM (SELECT vec_id // {ROWS} AS shard_id FROM embeddings)
-WHERE shard_id IN (1, 2, 3) GROUP BY shard_id"""
+WHERE shard_id IN (1, 2, 3, 4) GROUP BY shard_id"""
 )
 def resume_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Shard 1 is missing, shard 2 lacks its first row, shard 3 has another prefix."""
+    """Shard 1 is missing, shard 2 lacks its first row, shard 3 has another prefix, shard 4 another revision."""
     rows = st.base_vectors(spark, sf)
     shard = F.col("shard_id")
     held = (
@@ -127,9 +127,11 @@ def resume_plan(spark: SparkSession, sf: str) -> DataFrame:
         .where((shard != 1) & (F.col("row_idx") != 2 * ROWS))
         .withColumn("prefix", F.when(shard == 3, "query: ").otherwise("passage: "))
         .withColumn("input_hash", F.lit("h"))
+        .withColumn("revision", F.when(shard == 4, "0").otherwise("1"))
+        .withColumn("max_tokens", F.lit(None).cast("int"))
     )
     return E.resume_plan(
-        E.expected_shards(rows, ROWS), held, "studio/base", "corpus", "passage: ", "h"
+        E.expected_shards(rows, ROWS), held, "studio/base", "corpus", "passage: ", "h", "1"
     )
 
 
@@ -313,20 +315,33 @@ def encode_run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return encode_summary(src.sidecars(spark, f"{root}/*.json").drop("sidecar"))
 
 
+_HELD = S.tree("corpus", "doc_id", "row_idx", registry.SHARD_ROWS)
+_CUT = S.tree(
+    "(SELECT * FROM corpus WHERE row_idx < (SELECT max(row_idx) FROM corpus))", "doc_id", "row_idx", registry.SHARD_ROWS
+)
+_ASKED_TREE = S.tree("queries", "query_id", "row_idx", registry.SHARD_ROWS)
+
+
 @query(
-    """SELECT 'corpus_hash' AS kind, lang || '/' || source AS model, 'corpus' AS split,
-  substr(sha256(source), 1, 16) AS claimed, substr(sha256('src1'), 1, 16) AS recorded,
-  CASE WHEN source = 'src1' THEN 'OK' ELSE 'FAIL' END AS status FROM documents GROUP BY lang, source
-UNION ALL
-SELECT 'queries_hash', lang || '/' || source, 'corpus', NULL, NULL, 'SKIP' FROM documents GROUP BY lang, source"""
+    S.with_(S.FREEZE)
+    + f"""SELECT against, split, kind,
+  CASE WHEN split || '_tree_hash' = kind THEN CASE split WHEN 'corpus' THEN {_HELD} ELSE {_ASKED_TREE} END END AS claimed,
+  CASE kind WHEN 'queries_tree_hash' THEN {_ASKED_TREE} WHEN 'corpus_tree_hash' THEN
+    CASE against WHEN 'same' THEN {_HELD} ELSE {_CUT} END END AS recorded,
+  CASE WHEN split || '_tree_hash' <> kind THEN 'SKIP' WHEN against = 'other' AND split = 'corpus' THEN 'FAIL' ELSE 'OK' END AS status
+FROM (SELECT unnest(['same', 'other']) AS against), (SELECT unnest(['corpus', 'queries']) AS split),
+  (SELECT unnest(['corpus_hash', 'queries_hash', 'corpus_tree_hash', 'queries_tree_hash']) AS kind)"""
 )
 def hash_guard(spark: SparkSession, sf: str) -> DataFrame:
-    """Sidecar fingerprints against a manifest that only those of one source match."""
-    first = st.table(spark, sf, "documents").where(F.col("source") == "src1").agg(
-        F.substring(F.sha2(F.max("source"), 256), 1, 16).alias("corpus_hash"),
-        F.lit(None).cast("string").alias("queries_hash"),
-    )
-    return A.hash_audit(_runs(spark, sf), first)
+    """Real sidecars against their own manifest, and that of a corpus without its last document."""
+    root, store = _encoded(spark, sf)
+    runs = src.encode_runs(spark, store).drop("sidecar")
+    tables = load(spark, root)
+    last = tables.corpus.agg(F.max("row_idx")).first()[0]
+    other = manifest_row(Frozen(tables.corpus.where(F.col("row_idx") < last), tables.queries, tables.qrels), FreezeSpec())
+    both = [A.hash_audit(runs, held).withColumn("against", F.lit(name))
+            for name, held in (("same", src.manifest(spark, root)), ("other", other))]
+    return both[0].unionByName(both[1]).select("against", "split", "kind", "claimed", "recorded", "status")
 
 
 @query(
@@ -373,6 +388,13 @@ FROM (VALUES ('corpus', 'passage: '), ('queries', 'query: ')) t(split, prefix),
 )
 def encode_job(spark: SparkSession, sf: str) -> DataFrame:
     """Freeze, verify, encode both splits in shards of 100 rows, and read the sidecars back."""
+    return src.encode_runs(spark, _encoded(spark, sf)[1]).select(
+        "model", "split", "dim", "n_rows", "prefix", "n_shards", "normalized", "dtype"
+    )
+
+
+def _encoded(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """The folders of a frozen corpus and of its encoded splits."""
     root, store = fresh_path(spark, "corpus"), fresh_path(spark, "encoded")
     qrels = st.raw_qrels(spark, sf)
     judged = qrels.where(F.col("score") > 0).select("query_id").distinct().count()
@@ -387,9 +409,7 @@ def encode_job(spark: SparkSession, sf: str) -> DataFrame:
     failed = encode_grid(spark, root, store, jobs).where(~F.col("passed")).collect()
     if failed:
         raise RuntimeError(str(failed))
-    return src.encode_runs(spark, store).select(
-        "model", "split", "dim", "n_rows", "prefix", "n_shards", "normalized", "dtype"
-    )
+    return root, store
 
 
 @query(

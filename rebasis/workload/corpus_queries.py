@@ -93,22 +93,12 @@ def _flat(table: str, ident: str, order: str) -> str:
     )
 
 
-def _tree(table: str, ident: str, order: str, chunk: int) -> str:
-    level = f"SELECT {order} AS o, CAST({ident} AS VARCHAR) AS v FROM {table}"
-    for _ in range(2):
-        level = (
-            f"SELECT o // {chunk} AS o, sha256(string_agg(concat(v, chr(0)), '' ORDER BY o)) AS v "
-            f"FROM ({level}) GROUP BY o // {chunk}"
-        )
-    return f"(SELECT substr(sha256(string_agg(concat(v, chr(0)), '' ORDER BY o)), 1, 16) FROM ({level}))"
-
-
 @query(
     S.with_(S.FREEZE)
     + f"""SELECT 42 AS seed, 'documents' AS source, {_flat('corpus', 'doc_id', 'row_idx')} AS corpus_hash,
   {_flat('queries', 'query_id', 'row_idx')} AS queries_hash,
-  {_tree('corpus', 'doc_id', 'row_idx', 50000)} AS corpus_tree_hash,
-  {_tree('queries', 'query_id', 'row_idx', 50000)} AS queries_tree_hash,
+  {S.tree('corpus', 'doc_id', 'row_idx', 50000)} AS corpus_tree_hash,
+  {S.tree('queries', 'query_id', 'row_idx', 50000)} AS queries_tree_hash,
   (SELECT count(*) FROM corpus) AS n_corpus, (SELECT count(*) FROM queries) AS n_queries,
   (SELECT count(*) FROM qrels) AS n_qrels, true AS ftfy_cleaned"""
 )
@@ -128,7 +118,7 @@ def freeze_job(spark: SparkSession, sf: str) -> DataFrame:
     qrels = st.raw_qrels(spark, sf)
     judged = qrels.where(F.col("score") > 0).select("query_id").distinct().count()
     spec = FreezeSpec(
-        max(1, judged // 2), st.table(spark, sf, "documents").count() // 2, source="documents"
+        max(1, judged // 2), st.table(spark, sf, "documents").count() // 2, source="documents", flat_hash=True
     )
     root = fresh_path(spark, "corpus")
     freeze(spark, st.raw_corpus(spark, sf), st.raw_queries(spark, sf), qrels, root, spec)
@@ -140,7 +130,7 @@ def id_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return flat_fingerprint(st.table(spark, sf, "documents"), "doc_id", "doc_id")
 
 
-@query(f"SELECT {_tree('documents', 'doc_id', 'doc_id', 100)} AS fingerprint, (SELECT count(*) FROM documents) AS n")
+@query(f"SELECT {S.tree('documents', 'doc_id', 'doc_id', 100)} AS fingerprint, (SELECT count(*) FROM documents) AS n")
 def id_fingerprint_tree(spark: SparkSession, sf: str) -> DataFrame:
     return tree_fingerprint(st.table(spark, sf, "documents"), "doc_id", "doc_id", chunk=100)
 

@@ -62,11 +62,8 @@ qrels AS (
 
 FREEZE = ",".join([RAW, SAMPLED, FROZEN])
 
-_ASKED = f"""
-asked AS (
-  SELECT vec_id FROM (
-    SELECT vec_id, row_number() OVER (ORDER BY {key('vec_id', 'queries')}) AS r FROM embeddings)
-  WHERE r <= 500)"""
+_ASKED = """
+asked AS (SELECT vec_id FROM embeddings)"""
 
 JUDGED_VECTORS = _ASKED + """,
 graded AS (
@@ -129,11 +126,22 @@ gained AS (
   FROM {ranked_} t LEFT JOIN {graded} g ON g.{query} = t.{query} AND g.{doc} = t.{doc}
   GROUP BY t.{query}),
 {name} AS (
-  SELECT i.{query}, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0.0 END AS ndcg
-  FROM ideal i JOIN gained USING ({query}))"""
+  SELECT i.{query}, CASE WHEN idcg > 0 THEN coalesce(dcg, 0.0) / idcg ELSE 0.0 END AS ndcg
+  FROM ideal i LEFT JOIN gained USING ({query}))"""
 
 
 def half(x: str) -> str:
     """The nearest 16-bit float of a double expression."""
     ulp = f"pow(2.0, greatest(floor(log2(abs({x}))), -14.0) - 10.0)"
     return f"CASE WHEN {x} = 0.0 THEN 0.0 ELSE round_even({x} / {ulp}, 0) * {ulp} END"
+
+
+def tree(table: str, ident: str, order: str, chunk: int) -> str:
+    """The fingerprint of fixed index ranges, in three levels."""
+    level = f"SELECT {order} AS o, CAST({ident} AS VARCHAR) AS v FROM {table}"
+    for _ in range(2):
+        level = (
+            f"SELECT o // {chunk} AS o, sha256(string_agg(concat(v, chr(0)), '' ORDER BY o)) AS v "
+            f"FROM ({level}) GROUP BY o // {chunk}"
+        )
+    return f"(SELECT substr(sha256(string_agg(concat(v, chr(0)), '' ORDER BY o)), 1, 16) FROM ({level}))"

@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 
 from rebasis.functions.vectors import let, unit
 from rebasis.operators.linmap import planted_extension, planted_rotation
-from rebasis.operators.ordering import sample
 from rebasis.operators.judgments import to_rows
 from rebasis.plans.corpus import Frozen, FreezeSpec, frozen_frames
-from rebasis.registry import N_QUERIES
 from rebasis.session import spread, stored
 
 MODELS = {"studio/base": 64, "studio/rotated": 64, "studio/extended": 96}
@@ -64,6 +62,8 @@ def contained(spark: SparkSession, sf: str) -> DataFrame:
         F.split("text", " "),
         lambda w: F.when(F.size(w) > 2, F.array_distinct(triples(w))).otherwise(F.array()),
     )
+    if short := items.where(F.size(F.split("text", " ")) < 5).count():
+        raise ValueError(f"{short} passages have fewer than five words and would not be found")
     anchors = items.select("item_id", F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("g"))
     met = docs.select("doc_id", F.explode(words).alias("g")).join(anchors, "g")
     return (
@@ -106,6 +106,7 @@ def corpus(spark: SparkSession, sf: str, written: bool = False) -> Corpus:
         n_queries=max(1, n_judged // 2),
         n_docs=table(spark, sf, "documents").count() // 2,
         source="documents",
+        flat_hash=True,
     )
     frozen, chosen = frozen_frames(raw_corpus(spark, sf), raw_queries(spark, sf), qrels, spec)
     if written:
@@ -120,9 +121,8 @@ def base_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blended_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """A sample of 500 vectors, each blended with its successor: (row_idx, embedding)."""
+    """Every vector blended with its successor: (row_idx, embedding)."""
     base = base_vectors(spark, sf)
-    n = min(N_QUERIES, base.count())
     after = base.select((F.col("row_idx") - 1).alias("row_idx"), F.col("embedding").alias("after"))
     wide = F.col("embedding").cast("array<double>")
     mixed = F.zip_with(
@@ -130,8 +130,7 @@ def blended_queries(spark: SparkSession, sf: str) -> DataFrame:
         lambda x, y: x + F.lit(BLEND) * F.coalesce(y, F.lit(0.0)),
     )
     return (
-        sample(base, "row_idx", n, stream="queries")
-        .join(after, "row_idx", "left")
+        base.join(after, "row_idx", "left")
         .select("row_idx", unit(F.coalesce(mixed, wide)).cast("array<float>").alias("embedding"))
     )
 
@@ -139,8 +138,7 @@ def blended_queries(spark: SparkSession, sf: str) -> DataFrame:
 def graded_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """(query_row, corpus_row, rel): the blended vector has grade 2, its successor 1."""
     base = base_vectors(spark, sf).select("row_idx")
-    asked = sample(base, "row_idx", min(N_QUERIES, base.count()), stream="queries")
-    judged = asked.select(
+    judged = base.select(
         F.col("row_idx").alias("query_row"),
         F.explode(F.array(
             F.struct(F.col("row_idx").alias("corpus_row"), F.lit(2).alias("rel")),

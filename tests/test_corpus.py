@@ -47,7 +47,9 @@ def test_freeze_writes_once(spark, raw):
     held = src.manifest(spark, root).first()
     order = [docs[n].doc_id for n in range(100)]
     want = hashlib.sha256(b"".join(f"{i}\0".encode() for i in order)).hexdigest()[:16]
-    assert (held.corpus_hash, held.n_corpus, held.n_queries, held.seed) == (want, 100, 12, 42)
+    assert (held.corpus_hash, held.n_corpus, held.n_queries, held.seed) == (None, 100, 12, 42)
+    flat = C.manifest_row(tables, C.FreezeSpec(flat_hash=True)).first()
+    assert flat.corpus_hash == want and flat.corpus_tree_hash == held.corpus_tree_hash
     with pytest.raises(FileExistsError, match="frozen"):
         C.freeze(spark, *raw, root, SPEC)
 
@@ -67,6 +69,15 @@ def test_missing_positives_are_dropped_and_listed(raw):
     assert tables.qrels.count() == 31  # 30 queries, one with two positives
 
 
+def test_freeze_reports_missing_documents(spark, raw):
+    docs, queries, qrels = raw
+    lost = spark.createDataFrame([(3, 99999, 1)], "query_id long, corpus_id long, score int")
+    with pytest.warns(UserWarning, match="1 judged documents are not in the corpus"):
+        tables = C.freeze(spark, docs, queries, qrels.union(lost), fresh_path(spark, "frozen"),
+                          C.FreezeSpec(n_queries=30, n_docs=100))
+    assert [r.doc_id for r in tables.missing.collect()] == ["99999"]
+
+
 def test_query_without_positives_is_named(spark, raw):
     docs, queries, qrels = raw
     lost = spark.createDataFrame([(45, 77777, 1)], "query_id long, corpus_id long, score int")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from rebasis import registry as R
 from rebasis.operators import encode as E
+from rebasis.functions.text import tokens
+from rebasis.operators.fingerprint import flat_fingerprint
 from rebasis.plans import audits as A
 from rebasis.plans import corpus as C
 from rebasis.plans import encoding as P
@@ -87,7 +89,7 @@ def test_encode_split_and_resume(spark, frozen):
     root = fresh_path(spark, "encoded")
     run = P.encode_split(spark, frozen, root, **JOB).first()
     assert (run.n_rows, run.n_shards, run.dim, run.prefix, run.dtype) == (230, 5, 32, "passage: ", "float16")
-    assert run.corpus_hash == src.manifest(spark, frozen).first().corpus_hash
+    assert run.corpus_tree_hash == src.manifest(spark, frozen).first().corpus_tree_hash and run.queries_tree_hash is None
     table = f"{root}/vectors"
     stored = vectors(spark, table, ENCODER.name, "corpus")
     texts = {r.row_idx: r.text for r in src.frozen(spark, frozen, "corpus").collect()}
@@ -99,12 +101,16 @@ def test_encode_split_and_resume(spark, frozen):
 
     with pytest.raises(FileExistsError, match="force"):
         P.encode_split(spark, frozen, root, **JOB)
-    held = src.manifest(spark, frozen).first().corpus_hash
+    held = src.manifest(spark, frozen).first().corpus_tree_hash
     expected = E.expected_shards(src.frozen(spark, frozen, "corpus"), 50)
     model, split = ENCODER.name, "corpus"
-    assert E.resume_plan(expected, stored, model, split, "passage: ", held).count() == 0
-    assert E.resume_plan(expected, stored, model, split, "other: ", held).count() == 5
-    assert E.resume_plan(expected, stored, model, split, "passage: ", "x").count() == 5
+    assert E.resume_plan(expected, stored, model, split, "passage: ", held, "1").count() == 0
+    assert E.resume_plan(expected, stored, model, split, "other: ", held, "1").count() == 5
+    assert E.resume_plan(expected, stored, model, split, "passage: ", "x", "1").count() == 5
+    assert E.resume_plan(expected, stored, model, split, "passage: ", held, "2").count() == 5
+    assert E.resume_plan(expected, stored, model, split, "passage: ", held, "1", 512).count() == 5
+    with pytest.raises(ValueError, match="33 are registered"):
+        P.encode_split(spark, frozen, root, **JOB, force=True, registered_dim=33)
 
     run = P.encode_split(spark, frozen, root, **{**JOB, "prefix": "other: "}, force=True).first()
     assert [r.prefix for r in src.encode_runs(spark, root).collect()] == ["other: "]
@@ -122,7 +128,7 @@ def test_only_missing_shards_are_encoded(spark, frozen):
     P.encode_pending(rows, expected.where("shard_id in (0, 2)"), *args, shard_rows=50)
     before = vectors(spark, root).select("shard_id", "_metadata.file_name").distinct().collect()
     short = vectors(spark, root)
-    pending = E.resume_plan(expected, short, "m", "corpus", "", "h")
+    pending = E.resume_plan(expected, short, "m", "corpus", "", "h", ENCODER.revision)
     assert sorted(r.shard_id for r in pending.collect()) == [1, 3, 4]
     P.encode_pending(rows, pending, *args, shard_rows=50)
     after = vectors(spark, root).select("shard_id", "_metadata.file_name").distinct().collect()
@@ -135,13 +141,47 @@ def test_drift_is_refused(spark, frozen):
     rows = src.frozen(spark, frozen, "corpus")
     held = src.manifest(spark, frozen)
     key, value = P.verify_input(rows, held)
-    assert key == "corpus_hash" and len(value) == 16
-    with pytest.raises(ValueError, match="corpus_hash mismatch"):
-        P.verify_input(rows, held.withColumn("corpus_hash", F.lit("0" * 16)))
+    assert key == "corpus_tree_hash" and len(value) == 16
+    with pytest.raises(ValueError, match="corpus_tree_hash mismatch"):
+        P.verify_input(rows, held.withColumn("corpus_tree_hash", F.lit("0" * 16)))
     with pytest.raises(ValueError, match="drifted"):
         P.verify_input(rows.where("row_idx > 0"), held)
-    tree = held.withColumn("corpus_hash", F.lit(None).cast("string"))
-    assert P.verify_input(rows, tree)[0] == "corpus_tree_hash"
+    none = held.withColumn("corpus_tree_hash", F.lit(None).cast("string"))
+    with pytest.raises(ValueError, match="no fingerprint"):
+        P.verify_input(rows, none)
+    flat = none.withColumn("corpus_hash", F.lit(flat_fingerprint(rows, "doc_id").first().fingerprint))
+    assert P.verify_input(rows, flat)[0] == "corpus_hash"
+
+
+def test_run_is_refused_by_another_manifest(spark, frozen):
+    root = fresh_path(spark, "encoded")
+    P.encode_split(spark, frozen, root, **JOB)
+    runs, held = src.encode_runs(spark, root).drop("sidecar"), src.manifest(spark, frozen)
+    A.require_hashes(runs, held)
+    tables = C.load(spark, frozen)
+    short = C.Frozen(tables.corpus.where("row_idx < 100"), tables.queries, tables.qrels)
+    with pytest.raises(ValueError, match="corpus_tree_hash"):
+        A.require_hashes(runs, C.manifest_row(short, C.FreezeSpec()))
+    with pytest.raises(ValueError, match="1 in all"):
+        A.require_hashes(runs, held.withColumn("corpus_tree_hash", F.lit(None).cast("string")))
+
+
+def test_own_query_prompt(spark):
+    own = Failing("dim")
+    own.name, own.query_prompt = "Qwen/Qwen3-Embedding-0.6B", "Own: "
+    models = R.models(spark)
+    assert R.prefix_of(models, own, "query") == "Own: "
+    assert R.prefix_of(models, own, "doc") == R.prefix_for(models, own.name, "doc")
+
+
+def test_tokens_of_the_encoder_are_those_of_the_columns(spark):
+    text = "a\u00a0b C\tc\x0bd \x1c e  \n"
+    df = spark.createDataFrame([(text,)], "text string")
+    want = [t for t in df.select(tokens(F.lower("text")).alias("t")).first().t]
+    got = ENCODER.load()(np.array([text, None, ""], object))
+    assert got[0].sum() == len(want) and not got[1:].any()
+    for t in want:
+        assert got[0] @ ENCODER.load()(np.array([t], object))[0] > 0
 
 
 def test_grid_reports_failures(spark, frozen):

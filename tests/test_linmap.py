@@ -190,6 +190,14 @@ def test_unequal_counts_raise(spark, spaces):
         P.evaluate_pairs(table, judged, [("m/one", "m/none")], train_size=10)
 
 
+def test_shifted_rows_raise(spark, spaces):
+    table = vector_table(spark, spaces)
+    moved = F.when((F.col("model") == "m/two") & (F.col("split") == "corpus"), F.col("row_idx") + 10).otherwise(F.col("row_idx"))
+    judged = spark.createDataFrame([(0, 0)], "query_row long, corpus_row long")
+    with pytest.raises(ValueError, match="corpus rows differ.*20}"):
+        P.evaluate_pairs(table.withColumn("row_idx", moved), judged, [("m/one", "m/two")], train_size=10)
+
+
 def test_ceilings(spark, spaces):
     judged = spark.createDataFrame([(q, q) for q in range(60)], "query_row long, corpus_row long")
     got = {r.model: r.recall_at_10 for r in ceilings(vector_table(spark, spaces), judged, list(spaces)).collect()}

@@ -139,7 +139,7 @@ def test_ndcg_without_hits_or_grades(spark):
     judged = spark.createDataFrame([(0, 5, 1), (1, 5, 0), (2, 5, 1)], "query_row long, corpus_row long, rel int")
     ranked = spark.createDataFrame([(0, 1, 6), (1, 1, 5)], "query_row long, rank int, corpus_row long")
     got = {r[0]: r[1] for r in M.ndcg_by_query(judged, ranked, "query_row", "corpus_row").collect()}
-    assert got == {0: 0.0, 1: 0.0}  # query 2 was not searched
+    assert got == {0: 0.0, 1: 0.0, 2: 0.0}  # query 2 found nothing
 
 
 def test_hot_query(spark):

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from rebasis import session as S
 
 
-def fake(folder=None, master="spark://host:7077"):
+def fake(folder=None, master="spark://host:7077", checkpoints=None):
     return SimpleNamespace(
         conf=SimpleNamespace(get=lambda key, default=None: folder or default),
-        sparkContext=SimpleNamespace(master=master),
+        sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: checkpoints),
     )
 
 
@@ -17,6 +17,9 @@ def test_shared_dir():
     assert S.shared_dir(fake("hdfs:///shared/")) == "hdfs:///shared"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         S.shared_dir(fake())
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        S.shared_dir(fake(master="local-cluster[2,1,1024]"))
+    assert S.shared_dir(fake(checkpoints="hdfs:///set/")) == "hdfs:///set"
 
 
 def test_fresh_paths_differ(spark):
