@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from rebasis.llm.common import small
 
 BITS = 18
-MAX_LABELS = 8_000
+MAX_LABELS = 6_000
 EPOCHS = 3
 TOKENS = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\x20\x09-\x0d]+")
 
@@ -91,8 +91,9 @@ def _hasher(bits: int):
         for batch in batches:
             rows = [features(t.as_py(), bits) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float64())),
-                 batch.column("y")], ["slots", "values", "y"])
+                [pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())),
+                 pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32())), batch.column("y")],
+                ["slots", "values", "y"])
 
     return run
 
@@ -111,9 +112,13 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, column: str = "qu
         max_labels: int = MAX_LABELS, bits: int = BITS) -> Model:
     """Train on the labelled documents where ``learnable`` (a condition on doc_id) holds."""
     rows = labelled(docs, labels, column, learnable, max_labels).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).select(
-        "text", "y").mapInArrow(_hasher(bits), "slots array<bigint>, values array<double>, y int").toArrow()
-    slots, values = (rows.column(c).to_pylist() for c in ("slots", "values"))
-    return train([(np.array(s, np.int64), np.array(v), y) for s, v, y in zip(slots, values, rows.column("y").to_pylist())], bits)
+        "text", "y").mapInArrow(_hasher(bits), "slots array<int>, values array<float>, y int").toArrow().combine_chunks()
+    if not len(rows):
+        return train([], bits)
+    lists, values = (rows.column(c).chunk(0) for c in ("slots", "values"))
+    slots, values, bounds = lists.values.to_numpy(), values.values.to_numpy(), lists.offsets.to_numpy()
+    y = rows.column("y").to_pylist()
+    return train([(slots[a:b], values[a:b], k) for a, b, k in zip(bounds, bounds[1:], y)], bits)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
