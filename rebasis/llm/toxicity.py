@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rebasis.llm.common import text_words
+from rebasis.llm.common import small, stored, text_words
 from rebasis.llm.quality_model import labelled, sigmoid
 
 WINDOW = 64
@@ -46,14 +46,17 @@ MIN_DOCS, MIN_RATIO, MIN_Z = 3, 4.0, 5.0
 
 def windows(text: bytes | None, width: int = WINDOW) -> list[bytes]:
     """The lower-case text with single spaces, cut before the first word that starts beyond ``width``."""
-    line = b" " + b" ".join((text or b"").lower().split()) + b" "
+    words = (text or b"").lower().split()
+    if not words:
+        return [b""]
+    line = b" " + b" ".join(words) + b" "
     out, at = [], 0
     while at < len(line) - 1:
         to = line.find(b" ", at + width)
         to = len(line) - 1 if to < 0 else to
         out.append(line[at: to + 1])  # the space at a cut belongs to both windows
         at = to
-    return out or [b""]
+    return out
 
 
 def parameters() -> zstandard.ZstdCompressionParameters:
@@ -102,7 +105,11 @@ def toxic_segments(rows: DataFrame) -> list[bytes]:
     if not n1 or not n0:
         return []
     found = words.select("y", F.explode(F.array_distinct(F.concat("w", pairs))).alias("segment"))
-    counts = found.groupBy("segment").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") >= MIN_DOCS)
+    # only what toxic text has often enough is looked for in ordinary text
+    ones = stored(found.where("y = 1").groupBy("segment").agg(F.count("*").alias("a")).where(F.col("a") >= MIN_DOCS), "segments")
+    zeros = found.where("y = 0").join(small(ones.select("segment"), ones.count()), "segment").groupBy("segment").agg(
+        F.count("*").alias("b0"))
+    counts = ones.join(zeros, "segment", "left").withColumn("b", F.coalesce("b0", F.lit(0)))
     pa_, pb = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1)
     both = (F.col("a") + F.col("b")) / (n1 + n0)
     z = (pa_ - pb) / F.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
