@@ -65,7 +65,8 @@ PAIR_RESULTS = struct(
     "source STRING, target STRING, method STRING, src_dim INT, tgt_dim INT, "
     "train_docs BIGINT, test_docs BIGINT, test_qrels BIGINT, test_queries BIGINT, "
     "recall_at_10_translated DOUBLE, recall_at_10_native_target DOUBLE, ratio DOUBLE, "
-    "train_seconds DOUBLE, seed INT, train_queries STRING, map_rank INT"
+    "train_seconds DOUBLE, seed INT, train_queries STRING, map_rank INT, "
+    "solve_seconds DOUBLE, aggregate_seconds DOUBLE"
 )
 
 CEILINGS = struct("model STRING, recall_at_10 DOUBLE")

@@ -17,7 +17,7 @@ from rebasis.plans.reports import encode_summary
 from rebasis.session import fresh_path, stored
 from rebasis.sources import tables as src
 from rebasis.sources.vectors import stored_shapes, vectors
-from rebasis.streaming.encode_stream import encode_new_files, encoded
+from rebasis.streaming.encode_stream import encode_new_files
 from rebasis.workload import sql as S
 from rebasis.workload import standins as st
 from rebasis.workload.base import query
@@ -420,13 +420,13 @@ def _encoded(spark: SparkSession, sf: str) -> tuple[str, str]:
     + "SELECT doc_id, count(*) AS n_buckets, round(sum(w), 4) AS total FROM h GROUP BY doc_id"
 )
 def stream_encode(spark: SparkSession, sf: str) -> DataFrame:
-    """All documents through the streaming encode; vectors are stored as 16-bit values."""
+    """All documents through the streaming encode and back from the vector table; vectors are 16-bit values."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
     out, state = fresh_path(spark, "stream"), fresh_path(spark, "stream-state")
     encode_new_files(spark, f"{sf}/documents*.parquet", schema, out, state, ENCODER)
     values = F.col("embedding").cast("array<double>")
-    return encoded(spark, out).select(
-        "doc_id",
+    return vectors(spark, out, ENCODER.name, "corpus").select(
+        F.col("row_idx").alias("doc_id"),
         F.size(F.filter(values, lambda x: x != 0)).cast("bigint").alias("n_buckets"),
         F.round(F.aggregate(values, F.lit(0.0), lambda s, x: s + x), 4).alias("total"),
     )

@@ -307,7 +307,7 @@ def _evaluated(spark: SparkSession, sf: str, pairs: list[tuple[str, str]]) -> Da
     half = st.base_vectors(spark, sf).count() // 2
     return evaluate_pairs(
         st.vectors(spark, sf), st.graded_pairs(spark, sf), pairs, train_size=half
-    ).drop("train_seconds", "train_queries", "map_rank")
+    ).drop("train_seconds", "solve_seconds", "aggregate_seconds", "train_queries", "map_rank")
 
 
 _ONE = [("studio/base", "studio/rotated")]
@@ -330,7 +330,7 @@ def pair_grid(spark: SparkSession, sf: str) -> DataFrame:
     found = st.vectors(spark, sf)
     half = st.base_vectors(spark, sf).count() // 2
     return evaluate_grid(found, st.graded_pairs(spark, sf), train_size=half).drop(
-        "train_seconds", "train_queries", "map_rank"
+        "train_seconds", "solve_seconds", "aggregate_seconds", "train_queries", "map_rank"
     )
 
 

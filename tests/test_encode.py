@@ -17,7 +17,7 @@ from rebasis.session import fresh_path
 from rebasis.sinks.tables import refuse_if_encoded, write_pair_results
 from rebasis.sources import tables as src
 from rebasis.sources.vectors import shard_totals, stored_shapes, vectors
-from rebasis.streaming.encode_stream import encode_new_files, encoded
+from rebasis.streaming.encode_stream import encode_new_files
 
 ENCODER = E.HashedTermEncoder(32)
 
@@ -207,12 +207,15 @@ def test_streaming_encodes_new_files_once(spark):
     docs.where("doc_id < 4").coalesce(1).write.parquet(source)
     args = (spark, source, docs.schema, out, state, ENCODER)
     encode_new_files(*args)
-    assert encoded(spark, out).count() == 4
+    assert vectors(spark, out).count() == 4
     encode_new_files(*args)
-    assert encoded(spark, out).count() == 4
+    assert vectors(spark, out).count() == 4
+    # a batch that runs again, as after a crash before the checkpoint was written
+    encode_new_files(spark, source, docs.schema, out, fresh_path(spark, "other-state"), ENCODER)
+    assert vectors(spark, out, ENCODER.name, "corpus").count() == 4
     docs.where("doc_id >= 4").repartition(3).write.mode("append").parquet(source)
     encode_new_files(*args, files_per_batch=1)
-    rows = {r.doc_id: r.embedding for r in encoded(spark, out).collect()}
+    rows = {r.row_idx: r.embedding for r in vectors(spark, out).collect()}
     assert sorted(rows) == list(range(10))
     want = expected_vector("text 7").astype(np.float16)
     assert np.array_equal(np.array(rows[7], np.float16), want)
@@ -351,7 +354,7 @@ def test_registry(spark):
 
 
 def test_reports(spark):
-    row = ("org/a-long-source-model-name", "org/b", "m", 1, 1, 1, 1, 1, 1, 0.5, 1.0, 0.5, 0.1, 42, "all", 1)
+    row = ("org/a-long-source-model-name", "org/b", "m", 1, 1, 1, 1, 1, 1, 0.5, 1.0, 0.5, 0.1, 42, "all", 1, 0.1, 0.2)
     results = spark.createDataFrame([row], PAIR_RESULTS)
     assert pair_summary(results).first() == ("a-long-source-mode", "b", "0.50000", "1.00000", "0.50000")
     path = fresh_path(spark, "pairs")

@@ -151,7 +151,7 @@ def test_pairs_do_not_depend_on_partitions(spark, spaces, parts):
     table = vector_table(spark, spaces)
     judged = spark.createDataFrame([(q, q) for q in range(60)], "query_row long, corpus_row long")
     one, two = (
-        P.evaluate_grid(t, judged, train_size=150).drop("train_seconds")
+        P.evaluate_grid(t, judged, train_size=150).drop("train_seconds", "solve_seconds", "aggregate_seconds")
         for t in (table.repartition(4), table.repartition(parts))
     )
     assert sorted(one.collect()) == sorted(two.collect())
