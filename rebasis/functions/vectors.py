@@ -54,10 +54,6 @@ def half_round(v: Column | str) -> Column:
     return F.transform(_col(v).cast("array<double>"), one).cast("array<float>")
 
 
-def widen(v: Column | str) -> Column:
-    return _col(v).cast("array<float>")
-
-
 def ratio(part: Column | str, whole: Column | str) -> Column:
     """``part / whole``, or 0 where ``whole`` is 0."""
     part, whole = _col(part), _col(whole)

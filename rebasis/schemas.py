@@ -55,8 +55,6 @@ MODELS = struct(
     "large_batch_size INT, prefix_testable BOOLEAN"
 )
 
-GRADED_QRELS = struct("query_id STRING, doc_id STRING, rel INT")
-
 EXPECTED_METRICS = struct(
     "model STRING, ndcg_at_10 DOUBLE, source STRING, scale STRING, tolerance DOUBLE"
 )
@@ -71,6 +69,4 @@ PAIR_RESULTS = struct(
 
 CEILINGS = struct("model STRING, recall_at_10 DOUBLE")
 
-MATRIX_ROWS = struct("i INT, row ARRAY<DOUBLE>")
-
 CHECKS = struct("check_name STRING, subject STRING, status STRING, passed BOOLEAN, detail STRING")

@@ -35,6 +35,20 @@ def query_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sample(ids, "query_id", max(1, ids.count() // 2), stream="queries")
 
 
+@query(
+    f"""SELECT doc_id, r <= n // 8 AS in_small FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY {S.key('doc_id', 'nested')}) AS r, count(*) OVER () AS n FROM documents)
+WHERE r <= n // 2"""
+)
+def nested_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the documents, and which of them a sample of an eighth has: all of the smaller one."""
+    ids = st.table(spark, sf, "documents").select("doc_id")
+    n = ids.count()
+    small_one = sample(ids, "doc_id", n // 8, stream="nested").withColumn("in_small", F.lit(True))
+    large = sample(ids, "doc_id", n // 2, stream="nested")
+    return large.join(small_one, "doc_id", "full_outer").select("doc_id", F.coalesce("in_small", F.lit(False)).alias("in_small"))
+
+
 @query(S.with_(S.FREEZE) + "SELECT row_idx, doc_id, md5(text) AS text_md5 FROM corpus")
 def corpus_freeze(spark: SparkSession, sf: str) -> DataFrame:
     return st.corpus(spark, sf).frozen.corpus.select(

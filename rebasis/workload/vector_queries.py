@@ -15,7 +15,9 @@ from rebasis.operators.retrieve import top_k
 from rebasis.plans.ceilings import ceilings
 from rebasis.plans.pairs import all_pairs, evaluate_grid, evaluate_pairs
 from rebasis.plans.reports import ceiling_lines, pair_summary
-from rebasis.session import stored
+from rebasis.schemas import PAIR_RESULTS
+from rebasis.session import fresh_path, stored
+from rebasis.sinks.tables import write_pair_results
 from rebasis.workload import sql as S
 from rebasis.workload import standins as st
 from rebasis.workload.base import query
@@ -320,6 +322,17 @@ def pair_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return _evaluated(spark, sf, _ONE)
 
 
+@query(_pairs_sql(_ALL))
+def pair_results_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of all pairs, written as JSON and read back."""
+    half, path = st.base_vectors(spark, sf).count() // 2, fresh_path(spark, "pairs")
+    write_pair_results(
+        evaluate_pairs(st.vectors(spark, sf), st.graded_pairs(spark, sf), _ALL, train_size=half), path)
+    return spark.read.schema(PAIR_RESULTS).json(path).drop(
+        "train_seconds", "solve_seconds", "aggregate_seconds", "train_queries", "map_rank"
+    )
+
+
 @query(_pairs_sql(_LS))
 def pair_ratio_least_squares(spark: SparkSession, sf: str) -> DataFrame:
     return _evaluated(spark, sf, _LS)
