@@ -48,11 +48,10 @@ MIN_USES = 8
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
 END_ID = 1
-CACHE_WORDS = 1_000_000
-GROUP_BYTES = 1 << 23
-MARKS = b".,;:!?%$#&*|"
-# letters that lower-case and normalise one by one
-LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+CACHE_WORDS = 350_000
+GROUP_BYTES = 1 << 22
+# Letters that lower-case and normalise one by one, in UTF-8, then marks the tokenizer parts from letters.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?%$#&*|]{0,8})")
 # byte-level vocabularies show a byte as itself if it is printable, else as the next free character from 256
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
@@ -65,8 +64,8 @@ class WordEncoder:
     """Ids of texts, batch by batch: each distinct word is looked up once, and encoded once while it is remembered.
 
     The tokenizer lower-cases, and parts letters and digits from other marks, so an unknown word
-    is looked up as its lower-case stem and the marks behind it. A stem of Latin letters is one word
-    to the library's model, which is asked for it directly; all else takes the whole way.
+    of Latin letters and marks is its lower-case stem and its marks. The stem is one word to the
+    library's model, which is asked for it directly; all else takes the whole way.
     """
 
     def __init__(self, path: str | None = None) -> None:
@@ -76,63 +75,75 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.model = self.tokenizer.model
+        # words seen lately, and those seen before; a word found in the second moves to the first
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
 
-    @staticmethod
-    def parts(word: bytes) -> tuple[bytes, ...]:
-        """Pieces whose ids make up the word's; the word itself unless they surely do."""
-        if b"<|" in word:  # may be a special token, which is told by case
-            return (word,)
-        stem = word.rstrip(MARKS)
-        if not stem:
-            return (word,)
-        ends_plain = stem[-1:].isalnum() if stem[-1] < 128 else stem.decode()[-1].isalpha()
-        if not ends_plain:
-            return (word,)
-        return (stem.lower(),) if stem == word else (stem.lower(), word[len(stem):])
+    def library(self, words: list[bytes]) -> list[bytes]:
+        done = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in done]
+
+    def stem_ids(self, stem: bytes) -> bytes:
+        """Ids of a lower-case stem, by the model alone."""
+        text = stem.decode()
+        if not text.isascii():
+            text = text.lower().encode().decode("latin-1").translate(BYTE_CHARS)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def learn(self, words: list[bytes]) -> None:
-        known, parts, tokenize, plain = self.known, self.parts, self.model.tokenize, LATIN.fullmatch
-        split = [parts(w) for w in words]
+        known, older, marked, plain = self.known, self.older, self.marks, PLAIN.fullmatch
         ask: list[bytes] = []
-        for piece in {p for ps in split for p in ps}:
-            if piece in known:
-                continue
-            text = piece.decode()
-            if not plain(text):
-                ask.append(piece)
+        for word in words:
+            found = plain(word)
+            if found is None:
+                ask.append(word)
                 continue
-            if not text.isascii():
-                text = text.lower().encode().decode("latin-1").translate(BYTE_CHARS)
-            known[piece] = array("I", [t.id for t in tokenize(text)]).tobytes()
-        done = self.tokenizer.encode_batch_fast([p.decode() for p in ask], add_special_tokens=False)
-        known.update((p, array("I", e.ids).tobytes()) for p, e in zip(ask, done))
-        for word, ps in zip(words, split):
-            if len(ps) > 1:
-                known[word] = known[ps[0]] + known[ps[1]]
-            elif ps[0] is not word:
-                known[word] = known[ps[0]]
+            stem, marks = found.groups()
+            stem = stem.lower()
+            ids = known.get(stem) or older.get(stem) or self.stem_ids(stem)
+            known[stem] = ids
+            if marks:
+                if marks not in marked:
+                    marked[marks] = self.library([marks])[0]
+                ids += marked[marks]
+            known[word] = ids
+        known.update(zip(ask, self.library(ask)))
+
+    def rest(self) -> None:
+        """Keep only what was seen lately, while the worker waits for its next task."""
+        self.known, self.older, self.marks = {}, self.known, {}
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and how many each text has."""
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        if len(self.known) > CACHE_WORDS:
+            self.rest()
+        known, older = self.known, self.older
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.cast(pa.binary()).to_pylist()
         found = list(map(known.get, words))
         if new := [n for n, ids in enumerate(found) if ids is None]:
-            self.learn([words[n] for n in new])
+            unknown = []
+            for n in new:
+                if (ids := older.get(words[n])) is None:
+                    unknown.append(words[n])
+                else:
+                    known[words[n]] = ids
+            self.learn(unknown)
             for n in new:
                 found[n] = known[words[n]]
         table = np.frombuffer(b"".join(found), np.uint32)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts = np.cumsum(size) - size
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        starts = np.cumsum(size, dtype=np.int32) - size
         codes = coded.indices.to_numpy()
         each = size[codes]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        ids = table[np.repeat(starts[codes] - ends[:-1], each) + np.arange(int(ends[-1]))]
+        ends = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        total = int(ends[-1])
+        kind = np.int32 if total < 1 << 31 else np.int64
+        place = np.repeat((starts[codes] - ends[:-1]).astype(kind), each)
+        place += np.arange(total, dtype=kind)
+        ids = table[place]
         bounds = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return np.insert(ids, bounds[1:], END_ID), np.diff(bounds) + 1
 
@@ -162,7 +173,7 @@ def repair(ids: np.ndarray, rounds: int = ROUNDS, min_uses: int = MIN_USES) -> t
         if len(seq) < 2 or room <= 0:
             break
         pairs = (seq[:-1].astype(np.uint64) << np.uint64(24)) | seq[1:]
-        slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+        slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
         held[slot] = pairs
         at = np.flatnonzero(held[slot] == pairs)
         at = at[np.bincount(slot[at], minlength=SLOTS)[slot[at]] >= min_uses]
@@ -286,6 +297,9 @@ def groups(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]
 
 def _writer(path: str | None, shard_ids: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # imported by name: what is pickled with the task would start without the worker's encoder
+        from rebasis.llm.token_files import encoder
+
         encode = encoder(path)
         doc_ids, counts, parts, total, no, part = [], [], [], 0, 0, 0
 
@@ -315,6 +329,7 @@ def _writer(path: str | None, shard_ids: int, rounds: int):
                             doc_ids, counts, parts, total, no = [], [], [], 0, no + 1
         if doc_ids:
             yield image()
+        encode.rest()
 
     return run
 
@@ -332,7 +347,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, no, raw in zip(batch.column("part").to_pylist(), batch.column("no").to_pylist(), batch.column("image")):
             image = Image(raw.as_py())
-            ids = image.all().astype("<u4")
+            ids = image.all().astype("<u4", copy=False)
             sums = [zlib.crc32(ids[a: a + n]) for a, n in zip(image.starts.tolist(), image.counts.tolist())]
             n = len(sums)
             yield pa.RecordBatch.from_arrays(
