@@ -100,6 +100,9 @@ def attribute(first: np.ndarray, last: np.ndarray, starts: np.ndarray, ends: np.
 
 def _counter(path: str | None, rule: str, given: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # imported by name: what is pickled with the task would start without the worker's encoder
+        from rebasis.llm.attribution import encoder
+
         encode = encoder(path)
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
