@@ -24,6 +24,7 @@ ordered by text. An empty table gives no shards.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import struct
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 
 from rebasis.llm.common import small, stored
 
+LIBC = ctypes.CDLL(None)
 MAGIC = b"RPT1"
 BASE = 1 << 16
 SHARD_IDS = 1 << 20
@@ -49,7 +51,7 @@ SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
 END_ID = 1
 CACHE_WORDS = 350_000
-GROUP_BYTES = 1 << 22
+GROUP_BYTES = 1 << 23
 # Letters that lower-case and normalise one by one, in UTF-8, then marks the tokenizer parts from letters.
 PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?%$#&*|]{0,8})")
 # byte-level vocabularies show a byte as itself if it is printable, else as the next free character from 256
@@ -111,13 +113,19 @@ class WordEncoder:
         known.update(zip(ask, self.library(ask)))
 
     def rest(self) -> None:
-        """Keep only what was seen lately, while the worker waits for its next task."""
+        """Keep only what was seen lately, and give freed memory back, while the worker waits for its next task."""
+        self.turn()
+        pa.default_memory_pool().release_unused()
+        if hasattr(LIBC, "malloc_trim"):
+            LIBC.malloc_trim(0)
+
+    def turn(self) -> None:
         self.known, self.older, self.marks = {}, self.known, {}
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and how many each text has."""
         if len(self.known) > CACHE_WORDS:
-            self.rest()
+            self.turn()
         known, older = self.known, self.older
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
