@@ -7,7 +7,7 @@ shards appear once, in any store. Images are read back one by one.
 
 Re-Pair, per shard: count the adjacent pairs, replace those found at least
 ``min_uses`` times by new symbols, left to right without overlap, and repeat on the
-result. All frequent pairs of a round are replaced together. Rules hold two older symbols each and the length of their
+result until no pair is found that often. Counts are exact; the frequent pairs of a round are replaced together. Rules hold two older symbols each and the length of their
 expansion, so any range of ids is decoded by locating it in the running sum of lengths
 and expanding the symbols that cover it.
 
@@ -45,10 +45,11 @@ MAGIC = b"RPT1"
 BASE = 1 << 16
 SHARD_IDS = 1 << 20
 MAX_SYMBOLS = 1 << 24
-ROUNDS = 3
+ROUNDS = None  # until no pair is frequent
 MIN_USES = 8
-SLOT_BITS = 18
+SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
+HASH = np.uint64(0x9E3779B97F4A7C15)
 END_ID = 1
 CACHE_WORDS = 350_000
 GROUP_BYTES = 1 << 23
@@ -166,47 +167,120 @@ def encoder(path: str | None) -> WordEncoder:
     return _encoders[path]
 
 
-def repair(ids: np.ndarray, rounds: int = ROUNDS, min_uses: int = MIN_USES) -> tuple[np.ndarray, np.ndarray]:
+def frequent(pairs: np.ndarray, min_uses: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, codes, counts) of the pairs found ``min_uses`` times: where they stand in ``pairs``, as which pair, how often each.
+
+    Counts are exact. Hashed slots go before the sort, only to drop pairs whose whole slot has too few.
+    """
+    places = np.arange(len(pairs))
+    if len(pairs) > 1 << 12:
+        slot = ((pairs * HASH) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        places = np.flatnonzero((np.bincount(slot, minlength=SLOTS) >= min_uses)[slot])
+    order = np.argsort(pairs[places])
+    places = places[order]
+    ordered = pairs[places]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else places
+    counts = np.diff(first, append=len(ordered))
+    enough = counts >= min_uses
+    places = places[np.repeat(enough, counts)]
+    counts = counts[enough]
+    return places, np.repeat(np.arange(len(counts)), counts), counts
+
+
+def repair(ids: np.ndarray, rounds: int | None = ROUNDS, min_uses: int = MIN_USES) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rules are rows (left, right, expansion length), numbered from ``BASE``.
 
-    Pairs are counted in a table of hashed slots. A slot stands for one pair in a round; another
-    pair of the same slot waits for a later round.
+    Each round counts all pairs without overlap and replaces every second place of a run of frequent ones. If
+    so each pair gets too few, the more frequent of two neighbours goes first (of equal ones by a hash, which keeps
+    rules shallow), so the most frequent pair is replaced whole. Without a limit of ``rounds`` no
+    pair is left that is found ``min_uses`` times.
+
+    Symbols stay where they are, linked to their neighbours, and a pair that was too rare stays too
+    rare. A round therefore looks only at pairs of the last round's symbols and at those left over.
     """
-    seq = ids.astype(np.uint32)
+    n = len(ids)
+    seq = np.append(ids.astype(np.uint32), np.uint32(0))
+    kind = np.int32 if n < (1 << 31) - 2 else np.int64
+    after, before = np.arange(1, n + 2, dtype=kind), np.arange(-1, n, dtype=kind)
+    gone = np.zeros(n + 1, bool)
+    gone[n] = True
     tables: list[np.ndarray] = []
     sizes = np.ones(BASE, np.uint32)
-    held = np.zeros(SLOTS, np.uint64)
-    for _ in range(rounds):
+    at = np.arange(max(n - 1, 0))  # in order; a place is the first of its pair
+    while len(at) and (rounds is None or len(tables) < rounds):
         room = MAX_SYMBOLS - len(sizes)
-        if len(seq) < 2 or room <= 0:
+        if room <= 0:
             break
-        pairs = (seq[:-1].astype(np.uint64) << np.uint64(24)) | seq[1:]
-        slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
-        held[slot] = pairs
-        at = np.flatnonzero(held[slot] == pairs)
-        at = at[np.bincount(slot[at], minlength=SLOTS)[slot[at]] >= min_uses]
-        # of a run of neighbouring places every second one is taken, once without the pairs that get too few
-        for last in (False, True):
-            new_run = np.diff(at, prepend=-2) > 1
+        pairs = (seq[at].astype(np.uint64) << np.uint64(24)) | seq[after[at]]
+        # of a run of one symbol every second pair counts
+        same = np.zeros(len(at), bool)
+        same[1:] = (pairs[1:] == pairs[:-1]) & (after[at[:-1]] == at[1:])
+        odd = np.zeros(len(at), bool)
+        if same.any():
             order = np.arange(len(at))
-            take = ((order - np.maximum.accumulate(np.where(new_run, order, 0))) & 1) == 0
-            at = at[take] if last else at[np.bincount(slot[at[take]], minlength=SLOTS)[slot[at]] >= min_uses]
-        named = np.flatnonzero(np.bincount(slot[at], minlength=SLOTS))[:room]
-        if not len(named):
+            odd = ((order - np.maximum.accumulate(np.where(same, 0, order))) & 1) == 1
+        free = np.flatnonzero(~odd)
+        places, codes, counts = frequent(pairs[free], min_uses)
+        if not len(counts):
             break
-        number = np.zeros(SLOTS, np.uint32)
+        places = free[places]
+        code = np.full(len(at), -1, np.int64)
+        code[places] = codes
+        value = np.zeros(len(counts), np.uint64)
+        value[codes] = pairs[places]
+        rank = np.empty(len(counts), np.int64)
+        rank[np.lexsort((value * HASH, counts))] = np.arange(1, len(counts) + 1)
+        # the other pairs of a run stay for later rounds if their pair is frequent
+        left = odd.copy()
+        left[1:] &= (code[:-1] >= 0)
+        hot = np.flatnonzero(code >= 0)
+        where, code = at[hot], code[hot]
+        stay, every = where, code
+        # of a run of neighbouring places every second one is taken, once more without the pairs that get too few
+        for last in (False, True):
+            run = np.zeros(len(where), bool)
+            run[1:] = after[where[:-1]] == where[1:]
+            order = np.arange(len(where))
+            take = ((order - np.maximum.accumulate(np.where(run, 0, order))) & 1) == 0
+            uses = np.bincount(code[take], minlength=len(counts))
+            if not last:
+                some = uses[code] >= min_uses
+                where, code = where[some], code[some]
+        if not (uses >= min_uses).any():  # then each place that outranks its neighbours: the most frequent pair has all its own
+            where, code = stay, every
+            weight, run = rank[code], after[where[:-1]] == where[1:]
+            take = np.ones(len(where), bool)
+            take[1:] &= ~run | (weight[1:] > weight[:-1])
+            take[:-1] &= ~run | (weight[:-1] > weight[1:])
+            uses = np.bincount(code[take], minlength=len(counts))
+        named = np.flatnonzero(uses >= min_uses)
+        named = named[np.argsort(-rank[named])][:room]
+        number = np.zeros(len(counts), np.uint32)
         number[named] = len(sizes) + np.arange(len(named))
-        at = at[number[slot[at]] > 0]
-        left = (held[named] >> np.uint64(24)).astype(np.uint32)
-        right = (held[named] & np.uint64(0xFFFFFF)).astype(np.uint32)
-        size = sizes[left] + sizes[right]
-        tables.append(np.stack([left, right, size], axis=1))
+        take &= number[code] > 0
+        where, code = where[take], code[take]
+        ends = seq[where], seq[after[where]]
+        one = np.zeros(len(counts), np.int64)
+        one[code] = np.arange(len(code))
+        a, b = ends[0][one[named]], ends[1][one[named]]
+        size = sizes[a] + sizes[b]
+        tables.append(np.stack([a, b, size], axis=1))
         sizes = np.concatenate([sizes, size])
-        seq[at] = number[slot[at]]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-    return seq, np.concatenate(tables) if tables else np.zeros((0, 3), np.uint32)
+        second = after[where]
+        seq[where] = number[code]
+        gone[second] = True
+        after[where] = after[second]
+        before[after[where]] = where
+        touched = before[where]
+        at = np.concatenate([stay, at[left], where, touched[touched >= 0]])
+        if len(at) > n >> 5:
+            mark = np.zeros(n + 1, bool)
+            mark[at] = True
+            at = np.flatnonzero(mark)
+        else:
+            at = np.unique(at)
+        at = at[~gone[at] & (after[at] < n)]
+    return seq[~gone], np.concatenate(tables) if tables else np.zeros((0, 3), np.uint32)
 
 
 class Grammar:
@@ -218,8 +292,8 @@ class Grammar:
         self.flat = np.zeros(int(self.sizes.sum()), np.uint32)
         self.flat[:BASE] = np.arange(BASE)
         # shorter rules first: both halves of a rule are shorter than the rule
-        for n in np.unique(rules[:, 2]):
-            of_size = np.flatnonzero(rules[:, 2] == n)
+        order = np.argsort(rules[:, 2], kind="stable")
+        for of_size in np.split(order, np.flatnonzero(np.diff(rules[order, 2])) + 1):
             for symbol, side in ((rules[of_size, 0], 0), (rules[of_size, 1], 1)):
                 shift = self.sizes[rules[of_size, 0]] if side else 0
                 self._copy(symbol, self.starts[BASE + of_size] + shift)
@@ -246,7 +320,7 @@ def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
     return Grammar(rules).expand(symbols)
 
 
-def write_image(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, rounds: int = ROUNDS) -> tuple[bytes, int]:
+def write_image(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, rounds: int | None = ROUNDS) -> tuple[bytes, int]:
     """A shard image and its number of symbols."""
     symbols, rules = repair(ids, rounds)
     return b"".join([
@@ -303,7 +377,7 @@ def groups(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]
         yield lo, len(size)
 
 
-def _writer(path: str | None, shard_ids: int, rounds: int):
+def _writer(path: str | None, shard_ids: int, rounds: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # imported by name: what is pickled with the task would start without the worker's encoder
         from rebasis.llm.token_files import encoder
@@ -342,7 +416,7 @@ def _writer(path: str | None, shard_ids: int, rounds: int):
     return run
 
 
-def write_shards(docs: DataFrame, path: str | None = None, shard_ids: int = SHARD_IDS, rounds: int = ROUNDS) -> DataFrame:
+def write_shards(docs: DataFrame, path: str | None = None, shard_ids: int = SHARD_IDS, rounds: int | None = ROUNDS) -> DataFrame:
     """Encode and write all documents; the stored table of shard images (part, no, ...)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = F.col("doc_id").asc_nulls_first()

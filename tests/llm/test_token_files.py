@@ -74,6 +74,34 @@ def test_repair_round_trip(ids, repeat, uses):
     assert rules[:, 2].tolist() == sizes
 
 
+def uses_left(symbols):
+    """How often the most frequent pair is found without overlap."""
+    found, last = {}, {}
+    for i, pair in enumerate(zip(symbols.tolist(), symbols.tolist()[1:])):
+        if last.get(pair) != i - 1:
+            found[pair], last[pair] = found.get(pair, 0) + 1, i
+    return max(found.values(), default=0)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 3) | st.integers(0, 49407), max_size=300), st.integers(1, 6), st.integers(2, 6))
+def test_repair_leaves_no_frequent_pair(ids, repeat, uses):
+    ids = np.array(ids * repeat, np.uint32)
+    symbols, rules = t.repair(ids, min_uses=uses)
+    assert t.expand(symbols, rules).tolist() == ids.tolist() and uses_left(symbols) < uses
+
+
+def test_repair_of_a_full_shard_is_exact():
+    # many more distinct pairs than hashed slots, among them a passage of 50 ids and a document with many copies
+    rng = np.random.default_rng(5)
+    passage, document = rng.integers(0, 49408, 50), rng.integers(0, 49408, 700)
+    ids = np.concatenate([x for i in range(400) for x in (
+        rng.integers(0, 49408, 1500), passage if i % 40 == 1 else [], document if i % 4 == 0 else [])]).astype(np.uint32)
+    symbols, rules = t.repair(ids)
+    assert (t.expand(symbols, rules) == ids).all() and uses_left(symbols) < t.MIN_USES
+    assert rules[:, 2].max() >= 700 - 2 and (rules[:, 2] == 50).any()
+
+
 def test_random_access_and_size():
     rng = np.random.default_rng(2)
     phrases = [rng.integers(0, 49408, 9) for _ in range(30)]
