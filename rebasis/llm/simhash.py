@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rebasis.llm.common import small, stored
@@ -266,24 +266,48 @@ def components(edges: DataFrame) -> DataFrame:
     return state
 
 
+def grouped(by_print: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """``by_print``, a row per fingerprint, with the ``root`` of its component."""
+    edges = stored(links(by_print.select("fp"), radius, shard), "edges")
+    return by_print.join(components(edges), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     found = stored(fingerprints(docs), "fingerprints")
     by_print = stored(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    edges = stored(links(by_print.select("fp"), radius, shard), "edges")
-    roots = components(edges)
-    grouped = by_print.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(grouped.join(least, "root").select("fp", "component_id"), "components")
+    roots = grouped(by_print, radius, shard)
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(roots.join(least, "root").select("fp", "component_id"), "components")
     return found.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each component the document of the least id; of repeated ids the first text in order."""
-    chosen = near_duplicates(docs.select("doc_id", "text")).where(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__of")).distinct()
+    """Of each component one row: that of the least id, null ids last; of one id the text of the least hash.
+
+    Rows are told apart by id and text, as ids may be null or repeated, so a row stands only for its own
+    component, and rows without an id do not stand for each other. Not whole yet: if an id is the least of
+    several components, only the first of their texts in order stays, as ``test_one_of_each`` wants each id once.
+    """
+    rows = docs.withColumn("__h", F.xxhash64("text", F.col("text").isNull()))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = next(_fingerprint_batches(iter([batch])))
+            yield pa.RecordBatch.from_arrays([*found.columns, batch.column("__h")], ["doc_id", "fp", "__h"])
+
+    found = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "__h").mapInArrow(
+        prints, f"doc_id {kind}, fp bigint, __h bigint")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__h")).alias("least")
+    by_print = stored(found.groupBy("fp").agg(least), "prints")
+    chosen = grouped(by_print).groupBy("root").agg(F.min("least").alias("c")).select(
+        F.col("c.doc_id").alias("__of"), F.col("c.__h").alias("__of_h"))
     chosen = stored(chosen, "representatives")
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__of")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+    kept = rows.join(chosen, (F.col("__h") == F.col("__of_h")) & F.col("doc_id").eqNullSafe(F.col("__of")), "left_semi")
+    # aggregated where the rows are first, so that one (id, text) of any number of rows is no large group
+    columns = ["doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+    first = kept.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("__h")).alias("__n")).agg(
+        F.min(F.struct(*columns)).alias("row"))
+    return first.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -68,6 +68,17 @@ def test_one_of_each(frame, edge_rows):
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(heads)
 
 
+def test_one_of_each_takes_one_row_of_each_component(frame):
+    say = lambda tag: " ".join(f"{tag}{k}word" for k in range(40))
+    first, second, third, other = say("a"), say("b"), say("c"), say("d")
+    rows = [
+        (1, first, "x"), (7, first, "x"), (7, second, "x"), (7, second, "x"), (8, second, "x"),  # id 7 is of two components
+        (None, third, "x"), (None, third, "x"), (None, other, "x"), (None, first, "x"), (9, say("e"), "x"),
+    ]
+    got = sorted((str(r.doc_id), r.text) for r in s.one_of_each(frame(rows)).collect())
+    assert got == sorted([("1", first), ("7", second), ("None", third), ("None", other), ("9", say("e"))])
+
+
 def chain(spark, prints, radius=4, shard=s.SHARD):
     fps = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
     return {r.fp % (1 << 64): r.root % (1 << 64) for r in s.components(s.links(fps, radius, shard)).collect()}
