@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries: the ordinary one is trained on windows of ordinary text; the
-toxic one is trained on what toxic text has and ordinary text has not, and ends with the
-ordinary one. A window is compressed with both. Since what both hold lies at equal distances,
+toxic one is not trained but raw content: a list of segments that toxic text has and ordinary text
+has not, followed by the ordinary one. A window is compressed with both. Since what both hold lies at equal distances,
 the lengths differ by what only toxic text explains: the compression distance.
 
 Toxic segments are the words and word pairs whose document frequencies differ between
