@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rebasis.llm import (
     attribution, decontaminate, licenses, mixing, quality_model, quality_rules, simhash, sql, token_files, toxicity,
-    url_filters,
+    url_filters, va_clusters,
 )
 from rebasis.llm.common import fold, query, table
 
@@ -87,3 +87,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query(sql.VA_CLUSTERS)
+def op13_va_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = va_clusters.cluster(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

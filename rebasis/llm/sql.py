@@ -183,3 +183,40 @@ select doc_id, r.path, own_license, own_score, coalesce(is_license_file, false)
 from rows_ r left join own on r.path = own.path
 left join nearest on regexp_extract(r.path, '^(.*)/[^/]*$', 1) = nearest.of
 """
+
+
+def _va_clusters(k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256) -> str:
+    """Lloyd rounds over exploded integer vectors; every distance measured, no approximation."""
+    parts = [
+        f"""v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {dim}
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))))""",
+        f"e AS (SELECT rid, unnest(range({dim})) AS dim, unnest(q) AS val FROM v)",
+        f"""s0 AS (
+  SELECT q, sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, array_to_string(q, ',') AS t
+  FROM v ORDER BY h, t LIMIT {k})""",
+        "n0 AS (SELECT row_number() OVER (ORDER BY h, t) - 1 AS cid, q FROM s0)",
+        f"c0 AS (SELECT cid, unnest(range({dim})) AS dim, unnest(q) AS val FROM n0)",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""d{r} AS (
+  SELECT e.rid, c.cid, sum((e.val - c.val) * (e.val - c.val)) AS dist FROM e JOIN c{r} c USING (dim) GROUP BY e.rid, c.cid)""")
+        parts.append(f"""a{r} AS (
+  SELECT rid, cid, dist FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY dist, cid) AS rn FROM d{r}) WHERE rn = 1)""")
+        if r < rounds:
+            parts.append(f"""g{r} AS (SELECT a.cid, e.dim, sum(e.val) AS s, count(*) AS n FROM a{r} a JOIN e USING (rid) GROUP BY a.cid, e.dim)""")
+            parts.append(f"""c{r + 1} AS (
+  SELECT cid, dim, (s - ((s % n) + n) % n) // n AS val FROM g{r}
+  UNION ALL SELECT cid, dim, val FROM c{r} WHERE cid NOT IN (SELECT cid FROM a{r}))""")
+    parts.append(f"""h AS (SELECT cid, sha256(string_agg(val::VARCHAR, ',' ORDER BY dim)) AS sha FROM c{rounds} GROUP BY cid)""")
+    body = ",\n".join(parts)
+    return f"""WITH {body}
+SELECT v.vec_id, a.cid::INTEGER AS cluster, a.dist::BIGINT AS distance,
+       (sum(a.dist) OVER (PARTITION BY a.cid))::BIGINT AS cluster_inertia, (sum(a.dist) OVER ())::BIGINT AS inertia,
+       h.sha AS centroid_sha256
+FROM a{rounds} a JOIN v USING (rid) JOIN h USING (cid)"""
+
+
+VA_CLUSTERS = _va_clusters()
