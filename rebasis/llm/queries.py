@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rebasis.llm import (
     attribution, decontaminate, licenses, mixing, quality_model, quality_rules, simhash, sql, token_files, toxicity,
-    url_filters, va_clusters,
+    url_filters, va_clusters, pii,
 )
 from rebasis.llm.common import fold, query, table
 
@@ -93,3 +93,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_va_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = va_clusters.cluster(table(spark, sf_dir, "embeddings"))
     return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query()
+def op12_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
