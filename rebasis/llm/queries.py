@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rebasis.llm import (
     attribution, decontaminate, licenses, mixing, quality_model, quality_rules, simhash, sql, token_files, toxicity,
-    url_filters, va_clusters, pii,
+    url_filters, va_clusters, pii, variants,
 )
 from rebasis.llm.common import fold, query, table
 
@@ -98,3 +98,8 @@ def op13_va_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op12_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+@query(sql.VARIANTS)
+def op11_vgram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))

@@ -220,3 +220,61 @@ FROM a{rounds} a JOIN v USING (rid) JOIN h USING (cid)"""
 
 
 VA_CLUSTERS = _va_clusters()
+
+
+def _variants() -> str:
+    """Words by SQL: crc32 spelled out over UTF-8 bytes, all pairs of near length compared."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n::BIGINT)) AS tbl),
+r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS k,
+         translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')), '{upper}', '{lower}') AS low
+  FROM documents),
+b AS (
+  SELECT low, flatten(list_transform(string_split(k || ':' || low, ''), lambda ch: CASE
+    WHEN unicode(ch) < 128 THEN [unicode(ch)]
+    WHEN unicode(ch) < 2048 THEN [192 + unicode(ch) // 64, 128 + unicode(ch) % 64]
+    WHEN unicode(ch) < 65536 THEN [224 + unicode(ch) // 4096, 128 + (unicode(ch) // 64) % 64, 128 + unicode(ch) % 64]
+    ELSE [240 + unicode(ch) // 262144, 128 + (unicode(ch) // 4096) % 64, 128 + (unicode(ch) // 64) % 64,
+          128 + unicode(ch) % 64] END)) AS bytes
+  FROM r),
+h AS (
+  SELECT low, xor(list_reduce(bytes, lambda c, x: xor(tbl[xor(c, x) % 256 + 1], c // 256), 4294967295::BIGINT),
+                  4294967295) AS h
+  FROM b, t),
+w AS (
+  SELECT CASE WHEN h % 31 = 0
+              THEN substr(low, 1, (h % length(low))::BIGINT) || substr(low, (h % length(low))::BIGINT + 2)
+              ELSE low END AS word
+  FROM h),
+words AS (
+  SELECT word, count(*) AS n,
+         translate(word, array_to_string(list_transform(range(192, 256), lambda i: chr(i::INTEGER)), ''),
+                         array_to_string(list_transform(range(1, 65), lambda i: chr(i::INTEGER)), '')) AS one_byte
+  FROM w WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+near AS (
+  SELECT a.word, c.word AS other, c.n AS other_n
+  FROM words a JOIN words c
+    ON abs(length(a.word) - length(c.word)) <= 1 AND a.word <> c.word AND levenshtein(a.one_byte, c.one_byte) = 1),
+best AS (
+  SELECT word, other, other_n, n_near FROM (
+    SELECT *, count(*) OVER (PARTITION BY word) AS n_near,
+           row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS rn FROM near) WHERE rn = 1),
+forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near,
+         CASE WHEN b.other_n >= 10 * w.n THEN b.other END AS form,
+         CASE WHEN b.other_n >= 10 * w.n THEN b.other_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+chain AS (
+  SELECT word, word AS cur, 0 AS depth FROM forms
+  UNION ALL
+  SELECT c.word, f.form, c.depth + 1 FROM chain c JOIN forms f ON f.word = c.cur WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(cur, depth) AS root FROM chain GROUP BY word)
+SELECT f.word, f.form, r.root, f.n::BIGINT AS n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n
+FROM forms f JOIN roots r USING (word)"""
+
+
+VARIANTS = _variants()
