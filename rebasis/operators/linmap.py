@@ -28,6 +28,11 @@ PASS_BYTES = 512 << 20
 ROWS_PER_DIM = 1
 # Singular values below this share of the largest count as zero.
 RELATIVE_CUTOFF = 1e-7
+# In a solve on the triangular factor the singular values are those of the rows themselves,
+# not squared: below this share of the largest (times the dimension) they count as zero.
+QR_CUTOFF = 4 * np.finfo(float).eps
+# Triangular factors merged by one task of the reduction tree.
+QR_FANOUT = 8
 
 _PARTIAL = pa.schema([("block", pa.int32()), ("i", pa.int32()), ("row", pa.list_(pa.float64()))])
 
@@ -107,6 +112,105 @@ def tasks_for(n_rows: int, dims: list[int], most: int) -> int:
     return max(1, min(most, n_rows // (ROWS_PER_DIM * max(dims))))
 
 
+_FACTOR = pa.schema([("part", pa.int32()), ("i", pa.int32()), ("row", pa.list_(pa.float64()))])
+
+
+def _factor_rows(part: int, r: np.ndarray) -> Iterator[pa.RecordBatch]:
+    step = max(1, (8 << 20) // (8 * max(1, r.shape[1])))
+    for lo in range(0, len(r), step):
+        block = r[lo : lo + step]
+        yield pa.record_batch([pa.array(np.full(len(block), part, np.int32)),
+                               pa.array(np.arange(lo, lo + len(block), dtype=np.int32)),
+                               list_column(block, pa.float64())], schema=_FACTOR)
+
+
+def _stack_r(held: np.ndarray | None, rows: np.ndarray) -> np.ndarray:
+    """The triangular factor of ``held`` stacked on ``rows``: same Gram matrix, square or fewer rows."""
+    both = rows if held is None else np.vstack([held, rows])
+    return np.linalg.qr(both, mode="r") if len(both) else both
+
+
+def _local_r(columns: list[str], dims: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = np.hstack([dense(batch.column(c), d) for c, d in zip(columns, dims)])
+                held = _stack_r(held, rows)
+        if held is not None:
+            yield from _factor_rows(TaskContext.get().partitionId(), held)
+
+    return run
+
+
+def _merge_r(width: int, fanout: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            if batch.num_rows:
+                parts = batch.column("part").to_numpy()
+                index = batch.column("i").to_numpy()
+                rows = dense(batch.column("row"), width)
+                for part in np.unique(parts):
+                    factors.setdefault(int(part) // fanout, []).append((index[parts == part].astype(np.int64) + int(part) * width,
+                                                                       rows[parts == part]))
+        for group, pieces in factors.items():
+            order = np.concatenate([p[0] for p in pieces])
+            stacked = np.vstack([p[1] for p in pieces])[np.argsort(order, kind="stable")]
+            yield from _factor_rows(group, _stack_r(None, stacked))
+
+    return run
+
+
+def tall_r(df: DataFrame, columns: list[str], dims: list[int], fanout: int = QR_FANOUT) -> np.ndarray:
+    """R of the QR factorisation of the rows [c1 | c2 | ...], by a tree of tasks.
+
+    Each task factors its own rows (stacking batch after batch on its factor, so it holds one
+    factor and one batch). Factors then merge ``fanout`` at a time, by their task number, in
+    rounds of small shuffles, until one is left; only that one (width x width) reaches the
+    driver. The singular values of R are those of the rows: nothing is squared.
+    """
+    width = sum(dims)
+    if width * width * 8 > MATRIX_BYTES:
+        raise ValueError(f"a {width} x {width} factor is too large for the driver")
+    factors = df.select(*columns).mapInArrow(_local_r(columns, dims), "part int, i int, row array<double>")
+    count = max(1, df.select(*columns).rdd.getNumPartitions())
+    while count > 1:
+        groups = -(-count // fanout)
+        factors = factors.repartition(groups, (F.col("part") / fanout).cast("int")).mapInArrow(
+            _merge_r(width, fanout), factors.schema)
+        count = groups
+    held = factors.toArrow()
+    r = np.zeros((0, width))
+    if held.num_rows:
+        rows = dense(held["row"].combine_chunks(), width)
+        r = _stack_r(None, rows[np.argsort(held["i"].to_numpy(), kind="stable")])
+    return r
+
+
+def solve_triangular_least_squares(r: np.ndarray, src_dim: int, cutoff: float = QR_CUTOFF) -> LinearMap:
+    """The minimum-norm M of least ``|A M - B|`` from R of [A | B], by a rank-revealing SVD of R11."""
+    square = np.zeros((r.shape[1], r.shape[1]))
+    square[: len(r)] = r
+    r11, r12 = square[:src_dim, :src_dim], square[:src_dim, src_dim:]
+    u, s, vt = np.linalg.svd(r11)
+    kept = s > s[0] * cutoff * max(1, src_dim) if len(s) and s[0] > 0 else np.zeros(len(s), bool)
+    matrix = vt[kept].T @ ((u[:, kept].T @ r12) / s[kept, None])
+    condition = float(s[0] / s[kept].min()) if kept.any() else float("inf")
+    return LinearMap(matrix, "least_squares", int(kept.sum()), condition)
+
+
+def fit_least_squares_qr(df: DataFrame, source: str, target: str, fanout: int = QR_FANOUT) -> LinearMap:
+    """The least-squares map from ``source`` to ``target`` through a tall QR of the rows."""
+    dims = [dim_of(df, source), dim_of(df, target)]
+    started = time.monotonic()
+    r = tall_r(df, [source, target], dims, fanout)
+    made = solve_triangular_least_squares(r, dims[0])
+    return replace(made, solve_seconds=time.monotonic() - started)
+
+
 def cells(matrix: DataFrame) -> DataFrame:
     """The relational form (i, j, value) of matrix rows (i, row)."""
     return matrix.select("i", F.posexplode("row").alias("j", "value"))

@@ -237,6 +237,32 @@ def least_squares_map(spark: SparkSession, sf: str) -> DataFrame:
     return _cells(L.to_rows(spark, L.fit(both, "a", "b").matrix), 6)
 
 
+def _planted_decay(vector: Column | str, smallest: float = 1e-9) -> Column:
+    """A test fixture: coordinate j scaled by ``smallest ** (j / (d - 1))``, in double.
+
+    Rows so scaled have singular values spread down to about ``smallest`` of the largest.
+    """
+    v = (F.col(vector) if isinstance(vector, str) else vector).cast("array<double>")
+    last = F.greatest(F.size(v) - 1, F.lit(1))
+    return F.transform(v, lambda x, j: x * F.pow(F.lit(smallest), j / last))
+
+
+@query(
+    """SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j,
+  CAST(CASE WHEN j < 64 AND i = j THEN 1 WHEN j >= 64 AND i = j - 64 THEN 2 ELSE 0 END AS DOUBLE) AS value
+FROM range(64) a(i), range(96) b(j)"""
+)
+def least_squares_qr(spark: SparkSession, sf: str) -> DataFrame:
+    """The extension map fitted by a tall QR to rows whose singular values reach down to 1e-9.
+
+    The squared (Gram) form cannot see the smallest directions; the triangular factor can.
+    """
+    df = st.table(spark, sf, "embeddings")
+    decayed = df.select(_planted_decay("embedding").alias("a"))
+    both = decayed.select("a", L.planted_extension("a").alias("b"))
+    return _cells(L.to_rows(spark, L.fit_least_squares_qr(both, "a", "b").matrix), 6)
+
+
 _ROTATED = """
 t AS (SELECT vec_id, list_transform(list_reverse(CAST(embedding AS DOUBLE[])),
                        lambda x, i: CASE WHEN i % 2 = 0 THEN -x ELSE x END) AS w FROM embeddings),

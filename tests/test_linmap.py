@@ -205,3 +205,49 @@ def test_ceilings(spark, spaces):
         score = np.round(queries @ docs.T, 6)
         hit = np.mean([q in np.lexsort((np.arange(400), -score[q]))[:10] for q in range(60)])
         assert abs(got[name] - hit) < 1e-12
+
+
+def _frame(spark, a, b, parts):
+    rows = [(i, [float(x) for x in ra], [float(x) for x in rb]) for i, (ra, rb) in enumerate(zip(a, b))]
+    return spark.createDataFrame(rows, "i long, a array<double>, b array<double>").repartition(parts, "i")
+
+
+def test_tall_r_through_the_tree(spark):
+    rnd = np.random.default_rng(4)
+    a = rnd.normal(size=(700, 6))
+    b = rnd.normal(size=(700, 3))
+    r = L.tall_r(_frame(spark, a, b, 9), ["a", "b"], [6, 3], fanout=2)
+    both = np.hstack([a, b])
+    assert r.shape == (9, 9)
+    assert np.allclose(r.T @ r, both.T @ both)
+
+
+def test_qr_recovers_what_the_gram_form_loses(spark):
+    """Rows with singular values down to 1e-9: the planted map comes back to 1e-6 only through R."""
+    rnd = np.random.default_rng(8)
+    a = rnd.normal(size=(400, 16)) * (1e-9 ** (np.arange(16) / 15))
+    planted = rnd.normal(size=(16, 5))
+    b = a @ planted
+    fitted = L.fit_least_squares_qr(_frame(spark, a, b, 5), "a", "b")
+    assert np.abs(fitted.matrix - planted).max() < 1e-6
+    assert fitted.rank == 16
+    gram = L.solve_least_squares(L.spectrum(a.T @ a), a.T @ b)
+    assert np.abs(gram.matrix - planted).max() > 1e-3
+
+
+def test_qr_minimum_norm_when_rank_deficient(spark):
+    rnd = np.random.default_rng(2)
+    base = rnd.normal(size=(300, 4))
+    a = np.hstack([base, base[:, :2]])  # two repeated columns
+    b = rnd.normal(size=(300, 3))
+    fitted = L.fit_least_squares_qr(_frame(spark, a, b, 4), "a", "b")
+    want = np.linalg.lstsq(a, b, rcond=None)[0]
+    assert fitted.rank == 4
+    assert np.allclose(fitted.matrix, want, atol=1e-8)
+
+
+def test_qr_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "i long, a array<double>, b array<double>")
+    r = L.tall_r(empty, ["a", "b"], [3, 2])
+    made = L.solve_triangular_least_squares(r, 3)
+    assert r.shape == (0, 5) and made.rank == 0 and not made.matrix.any()
