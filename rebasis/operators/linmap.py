@@ -279,15 +279,17 @@ def method_for(src_dim: int, tgt_dim: int) -> str:
 
 def fit_many(df: DataFrame, dims: dict[str, int], pairs: list[tuple[str, str]],
              max_tasks: int | None = None) -> dict[tuple[str, str], LinearMap]:
-    """Maps between the named vector columns of aligned rows, one scan per pass.
+    """Maps between the named vector columns of aligned rows.
 
-    A cross product serves both directions of a pair, and a Gram matrix every
-    target of a source; passes are sized so that a task can hold its sums.
+    Orthogonal pairs need only the cross product ``A'B``, which one scan per pass gives for
+    all of them (one product serves both directions of a pair); passes are sized so that a
+    task can hold its sums. Least-squares pairs are solved from the triangular factor of
+    the rows ``[A | B]`` (:func:`tall_r`), so their condition number is never squared.
     """
     needed: list[tuple[str, str]] = []
     for a, b in pairs:
-        wanted = [(a, b)] if dims[a] == dims[b] else [(a, a), (a, b)]
-        needed += [p for p in wanted if p not in needed and p[::-1] not in needed]
+        if dims[a] == dims[b] and (a, b) not in needed and (b, a) not in needed:
+            needed.append((a, b))
     passes: list[list[tuple[str, str]]] = [[]]
     held = 0
     for a, b in needed:
@@ -300,6 +302,8 @@ def fit_many(df: DataFrame, dims: dict[str, int], pairs: list[tuple[str, str]],
 
     sums: dict[tuple[str, str], np.ndarray] = {}
     for group in passes:
+        if not group:
+            continue
         blocks = products(df, group, max_tasks)
         total = sum(dims[a] * dims[b] * 8 for a, b in group)
         if total > max(PASS_BYTES, MATRIX_BYTES):
@@ -313,17 +317,13 @@ def fit_many(df: DataFrame, dims: dict[str, int], pairs: list[tuple[str, str]],
                 matrix[mine["i"].to_numpy()] = dense(mine["row"].combine_chunks(), dims[b])
             sums[a, b], sums[b, a] = matrix, matrix.T
 
-    # one spectrum serves all targets of a source; the first of them is charged for it
-    spectra: dict[str, object] = {}
     maps = {}
     for a, b in pairs:
         started = time.monotonic()
         if method_for(dims[a], dims[b]) == "orthogonal_procrustes":
             made = solve_orthogonal(sums[a, b])
         else:
-            if a not in spectra:
-                spectra[a] = spectrum(sums[a, a])
-            made = solve_least_squares(spectra[a], sums[a, b])
+            made = solve_triangular_least_squares(tall_r(df, [a, b], [dims[a], dims[b]]), dims[a])
         maps[a, b] = replace(made, solve_seconds=time.monotonic() - started)
     return maps
 
