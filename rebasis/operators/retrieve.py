@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +19,10 @@ from rebasis.operators.arrow import dense
 from rebasis.registry import TOP_K
 
 SCORE_DECIMALS = 6
-# Query vectors are broadcast in blocks of this size, with one scan of the
-# documents for each; beyond this many scans both sides are blocked.
+# Query vectors up to this size are broadcast; larger sets are stored in blocks.
 BROADCAST_BYTES = 128 << 20
 MAX_PASSES = 16
-# Vector bytes of one side of a block pair, beyond the broadcast bound.
+# Vector bytes of one stored query block, read by a task at a time.
 BLOCK_BYTES = 64 << 20
 # Score cells held at a time by one task.
 CELLS = 2 << 20
@@ -68,6 +66,14 @@ class _Best:
         keep = order[starts[:, None] + np.arange(k)]
         self.score[hit], self.ident[hit] = all_score[keep], all_ident[keep]
 
+    def offer_some(self, rows: np.ndarray, score: np.ndarray, ident: np.ndarray) -> None:
+        """As :meth:`offer`, for the queries ``rows`` only (``score`` has one row each)."""
+        part = _Best.__new__(_Best)
+        part.k, part.decimals, part.margin = self.k, self.decimals, self.margin
+        part.score, part.ident = self.score[rows], self.ident[rows]
+        part.offer(score, ident)
+        self.score[rows], self.ident[rows] = part.score, part.ident
+
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q, r = np.nonzero(np.isfinite(self.score))
         return q.astype(np.int32), self.ident[q, r], self.score[q, r]
@@ -94,24 +100,6 @@ def _scan(shared, k: int, decimals: int):
     return run
 
 
-def _block_pair(k: int, decimals: int, n_keys: int):
-    def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
-        keys = queries.select(range(2, 2 + n_keys))
-        if not len(docs) or not len(queries):
-            none = pa.table([pa.array([], pa.int64()), pa.array([], pa.float64())], ["_d", "score"])
-            out = keys.slice(0, 0)
-            return out.append_column("_d", none["_d"]).append_column("score", none["score"])
-        q = dense(queries["_v"].combine_chunks())
-        d = dense(docs["_v"].combine_chunks(), q.shape[1])
-        best = _Best(len(q), k, decimals)
-        _offer_all(best, q, docs["_d"].to_numpy(), d)
-        row, ident, score = best.rows()
-        out = keys.take(pa.array(row))
-        return out.append_column("_d", pa.array(ident)).append_column("score", pa.array(score))
-
-    return run
-
-
 def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP_K, *, doc_id: str = "row_idx",
           query_id: list[str] | str = "query_row", vector: str = "embedding",
           decimals: int = SCORE_DECIMALS, broadcast_bytes: int = BROADCAST_BYTES,
@@ -119,12 +107,14 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP_K, *, doc_id: str =
           max_tasks: int | None = None, query_shape: tuple[int, int] | None = None) -> DataFrame:
     """The ``k`` best documents of every query: query ids, rank (1-based), doc id, score.
 
-    Documents are scanned and never shuffled: each task multiplies its Arrow
-    batches with the broadcast query block and keeps k rows per query. Query
-    sets above ``broadcast_bytes`` take one scan per block, up to
-    ``max_passes``. Beyond that both sides are blocked, and blocks meet by an
-    equi-join on their numbers. ``query_shape``, the number and length of query
-    vectors, saves counting them if known. Ids must be unique on both sides.
+    Documents are scanned once and never shuffled. A query set of at most
+    ``broadcast_bytes`` is broadcast: each task multiplies its Arrow batches with it and
+    keeps k rows per query. A larger one is stored in the shared folder in blocks of about
+    ``block_bytes``, which every task reads one after another beside its documents
+    (:func:`_stored_scan`); document sub-blocks whose centroid bound cannot beat a query's
+    k-th score are skipped for it, exactly. Only candidates are shuffled. ``query_shape``,
+    the number and length of query vectors, saves counting them if known. Ids must be
+    unique on both sides. ``max_passes`` is kept for callers and no longer used.
     """
     keys = [query_id] if isinstance(query_id, str) else list(query_id)
     n, dim = query_shape or queries.agg(F.count("*"), F.max(F.size(vector))).first()
@@ -136,23 +126,13 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP_K, *, doc_id: str =
             *keys, F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("_d"),
             F.lit(0.0).alias("score"),
         ).where(F.lit(False))
-    elif n * dim * 8 <= broadcast_bytes * max_passes:
-        passes = math.ceil(n * dim * 8 / broadcast_bytes)
+    elif n * dim * 8 <= broadcast_bytes:
         tasks = max_tasks or 4 * docs.sparkSession.sparkContext.defaultParallelism
         # merged splits: a task reports its best rows once for many files
-        scan = left.coalesce(tasks)
-        part = F.pmod(F.xxhash64(*keys), F.lit(passes))
-        ranked = reduce(DataFrame.unionByName, (
-            _one_pass(scan, right if passes == 1 else right.where(part == p), keys, k, decimals,
-                      dim, broadcast_bytes)
-            for p in range(passes)
-        ))
+        ranked = _one_pass(left.coalesce(tasks), right, keys, k, decimals, dim, broadcast_bytes)
     else:
         per_block = max(1, block_bytes // (dim * 8))
-        ranked = _block_join(
-            left, right, keys, k, decimals,
-            max(1, math.ceil(docs.count() / per_block)), math.ceil(n / per_block),
-        )
+        ranked = _stored_scan(left, right, keys, k, decimals, dim, math.ceil(n / per_block))
     return ranked.select(*keys, "rank", F.col("_d").alias(doc_id), "score")
 
 
@@ -175,23 +155,74 @@ def _one_pass(left: DataFrame, right: DataFrame, keys: list[str], k: int, decima
     return _rank(found, ["_q"], k).join(F.broadcast(named), "_q").drop("_q")
 
 
-def _block_join(left: DataFrame, right: DataFrame, keys: list[str], k: int, decimals: int,
-                d_blocks: int, q_blocks: int) -> DataFrame:
-    """Every block of documents with every block of queries; rows are copied per opposite block."""
-    left = left.withColumn("_db", F.pmod(F.xxhash64("_d"), F.lit(d_blocks)).cast("int"))
-    left = left.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = right.withColumn("_qb", F.pmod(F.xxhash64(*keys), F.lit(q_blocks)).cast("int"))
-    right = right.withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))))
+# Documents per sub-block whose centroid bound may spare its products.
+SUB_BLOCK = 512
+
+
+def _block_scan(path: str, keys: list[str], k: int, decimals: int, dim: int, blocks: int):
+    """Task body of the one-scan path: the task's documents against each stored query block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        ident = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in held])
+        docs = np.vstack([dense(b.column(1), dim) for b in held])
+        # sub-blocks with centroid and radius: q.d <= q.c + |q| r for every d of the sub-block
+        starts = range(0, len(docs), SUB_BLOCK)
+        centres = [docs[s : s + SUB_BLOCK].mean(0) for s in starts]
+        radii = [float(np.sqrt(((docs[s : s + SUB_BLOCK] - c) ** 2).sum(1).max())) for s, c in zip(starts, centres)]
+        files, root = fs.FileSystem.from_uri(path)
+        for block in range(blocks):
+            folder = f"{root}/_qb={block}"
+            if files.get_file_info(folder).type == fs.FileType.NotFound:
+                continue  # no query hashed to this block
+            table = ds.dataset(folder, filesystem=files, format="parquet").to_table()
+            if not table.num_rows:
+                continue
+            q = dense(table["_v"].combine_chunks(), dim)
+            length = np.linalg.norm(q, axis=1)
+            best = _Best(len(q), k, decimals)
+            for s, c, r in zip(starts, centres, radii):
+                bound = q @ c + length * r
+                # a query whose k-th score already beats the bound skips the sub-block, exactly
+                live = np.nonzero(~(bound < best.score[:, -1] - best.margin))[0]
+                if len(live) == len(q):
+                    _offer_all(best, q, ident[s : s + SUB_BLOCK], docs[s : s + SUB_BLOCK])
+                elif len(live):
+                    best.offer_some(live, q[live] @ docs[s : s + SUB_BLOCK].T, ident[s : s + SUB_BLOCK])
+            row, doc, score = best.rows()
+            out = table.select(keys).take(pa.array(row))
+            yield pa.RecordBatch.from_pydict(
+                {**{c: out[c].combine_chunks() for c in keys}, "_d": pa.array(doc, pa.int64()),
+                 "score": pa.array(score, pa.float64())})
+
+    return run
+
+
+def _stored_scan(left: DataFrame, right: DataFrame, keys: list[str], k: int, decimals: int, dim: int,
+                 blocks: int) -> DataFrame:
+    """Query sets too large to broadcast: stored in blocks, read by every task of one document scan.
+
+    The query table is written once to the shared folder, one directory per block (by a hash
+    of its ids). Each task then reads those blocks one at a time beside its own documents and
+    keeps k rows per query; only these candidates are shuffled, to be ranked by query. The
+    documents are read once and never shuffled; nothing passes through the driver.
+    """
+    from rebasis.session import stored
+
+    numbered = right.withColumn("_qb", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
+    table = stored(numbered, "query-blocks", by=("_qb",))
+    path = table.inputFiles()[0].rsplit("/_qb=", 1)[0] if table.inputFiles() else None
     schema = T.StructType([
         *(right.schema[c] for c in keys),
         T.StructField("_d", T.LongType()), T.StructField("score", T.DoubleType()),
     ])
-    found = (
-        left.select("_qb", "_db", "_d", "_v")
-        .groupBy("_qb", "_db")
-        .cogroup(right.select("_qb", "_db", *keys, "_v").groupBy("_qb", "_db"))
-        .applyInArrow(_block_pair(k, decimals, len(keys)), schema)
-    )
+    if path is None:
+        return _rank(left.sparkSession.createDataFrame([], schema), keys, k)
+    found = left.mapInArrow(_block_scan(path, keys, k, decimals, dim, blocks), schema)
     return _rank(found, keys, k)
 
 

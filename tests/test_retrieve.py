@@ -151,3 +151,23 @@ def test_hot_query(spark):
     assert (row.n_pairs, row.n_hits) == (3000, 2001)
     plan = M.ndcg(hot.union(rest), ranked, "query_row", "corpus_row")._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_stored_blocks_with_bounds_are_exact(spark):
+    """Clustered documents: sub-blocks far from a query are skipped, results equal brute force."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(5, 8)) * 10
+    docs = {i: (centres[i % 5] + rng.normal(size=8) * 0.1).astype(np.float32) for i in range(3000)}
+    queries = {i: (centres[i % 5] + rng.normal(size=8)).astype(np.float32) for i in range(60)}
+    d, q = frames(spark, docs, queries, parts=3)
+    # sorted documents make sub-blocks of one cluster each
+    d = d.repartitionByRange(3, (F.col("row_idx") % 5) * 10000 + F.col("row_idx"))
+    got = lists(top_k(d, q, 7, broadcast_bytes=0, block_bytes=8 * 8 * 13))
+    assert got == brute(docs, queries, 7)
+
+
+def test_stored_blocks_of_an_empty_query_hash(spark, data):
+    docs, queries = data
+    d, q = frames(spark, docs, {0: queries[0]})
+    got = lists(top_k(d, q, 5, broadcast_bytes=0, block_bytes=8))  # many blocks, one query
+    assert got == brute(docs, {0: queries[0]}, 5)
