@@ -36,8 +36,10 @@ repeated rows count each time; words are distinct, so ties in ``n`` are decided
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from rebasis.llm.common import stored
 
@@ -95,29 +97,47 @@ def dictionary(words: DataFrame, q_min: int = Q_MIN, q_max: int = Q_MAX, share:
     return freq.select("g", "q", "f")
 
 
-def decompose(words: DataFrame, dic: DataFrame, q_min: int = Q_MIN, q_max: int = Q_MAX) -> DataFrame:
-    """Per word: its kept grams as tokens ``gram#k`` (k-th repeat), their starts, and the bound ``b``."""
-    cands = words.select("word", F.explode(F.flatten(F.array(*[_grams_at(F.col("word"), q)
-                                                             for q in range(q_min, q_max + 1)]))).alias("c"))
-    cands = cands.select("word", F.col("c.p").alias("p"), F.col("c.g").alias("g"))
-    hit = cands.join(dic.select("g"), "g", "left_semi")  # grams truncated at the end are not in it
-    longest = hit.groupBy("word", "p").agg(F.max(F.char_length("g")).alias("len"))
-    per = longest.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("p", "len"))).alias("cands"))
-    # Keep a candidate unless an earlier one reaches at least as far.
-    kept = F.aggregate(
-        "cands", F.struct(F.lit(-1).alias("reach"), F.array().cast("array<struct<p:int,len:int>>").alias("out")),
-        lambda acc, c: F.when(acc["reach"] >= c["p"] + c["len"], acc).otherwise(
-            F.struct((c["p"] + c["len"]).alias("reach"), F.array_append(acc["out"], c).alias("out"))))["out"]
-    per = per.select("word", kept.alias("kept"))
-    grams = F.transform("kept", lambda c: F.col("word").substr(c["p"] + 1, c["len"]))
-    starts = F.transform("kept", lambda c: c["p"])
-    per = per.select("word", grams.alias("grams"), starts.alias("starts"))
-    tokens = F.transform("grams", lambda g, i: F.concat(
-        g, F.lit("#"), F.size(F.filter(F.slice("grams", 1, i), lambda x: x == g)).cast("string")))
+def split_word(word: str, grams: set[str], q_min: int = Q_MIN, q_max: int = Q_MAX) -> tuple[list[str], int]:
+    """The tokens ``gram#k`` of a word (k-th repeat of the gram) and its bound ``b``.
+
+    At each position the longest dictionary gram starting there is a candidate; one that ends
+    no later than an earlier candidate is covered and dropped. ``b`` = tokens minus the most
+    tokens that start within ``q_max - 1`` positions of any one edit position.
+    """
+    kept, reach = [], -1
+    for p in range(len(word) - q_min + 1):
+        size = next((q for q in range(min(q_max, len(word) - p), q_min - 1, -1) if word[p : p + q] in grams), 0)
+        if size and p + size > reach:
+            kept.append((p, word[p : p + size]))
+            reach = p + size
+    seen: dict[str, int] = {}
+    tokens = []
+    for _, g in kept:
+        tokens.append(f"{g}#{seen.get(g, 0)}")
+        seen[g] = seen.get(g, 0) + 1
     w = q_max - 1
-    nag = F.array_max(F.transform(F.sequence(F.lit(0), F.char_length("word")),
-                                  lambda i: F.size(F.filter("starts", lambda p: (p >= i - w) & (p <= i + w)))))
-    return per.select("word", tokens.alias("tokens"), (F.size("grams") - F.coalesce(nag, F.lit(0))).alias("b"))
+    starts = [p for p, _ in kept]
+    nag = max((sum(1 for p in starts if i - w <= p <= i + w) for i in range(len(word) + 1)), default=0)
+    return tokens, len(tokens) - nag
+
+
+def decompose(words: DataFrame, dic: DataFrame, q_min: int = Q_MIN, q_max: int = Q_MAX) -> DataFrame:
+    """Per word: its kept grams as tokens ``gram#k`` (k-th repeat) and the bound ``b``.
+
+    The dictionary is broadcast: its size is bounded by construction (all grams of ``q_min``
+    letters, and for each longer size at most ``1 / FREQ_SHARE`` frequent prefixes per gram
+    of a word, times the alphabet), not by the data. Words are split in Arrow batches.
+    """
+    grams = {r.g for r in dic.select("g").collect()}
+    shared = words.sparkSession.sparkContext.broadcast(grams)
+
+    @pandas_udf("tokens array<string>, b int")
+    def split(batch: pd.Series) -> pd.DataFrame:
+        held = shared.value
+        parts = [split_word(w, held, q_min, q_max) for w in batch]
+        return pd.DataFrame({"tokens": [t for t, _ in parts], "b": [b for _, b in parts]})
+
+    return words.select("word", split("word").alias("s")).select("word", "s.tokens", "s.b")
 
 
 def _deletions(word: Column) -> Column:
