@@ -157,11 +157,14 @@ def near_pairs(words: DataFrame, q_min: int = Q_MIN, q_max: int = Q_MAX, share:
     plen = F.when(F.col("b") >= 1, F.size("r") - F.col("b") + 1).otherwise(F.size("r"))
     prefix = stored(ranked.select("word", "b", F.explode(F.slice("r", 1, plen)).alias("x"))
                     .select("word", "b", F.col("x.t").alias("t")), "vgram-prefix")
-    probe = prefix.select(F.col("word").alias("a"), F.col("b").alias("ba"), "t")
-    build = prefix.where(F.col("b") >= 1).select(F.col("word").alias("c"), F.col("b").alias("bc"), "t")
-    by_grams = (probe.join(build, "t")
-                .where((F.col("a") != F.col("c")) & ((F.col("ba") < 1) | (F.col("a") < F.col("c")))
-                       & (F.abs(F.char_length("a") - F.char_length("c")) <= 1))
+    # near words differ in length by one at most: lists are merged per (gram, length)
+    size = F.char_length("word")
+    probe = prefix.select(F.col("word").alias("a"), F.col("b").alias("ba"), "t",
+                          F.explode(F.array(size - 1, size, size + 1)).alias("len"))
+    build = prefix.where(F.col("b") >= 1).select(F.col("word").alias("c"), F.col("b").alias("bc"), "t",
+                                                 size.alias("len"))
+    by_grams = (probe.join(build, ["t", "len"])
+                .where((F.col("a") != F.col("c")) & ((F.col("ba") < 1) | (F.col("a") < F.col("c"))))
                 .select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("c")).distinct())
     both = idx.select(F.col("word").alias("a"), F.col("tokens").alias("ta"), F.col("b").alias("ba"))
     other = idx.select(F.col("word").alias("c"), F.col("tokens").alias("tc"), F.col("b").alias("bc"))
