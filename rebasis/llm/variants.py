@@ -15,15 +15,16 @@ code point) are found without comparing all pairs:
    largest count of the word's grams in such a window is NAG; a word within one edit shares at
    least ``b = grams - NAG`` grams with it. This bound is exact, never too high.
 4. **List merging.** Grams are ordered by their frequency over all words, rarest first. Two
-   words within one edit, where either has ``b >= 1``, share a gram among the first
-   ``grams - b + 1`` of each (prefix filtering over the bound). So the lists of those prefix
-   grams are merged by a join; a word whose bound is 0 or less takes all its grams, and only
-   meets words with a bound. Candidates then pass the count filter and an exact edit-distance
-   check.
-5. **The rest, exactly.** Pairs of two words that both have no bound (short words, whose window
-   covers all their grams) cannot be filtered by grams; they meet through their one-deletion
+   words within one edit, both with ``b >= 1``, share at least ``max(b)`` grams, so they share
+   a gram among the first ``grams - b + 1`` of each (prefix filtering over the bound). The
+   lists of those prefix grams, per gram and word length, are merged by a join. Candidates
+   then pass the count filter and an exact edit-distance check.
+5. **The rest, exactly.** A word whose bound is 0 or less (short words, whose window covers all
+   their grams) cannot be pruned by grams: it would probe with all its grams, and the lists of
+   frequent grams would meet nearly whole. Pairs with such a word meet through one-deletion
    variants instead (a word and every string it gives by deleting one code point), which two
-   words within one edit always share, and are then checked alike.
+   words within one edit always share: its variants against those of all words. They are then
+   checked alike.
 
 Per word: ``n`` occurrences, ``n_near`` near words, ``form`` (the near word of largest ``n``,
 ties by code-point order, if that ``n`` is at least ``FORM_RATIO`` times the word's), ``form_n``
@@ -151,31 +152,28 @@ def near_pairs(words: DataFrame, q_min: int = Q_MIN, q_max: int = Q_MAX, share:
     """Ordered pairs (word, other) of words one edit apart, both directions, each once."""
     dic = dictionary(words, q_min, q_max, share)
     idx = stored(decompose(words, dic, q_min, q_max), "vgram-words")
-    tok = idx.select("word", "b", F.explode("tokens").alias("t"))
+    bounded = idx.where(F.col("b") >= 1)
+    tok = bounded.select("word", "b", F.explode("tokens").alias("t"))
     freq = tok.groupBy("t").agg(F.count("*").alias("tf"))
     ranked = tok.join(freq, "t").groupBy("word", "b").agg(F.sort_array(F.collect_list(F.struct("tf", "t"))).alias("r"))
-    plen = F.when(F.col("b") >= 1, F.size("r") - F.col("b") + 1).otherwise(F.size("r"))
+    plen = F.size("r") - F.col("b") + 1
     prefix = stored(ranked.select("word", "b", F.explode(F.slice("r", 1, plen)).alias("x"))
                     .select("word", "b", F.col("x.t").alias("t")), "vgram-prefix")
     # near words differ in length by one at most: lists are merged per (gram, length)
     size = F.char_length("word")
-    probe = prefix.select(F.col("word").alias("a"), F.col("b").alias("ba"), "t",
-                          F.explode(F.array(size - 1, size, size + 1)).alias("len"))
-    build = prefix.where(F.col("b") >= 1).select(F.col("word").alias("c"), F.col("b").alias("bc"), "t",
-                                                 size.alias("len"))
-    by_grams = (probe.join(build, ["t", "len"])
-                .where((F.col("a") != F.col("c")) & ((F.col("ba") < 1) | (F.col("a") < F.col("c"))))
-                .select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("c")).distinct())
+    probe = prefix.select(F.col("word").alias("a"), "t", F.explode(F.array(size - 1, size, size + 1)).alias("len"))
+    build = prefix.select(F.col("word").alias("c"), "t", size.alias("len"))
+    by_grams = (probe.join(build, ["t", "len"]).where(F.col("a") < F.col("c"))
+                .select("a", "c").distinct())
     both = idx.select(F.col("word").alias("a"), F.col("tokens").alias("ta"), F.col("b").alias("ba"))
     other = idx.select(F.col("word").alias("c"), F.col("tokens").alias("tc"), F.col("b").alias("bc"))
     checked = (by_grams.join(both, "a").join(other, "c")
                .where(F.size(F.array_intersect("ta", "tc")) >= F.greatest("ba", "bc"))
                .select("a", "c"))
-    loose = idx.where(F.col("b") < 1).select("word")
-    keys = loose.select("word", F.explode(_deletions(F.col("word"))).alias("k"))
-    by_deletions = (keys.alias("x").join(keys.alias("y"), "k")
-                    .where(F.col("x.word") < F.col("y.word"))
-                    .select(F.col("x.word").alias("a"), F.col("y.word").alias("c")).distinct())
+    keys = idx.select("word", (F.col("b") < 1).alias("loose"), F.explode(_deletions(F.col("word"))).alias("k"))
+    by_deletions = (keys.where("loose").alias("x").join(keys.alias("y"), "k")
+                    .where((F.col("x.word") != F.col("y.word")) & (~F.col("y.loose") | (F.col("x.word") < F.col("y.word"))))
+                    .select(F.least("x.word", "y.word").alias("a"), F.greatest("x.word", "y.word").alias("c")).distinct())
     pairs = checked.unionByName(by_deletions).distinct().where(F.levenshtein("a", "c", 1) == 1)
     return pairs.select(F.col("a").alias("word"), F.col("c").alias("other")).unionByName(
         pairs.select(F.col("c").alias("word"), F.col("a").alias("other")))
