@@ -58,9 +58,11 @@ def _encode(spark: SparkSession, a: argparse.Namespace) -> int:
     side = "doc" if a.split == "corpus" else "query"
     encoder = _encoder(a.encoder)
     model = a.model or encoder.name
-    prefix = a.prefix if a.prefix is not None else R.prefix_of(R.models(spark), encoder, side, model)
+    registered = R.models(spark)
+    prefix = a.prefix if a.prefix is not None else R.prefix_of(registered, encoder, side, model)
+    batch_size = a.batch_size or R.batch_size_for(registered, model, a.large) or R.BATCH_SIZE
     encode_split(
-        spark, a.corpus, a.out, a.split, encoder, side, prefix, model, a.batch_size,
+        spark, a.corpus, a.out, a.split, encoder, side, prefix, model, batch_size,
         a.max_tokens, force=a.force, registered_dim=R.dim_for(R.models(spark), model),
     )
     _print(encode_summary(src.encode_runs(spark, a.out).drop("sidecar")))
@@ -119,13 +121,20 @@ def _check(spark: SparkSession, a: argparse.Namespace) -> int:
 
     def prefix() -> DataFrame:
         tables = load(spark, a.corpus)
-        return each(lambda e: A.as_checks(
-            "prefix", A.prefix_audit(
-                tables.qrels, tables.queries, tables.corpus, e,
-                R.prefix_of(registered, e, "query"), R.prefix_of(registered, e, "doc"),
-            ),
-            F.col("model"), F.to_json(F.struct("with_prefix", "without_prefix", "gap")),
-        ))
+
+        def one(e) -> DataFrame:
+            if not R.prefix_testable(registered, e.name):
+                skipped = spark.createDataFrame([(e.name, "SKIP")], "model string, status string")
+                return A.as_checks("prefix", skipped, F.col("model"), F.lit("the prefix audit does not apply to this model"))
+            return A.as_checks(
+                "prefix", A.prefix_audit(
+                    tables.qrels, tables.queries, tables.corpus, e,
+                    R.prefix_of(registered, e, "query"), R.prefix_of(registered, e, "doc"),
+                ),
+                F.col("model"), F.to_json(F.struct("with_prefix", "without_prefix", "gap")),
+            )
+
+        return each(one)
 
     def metric() -> DataFrame:
         tables = src.benchmark_layout(spark, a.benchmark)
@@ -164,7 +173,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--split", choices=R.SPLITS, required=True)
     p.add_argument("--model")
     p.add_argument("--prefix")
-    p.add_argument("--batch-size", type=int, default=R.BATCH_SIZE)
+    p.add_argument("--batch-size", type=int, help="default: the model's registered batch size")
+    p.add_argument("--large", action="store_true", help="use the batch size registered for the large scale")
     p.add_argument("--max-tokens", type=int)
     p.add_argument("--force", action="store_true")
     p.set_defaults(run=_encode)

@@ -74,6 +74,18 @@ def dim_for(registry: DataFrame, model: str) -> int | None:
     return None if row is None else row.dim
 
 
+def batch_size_for(registry: DataFrame, model: str, large: bool = False) -> int | None:
+    """The registered batch size of a model at the small or the large scale, None if it is not registered."""
+    row = registry.where(F.col("model") == model).select("large_batch_size" if large else "batch_size").first()
+    return None if row is None else row[0]
+
+
+def prefix_testable(registry: DataFrame, model: str) -> bool:
+    """Does the prefix audit apply to the model? Not to one that is unregistered or marked otherwise."""
+    row = registry.where(F.col("model") == model).select("prefix_testable").first()
+    return bool(row is not None and row[0])
+
+
 def prefix_of(registry: DataFrame, encoder: object, side: str, model: str | None = None) -> str:
     """The prefix an encoder is used with: its own ``query_prompt`` where that overrides, else the registered one."""
     model = model or encoder.name

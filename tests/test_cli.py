@@ -45,6 +45,10 @@ def test_jobs_end_to_end(spark, capsys):
     assert {r.prefix for r in src.encode_runs(spark, out).collect()} == {
         "query: ", "passage: ", "search_query: ", "search_document: ", R.INSTRUCT_PROMPT, "",
     }
+    # without --batch-size each model is encoded with its registered batch size
+    assert {(r.model, r.batch_size) for r in src.encode_runs(spark, out).collect()} == {
+        (E5.name, 256), (NOMIC.name, 256), (QWEN.name, 128),
+    }
     where = ["--corpus", root, "--vectors", out]
     assert main(["ceilings", *where], spark) == 0
     assert "recall@10 = " in capsys.readouterr().out
@@ -65,3 +69,16 @@ def test_jobs_end_to_end(spark, capsys):
     shown = capsys.readouterr().out
     assert all(name in shown for name in ("determinism", "prefix", "metric", "SKIP", "FAIL"))
     assert main(["check", "dim", "determinism", *where, "--encoder", module("E5")], spark) == 0
+    capsys.readouterr()
+    assert main(["check", "prefix", *where, "--encoder", module("QWEN")], spark) == 0  # not audited: skipped
+    assert "SKIP" in capsys.readouterr().out
+
+
+def test_registry_batch_sizes_and_testable_models(spark):
+    registered = R.models(spark)
+    assert R.batch_size_for(registered, QWEN.name) == 128
+    assert R.batch_size_for(registered, QWEN.name, large=True) == 256
+    assert R.batch_size_for(registered, "nobody/unknown") is None
+    assert R.prefix_testable(registered, E5.name)
+    assert not R.prefix_testable(registered, QWEN.name)
+    assert not R.prefix_testable(registered, "nobody/unknown")
