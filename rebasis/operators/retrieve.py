@@ -75,7 +75,9 @@ class _Best:
         self.score[rows], self.ident[rows] = part.score, part.ident
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        q, r = np.nonzero(np.isfinite(self.score))
+        """Filled places only; infinite scores are returned like any other."""
+        empty = (self.score == -np.inf) & (self.ident == np.iinfo(np.int64).max)
+        q, r = np.nonzero(~empty)
         return q.astype(np.int32), self.ident[q, r], self.score[q, r]
 
 

@@ -75,6 +75,11 @@ def test_nan_vectors_are_never_retrieved(spark):
     assert lists(top_k(d, q, 10)) == {0: [2]}
 
 
+def test_infinite_scores_are_returned(spark):
+    d, q = frames(spark, {1: [float("inf"), 0.0], 2: [0.1, 0.0], 3: [float("-inf"), 0.0]}, {0: [1.0, 0.0]})
+    assert lists(top_k(d, q, 10)) == {0: [1, 2, 3]}
+
+
 def test_uneven_vectors_raise(spark):
     d, q = frames(spark, {1: [1.0, 0.0], 2: [0.1]}, {0: [1.0, 0.0]})
     with pytest.raises(Exception, match="expected vectors of length 2"):
