@@ -19,13 +19,17 @@ from rebasis.operators.arrow import dense
 from rebasis.registry import TOP_K
 
 SCORE_DECIMALS = 6
-# Query vectors up to this size are broadcast; larger sets are stored in blocks.
-BROADCAST_BYTES = 128 << 20
+# Query vectors up to this size are broadcast; larger sets are dealt out in blocks.
+BROADCAST_BYTES = 8 << 20
 MAX_PASSES = 16
-# Vector bytes of one stored query block, read by a task at a time.
-BLOCK_BYTES = 64 << 20
-# Score cells held at a time by one task.
-CELLS = 2 << 20
+# Vector bytes of one query block, held by a task while the documents stream by.
+BLOCK_BYTES = 8 << 20
+# Score tiles are this many queries by this many documents, so that one stays in the cache.
+TILE_QUERIES, TILE_DOCS = 2048, 256
+# Documents after which found candidates are ranked.
+MERGE_DOCS = 4096
+# Values of candidate vectors gathered at a time for their exact scores.
+GATHER = 1 << 20
 
 _CANDIDATES = pa.schema([("_q", pa.int32()), ("_d", pa.int64()), ("score", pa.float64())])
 
@@ -48,8 +52,13 @@ class _Best:
             kth = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
             near &= ~(score < kth - self.margin)
         q, d = np.nonzero(near)
+        self.take(q, score[q, d], ident[d])
+
+    def take(self, q: np.ndarray, score: np.ndarray, ident: np.ndarray) -> None:
+        """Take raw scores of single (query, document) pairs, each pair once."""
+        k = self.k
         # adding zero turns a rounded -0.0 into 0.0
-        value, ident = np.round(score[q, d], self.decimals) + 0.0, ident[d]
+        value = np.round(score, self.decimals) + 0.0
         last = self.score[q, -1]
         better = (value > last) | ((value == last) & (ident < self.ident[q, -1]))
         q, value, ident = q[better], value[better], ident[better]
@@ -66,14 +75,6 @@ class _Best:
         keep = order[starts[:, None] + np.arange(k)]
         self.score[hit], self.ident[hit] = all_score[keep], all_ident[keep]
 
-    def offer_some(self, rows: np.ndarray, score: np.ndarray, ident: np.ndarray) -> None:
-        """As :meth:`offer`, for the queries ``rows`` only (``score`` has one row each)."""
-        part = _Best.__new__(_Best)
-        part.k, part.decimals, part.margin = self.k, self.decimals, self.margin
-        part.score, part.ident = self.score[rows], self.ident[rows]
-        part.offer(score, ident)
-        self.score[rows], self.ident[rows] = part.score, part.ident
-
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Filled places only; infinite scores are returned like any other."""
         empty = (self.score == -np.inf) & (self.ident == np.iinfo(np.int64).max)
@@ -81,22 +82,80 @@ class _Best:
         return q.astype(np.int32), self.ident[q, r], self.score[q, r]
 
 
-def _offer_all(best: _Best, queries: np.ndarray, ident: np.ndarray, docs: np.ndarray) -> None:
-    step = max(1, CELLS // max(1, len(queries)))
-    for lo in range(0, len(ident), step):
-        best.offer(queries @ docs[lo : lo + step].T, ident[lo : lo + step])
+class _Search:
+    """A query block and its running top-k; documents are offered a batch at a time.
+
+    Scores are first taken in 32 bits, in tiles. Whatever could still reach the top k, given
+    the largest error of a 32-bit product, is scored again in 64 bits, so results are those
+    of 64-bit products throughout. Memory is bounded by the block, whatever is offered.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, decimals: int):
+        self.queries, self.best = queries, _Best(len(queries), k, decimals)
+        self.norms = np.linalg.norm(queries, axis=1)
+        with np.errstate(over="ignore"):
+            self.narrow = queries.astype(np.float32)
+        self.seen = 0
+
+    def offer(self, ident: np.ndarray, docs: np.ndarray) -> None:
+        lo = 0
+        while lo < len(ident):
+            # short steps at first, while few documents are ruled out
+            step = min(MERGE_DOCS, max(64, self.seen))
+            some = slice(lo, lo + step)
+            longest = float(np.linalg.norm(docs[some], axis=1).max(initial=0.0))
+            reach = longest * float(self.norms.max(initial=0.0))
+            for first in range(0, len(self.queries), TILE_QUERIES):
+                rows = slice(first, first + TILE_QUERIES)
+                if self.seen < self.best.k or not reach < 1e30:
+                    self._offer_wide(rows, ident[some], docs[some])
+                else:
+                    self._offer_tile(rows, ident[some], docs[some], longest)
+            lo += step
+            self.seen += step
+
+    def _offer_wide(self, rows: slice, ident: np.ndarray, docs: np.ndarray) -> None:
+        """All scores in 64 bits: for the first documents, and where 32 bits could overflow."""
+        part = _Best.__new__(_Best)
+        part.k, part.decimals, part.margin = self.best.k, self.best.decimals, self.best.margin
+        part.score, part.ident = self.best.score[rows], self.best.ident[rows]  # views
+        for lo in range(0, len(ident), TILE_DOCS):
+            some = slice(lo, lo + TILE_DOCS)
+            part.offer(self.queries[rows] @ docs[some].T, ident[some])
+
+    def _offer_tile(self, rows: slice, ident: np.ndarray, docs: np.ndarray, longest: float) -> None:
+        dim = docs.shape[1]
+        error = (dim + 8) * 2.0**-23 * longest * self.norms[rows] + 1e-30
+        least = self.best.score[rows, -1] - self.best.margin - error
+        least = np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None]
+        queries, narrow = self.narrow[rows], docs.astype(np.float32)
+        found_q, found_d = [], []
+        for lo in range(0, len(ident), TILE_DOCS):
+            tile = narrow[lo : lo + TILE_DOCS]
+            near = np.flatnonzero(queries @ tile.T >= least)
+            if len(near):
+                q, d = np.divmod(near, len(tile))
+                found_q.append(q + rows.start)
+                found_d.append(d + lo)
+        if not found_q:
+            return
+        q, d = np.concatenate(found_q), np.concatenate(found_d)
+        step = max(1, GATHER // max(1, dim))
+        for lo in range(0, len(q), step):
+            some_q, some_d = q[lo : lo + step], d[lo : lo + step]
+            score = np.einsum("ij,ij->i", self.queries[some_q], docs[some_d])
+            self.best.take(some_q, score, ident[some_d])
 
 
 def _scan(shared, k: int, decimals: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
-        best = _Best(len(queries), k, decimals)
+        search = _Search(queries, k, decimals)
         for batch in batches:
             ident = batch.column(0).to_numpy(zero_copy_only=False)
             if len(ident):
-                docs = dense(batch.column(1), queries.shape[1])
-                _offer_all(best, queries, ident, docs)
-        q, d, score = best.rows()
+                search.offer(ident, dense(batch.column(1), queries.shape[1]))
+        q, d, score = search.best.rows()
         yield pa.record_batch([pa.array(q), pa.array(d), pa.array(score)], schema=_CANDIDATES)
 
     return run
@@ -109,14 +168,13 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP_K, *, doc_id: str =
           max_tasks: int | None = None, query_shape: tuple[int, int] | None = None) -> DataFrame:
     """The ``k`` best documents of every query: query ids, rank (1-based), doc id, score.
 
-    Documents are scanned once and never shuffled. A query set of at most
-    ``broadcast_bytes`` is broadcast: each task multiplies its Arrow batches with it and
-    keeps k rows per query. A larger one is stored in the shared folder in blocks of about
-    ``block_bytes``, which every task reads one after another beside its documents
-    (:func:`_stored_scan`); document sub-blocks whose centroid bound cannot beat a query's
-    k-th score are skipped for it, exactly. Only candidates are shuffled. ``query_shape``,
-    the number and length of query vectors, saves counting them if known. Ids must be
-    unique on both sides. ``max_passes`` is kept for callers and no longer used.
+    Documents are never shuffled. A query set of at most ``broadcast_bytes`` is broadcast:
+    each task scans its documents, multiplies its Arrow batches with it and keeps k rows per
+    query; only these candidates are shuffled. A larger one is dealt out in blocks of at most
+    about ``block_bytes``, and each task streams the stored documents past its block
+    (:func:`_stored_scan`), so that a task's memory does not grow with either table.
+    ``query_shape``, the number and length of query vectors, saves counting them if known.
+    Ids must be unique on both sides. ``max_passes`` is kept for callers and no longer used.
     """
     keys = [query_id] if isinstance(query_id, str) else list(query_id)
     n, dim = query_shape or queries.agg(F.count("*"), F.max(F.size(vector))).first()
@@ -134,7 +192,11 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP_K, *, doc_id: str =
         ranked = _one_pass(left.coalesce(tasks), right, keys, k, decimals, dim, broadcast_bytes)
     else:
         per_block = max(1, block_bytes // (dim * 8))
-        ranked = _stored_scan(left, right, keys, k, decimals, dim, math.ceil(n / per_block))
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        blocks = max(math.ceil(n / per_block), min(cores, math.ceil(n / TILE_QUERIES)))
+        # whole rounds of tasks, for the last one would leave cores idle
+        blocks = blocks if blocks < cores else math.ceil(blocks / cores) * cores
+        ranked = _stored_scan(left, right, keys, k, decimals, dim, blocks)
     return ranked.select(*keys, "rank", F.col("_d").alias(doc_id), "score")
 
 
@@ -157,75 +219,61 @@ def _one_pass(left: DataFrame, right: DataFrame, keys: list[str], k: int, decima
     return _rank(found, ["_q"], k).join(F.broadcast(named), "_q").drop("_q")
 
 
-# Documents per sub-block whose centroid bound may spare its products.
-SUB_BLOCK = 512
+# Stored documents read at a time by one task.
+READ_DOCS = 8192
 
 
-def _block_scan(path: str, keys: list[str], k: int, decimals: int, dim: int, blocks: int):
-    """Task body of the one-scan path: the task's documents against each stored query block."""
+def _block_search(paths: list[str], keys: list[str], k: int, decimals: int, dim: int):
+    """Task body of the blocked path: the stored documents, streamed past the task's queries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.dataset as ds
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
         from pyarrow import fs
 
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        ident = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in held])
-        docs = np.vstack([dense(b.column(1), dim) for b in held])
-        # sub-blocks with centroid and radius: q.d <= q.c + |q| r for every d of the sub-block
-        starts = range(0, len(docs), SUB_BLOCK)
-        centres = [docs[s : s + SUB_BLOCK].mean(0) for s in starts]
-        radii = [float(np.sqrt(((docs[s : s + SUB_BLOCK] - c) ** 2).sum(1).max())) for s, c in zip(starts, centres)]
-        files, root = fs.FileSystem.from_uri(path)
-        for block in range(blocks):
-            folder = f"{root}/_qb={block}"
-            if files.get_file_info(folder).type == fs.FileType.NotFound:
-                continue  # no query hashed to this block
-            table = ds.dataset(folder, filesystem=files, format="parquet").to_table()
-            if not table.num_rows:
-                continue
-            q = dense(table["_v"].combine_chunks(), dim)
-            length = np.linalg.norm(q, axis=1)
-            best = _Best(len(q), k, decimals)
-            for s, c, r in zip(starts, centres, radii):
-                bound = q @ c + length * r
-                # a query whose k-th score already beats the bound skips the sub-block, exactly
-                live = np.nonzero(~(bound < best.score[:, -1] - best.margin))[0]
-                if len(live) == len(q):
-                    _offer_all(best, q, ident[s : s + SUB_BLOCK], docs[s : s + SUB_BLOCK])
-                elif len(live):
-                    best.offer_some(live, q[live] @ docs[s : s + SUB_BLOCK].T, ident[s : s + SUB_BLOCK])
-            row, doc, score = best.rows()
-            out = table.select(keys).take(pa.array(row))
+        table = pa.Table.from_batches(held)
+        search = _Search(np.vstack([dense(b.column(len(keys)), dim) for b in held]), k, decimals)
+        # tasks start at different files
+        first = TaskContext.get().partitionId() % max(1, len(paths))
+        for path in paths[first:] + paths[:first]:
+            files, name = fs.FileSystem.from_uri(path)
+            with files.open_input_file(name) as source:
+                for batch in pq.ParquetFile(source).iter_batches(READ_DOCS, columns=["_d", "_v"], use_threads=False):
+                    if batch.num_rows:
+                        ident = batch.column(0).to_numpy(zero_copy_only=False)
+                        search.offer(ident, dense(batch.column(1), dim))
+        row, doc, score = search.best.rows()
+        step = max(1, READ_DOCS * k)
+        for lo in range(0, len(row), step):
+            part = slice(lo, lo + step)
+            out = table.select(keys).take(pa.array(row[part])).combine_chunks()
             yield pa.RecordBatch.from_pydict(
-                {**{c: out[c].combine_chunks() for c in keys}, "_d": pa.array(doc, pa.int64()),
-                 "score": pa.array(score, pa.float64())})
+                {**{c: out[c].combine_chunks() for c in keys}, "_d": pa.array(doc[part], pa.int64()),
+                 "score": pa.array(score[part], pa.float64())})
 
     return run
 
 
 def _stored_scan(left: DataFrame, right: DataFrame, keys: list[str], k: int, decimals: int, dim: int,
                  blocks: int) -> DataFrame:
-    """Query sets too large to broadcast: stored in blocks, read by every task of one document scan.
+    """Query sets too large to broadcast: one task per query block, which reads all documents.
 
-    The query table is written once to the shared folder, one directory per block (by a hash
-    of its ids). Each task then reads those blocks one at a time beside its own documents and
-    keeps k rows per query; only these candidates are shuffled, to be ranked by query. The
-    documents are read once and never shuffled; nothing passes through the driver.
+    The documents are written once to the shared folder. Queries are dealt to ``blocks`` tasks
+    by a hash of their ids; each task holds its block and the running best, and streams the
+    stored files past them a few thousand documents at a time. A query's best rows come from
+    one task, so that k rows per query are shuffled, whatever the number of documents.
     """
     from rebasis.session import stored
 
-    numbered = right.withColumn("_qb", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
-    table = stored(numbered, "query-blocks", by=("_qb",))
-    path = table.inputFiles()[0].rsplit("/_qb=", 1)[0] if table.inputFiles() else None
+    paths = sorted(stored(left, "search-documents").inputFiles())
     schema = T.StructType([
         *(right.schema[c] for c in keys),
         T.StructField("_d", T.LongType()), T.StructField("score", T.DoubleType()),
     ])
-    if path is None:
-        return _rank(left.sparkSession.createDataFrame([], schema), keys, k)
-    found = left.mapInArrow(_block_scan(path, keys, k, decimals, dim, blocks), schema)
-    return _rank(found, keys, k)
+    asked = right.repartition(blocks, *keys)
+    return _rank(asked.mapInArrow(_block_search(paths, keys, k, decimals, dim), schema), keys, k)
 
 
 def _rank(found: DataFrame, keys: list[str], k: int) -> DataFrame:

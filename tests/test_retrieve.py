@@ -1,8 +1,11 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rebasis.operators import metrics as M
+from rebasis.operators import retrieve as R
 from rebasis.operators.retrieve import _Best, top_k
 
 
@@ -176,3 +179,44 @@ def test_stored_blocks_of_an_empty_query_hash(spark, data):
     d, q = frames(spark, docs, {0: queries[0]})
     got = lists(top_k(d, q, 5, broadcast_bytes=0, block_bytes=8))  # many blocks, one query
     assert got == brute(docs, {0: queries[0]}, 5)
+
+
+def test_candidates_do_not_grow_with_document_splits(spark, data, monkeypatch):
+    """A query of a blocked search is ranked by one task: k rows each, whatever the splits."""
+    docs, queries = data
+    d, q = frames(spark, docs, queries, 16)
+    found = []
+    rank = R._rank
+    monkeypatch.setattr(R, "_rank", lambda df, *how: found.append(df) or rank(df, *how))
+    assert lists(top_k(d, q, 10, broadcast_bytes=0, block_bytes=6 * 8 * 10)) == brute(docs, queries)
+    assert found[0].count() == 10 * len(queries)
+
+
+def test_memory_of_a_search_is_bounded():
+    """Neither more documents nor wide batches of them add to what a query block needs."""
+    rng = np.random.default_rng(3)
+    queries = rng.normal(size=(20_000, 8))
+    search = R._Search(queries, 10, 6)
+    tracemalloc.start()
+    try:
+        for lo in range(0, 12_000, 6_000):
+            search.offer(np.arange(lo, lo + 6_000), rng.normal(size=(6_000, 8)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 48 << 20  # all scores of one batch would be 960 MB
+
+
+def test_scores_closer_than_32_bits_can_tell(spark):
+    """Large and nearly equal scores rank by their 64-bit values, overflowing ones too."""
+    docs = {i: np.array([4000.0, i / 64], np.float32) for i in range(300)}
+    queries = {0: [4000.0, 1e-3], 1: [4000.0, -1e-3], 2: [0.0, 1.0]}
+    d, q = frames(spark, docs, {}, 3)[0], spark.createDataFrame(
+        list(queries.items()), "query_row long, embedding array<double>")
+    got = lists(top_k(d, q, 10, broadcast_bytes=0))
+    assert got == {0: list(range(299, 289, -1)), 1: list(range(10)), 2: list(range(299, 289, -1))}
+    huge = {i: np.array([1e38, i], np.float32) for i in range(300)}
+    far = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1e38, 0.0])], "query_row long, embedding array<double>")
+    d = frames(spark, huge, {}, 3)[0]
+    for how in ({}, {"broadcast_bytes": 0}):
+        assert lists(top_k(d, far, 10, **how)) == {0: list(range(299, 289, -1)), 1: list(range(10))}
