@@ -25,7 +25,7 @@ MAX_PASSES = 16
 # Vector bytes of one query block, held by a task while the documents stream by.
 BLOCK_BYTES = 8 << 20
 # Score tiles are this many queries by this many documents, so that one stays in the cache.
-TILE_QUERIES, TILE_DOCS = 2048, 256
+TILE_QUERIES, TILE_DOCS = 1024, 512
 # Documents after which found candidates are ranked.
 MERGE_DOCS = 4096
 # Values of candidate vectors gathered at a time for their exact scores.
@@ -82,6 +82,16 @@ class _Best:
         return q.astype(np.int32), self.ident[q, r], self.score[q, r]
 
 
+def _places(true: np.ndarray) -> np.ndarray:
+    """Flat places of the few true cells; whole words of eight cells are skipped."""
+    flat = true.reshape(-1)
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    word = np.flatnonzero(flat.view(np.uint64))
+    row, byte = np.nonzero(flat.reshape(-1, 8)[word])
+    return word[row] * 8 + byte
+
+
 class _Search:
     """A query block and its running top-k; documents are offered a batch at a time.
 
@@ -95,6 +105,8 @@ class _Search:
         self.norms = np.linalg.norm(queries, axis=1)
         with np.errstate(over="ignore"):
             self.narrow = queries.astype(np.float32)
+        self.cells = np.empty(TILE_QUERIES * TILE_DOCS, np.float32)
+        self.marks = np.empty(TILE_QUERIES * TILE_DOCS, bool)
         self.seen = 0
 
     def offer(self, ident: np.ndarray, docs: np.ndarray) -> None:
@@ -104,13 +116,15 @@ class _Search:
             step = min(MERGE_DOCS, max(64, self.seen))
             some = slice(lo, lo + step)
             longest = float(np.linalg.norm(docs[some], axis=1).max(initial=0.0))
+            with np.errstate(over="ignore"):
+                narrow = np.ascontiguousarray(docs[some].T, dtype=np.float32)
             reach = longest * float(self.norms.max(initial=0.0))
             for first in range(0, len(self.queries), TILE_QUERIES):
                 rows = slice(first, first + TILE_QUERIES)
                 if self.seen < self.best.k or not reach < 1e30:
                     self._offer_wide(rows, ident[some], docs[some])
                 else:
-                    self._offer_tile(rows, ident[some], docs[some], longest)
+                    self._offer_tile(rows, ident[some], docs[some], narrow, longest)
             lo += step
             self.seen += step
 
@@ -123,18 +137,22 @@ class _Search:
             some = slice(lo, lo + TILE_DOCS)
             part.offer(self.queries[rows] @ docs[some].T, ident[some])
 
-    def _offer_tile(self, rows: slice, ident: np.ndarray, docs: np.ndarray, longest: float) -> None:
+    def _offer_tile(self, rows: slice, ident: np.ndarray, docs: np.ndarray, narrow: np.ndarray,
+                    longest: float) -> None:
         dim = docs.shape[1]
         error = (dim + 8) * 2.0**-23 * longest * self.norms[rows] + 1e-30
         least = self.best.score[rows, -1] - self.best.margin - error
         least = np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None]
-        queries, narrow = self.narrow[rows], docs.astype(np.float32)
+        queries = self.narrow[rows]
         found_q, found_d = [], []
         for lo in range(0, len(ident), TILE_DOCS):
-            tile = narrow[lo : lo + TILE_DOCS]
-            near = np.flatnonzero(queries @ tile.T >= least)
+            tile = narrow[:, lo : lo + TILE_DOCS]
+            shape = len(queries), tile.shape[1]
+            cells = self.cells[: shape[0] * shape[1]].reshape(shape)
+            near = _places(np.greater_equal(
+                np.matmul(queries, tile, out=cells), least, out=self.marks[: cells.size].reshape(shape)))
             if len(near):
-                q, d = np.divmod(near, len(tile))
+                q, d = np.divmod(near, shape[1])
                 found_q.append(q + rows.start)
                 found_d.append(d + lo)
         if not found_q:
@@ -193,7 +211,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP_K, *, doc_id: str =
     else:
         per_block = max(1, block_bytes // (dim * 8))
         cores = docs.sparkSession.sparkContext.defaultParallelism
-        blocks = max(math.ceil(n / per_block), min(cores, math.ceil(n / TILE_QUERIES)))
+        blocks = max(math.ceil(n / per_block), min(cores, math.ceil(n / (2 * TILE_QUERIES))))
         # whole rounds of tasks, for the last one would leave cores idle
         blocks = blocks if blocks < cores else math.ceil(blocks / cores) * cores
         ranked = _stored_scan(left, right, keys, k, decimals, dim, blocks)
