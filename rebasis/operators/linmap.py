@@ -33,6 +33,8 @@ RELATIVE_CUTOFF = 1e-7
 QR_CUTOFF = 4 * np.finfo(float).eps
 # Triangular factors merged by one task of the reduction tree.
 QR_FANOUT = 8
+# Vector bytes stacked on a task's factor at a time, unless the factor itself is larger.
+QR_BYTES = 160 << 20
 
 _PARTIAL = pa.schema([("block", pa.int32()), ("i", pa.int32()), ("row", pa.list_(pa.float64()))])
 
@@ -131,14 +133,18 @@ def _stack_r(held: np.ndarray | None, rows: np.ndarray) -> np.ndarray:
 
 
 def _local_r(columns: list[str], dims: list[int]):
+    width = sum(dims)
+    step = max(1, width, QR_BYTES // (8 * max(1, width)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         held = None
         for batch in batches:
             if batch.num_rows:
-                rows = np.hstack([dense(batch.column(c), d) for c, d in zip(columns, dims)])
-                held = _stack_r(held, rows)
+                for lo in range(0, batch.num_rows, step):
+                    part = batch.slice(lo, step)
+                    held = _stack_r(held, np.hstack([dense(part.column(c), d) for c, d in zip(columns, dims)]))
         if held is not None:
             yield from _factor_rows(TaskContext.get().partitionId(), held)
 
@@ -164,19 +170,24 @@ def _merge_r(width: int, fanout: int):
     return run
 
 
-def tall_r(df: DataFrame, columns: list[str], dims: list[int], fanout: int = QR_FANOUT) -> np.ndarray:
+def tall_r(df: DataFrame, columns: list[str], dims: list[int], fanout: int = QR_FANOUT,
+           max_tasks: int | None = None) -> np.ndarray:
     """R of the QR factorisation of the rows [c1 | c2 | ...], by a tree of tasks.
 
     Each task factors its own rows (stacking batch after batch on its factor, so it holds one
-    factor and one batch). Factors then merge ``fanout`` at a time, by their task number, in
+    factor and one batch). Factors then merge up to ``fanout`` at a time, by their task number, in
     rounds of small shuffles, until one is left; only that one (width x width) reaches the
     driver. The singular values of R are those of the rows: nothing is squared.
     """
     width = sum(dims)
     if width * width * 8 > MATRIX_BYTES:
         raise ValueError(f"a {width} x {width} factor is too large for the driver")
-    factors = df.select(*columns).mapInArrow(_local_r(columns, dims), "part int, i int, row array<double>")
-    count = max(1, df.select(*columns).rdd.getNumPartitions())
+    # wide factors merge fewer at a time, for a task holds all it merges
+    fanout = max(2, min(fanout, QR_BYTES // max(1, 8 * width * width)))
+    # a bound on the factors is enough for the tree; asking a join for its splits would run it
+    count = max_tasks or df.sparkSession.sparkContext.defaultParallelism
+    factors = df.select(*columns).coalesce(count).mapInArrow(
+        _local_r(columns, dims), "part int, i int, row array<double>")
     while count > 1:
         groups = -(-count // fanout)
         factors = factors.repartition(groups, (F.col("part") / fanout).cast("int")).mapInArrow(
@@ -190,6 +201,11 @@ def tall_r(df: DataFrame, columns: list[str], dims: list[int], fanout: int = QR_
     return r
 
 
+def swapped_r(r: np.ndarray, src_dim: int) -> np.ndarray:
+    """R of [B | A] from R of [A | B]: the same rows with their columns exchanged, factored again."""
+    return _stack_r(None, np.hstack([r[:, src_dim:], r[:, :src_dim]]))
+
+
 def solve_triangular_least_squares(r: np.ndarray, src_dim: int, cutoff: float = QR_CUTOFF) -> LinearMap:
     """The minimum-norm M of least ``|A M - B|`` from R of [A | B], by a rank-revealing SVD of R11."""
     square = np.zeros((r.shape[1], r.shape[1]))
@@ -284,7 +300,8 @@ def fit_many(df: DataFrame, dims: dict[str, int], pairs: list[tuple[str, str]],
     Orthogonal pairs need only the cross product ``A'B``, which one scan per pass gives for
     all of them (one product serves both directions of a pair); passes are sized so that a
     task can hold its sums. Least-squares pairs are solved from the triangular factor of
-    the rows ``[A | B]`` (:func:`tall_r`), so their condition number is never squared.
+    the rows ``[A | B]`` (:func:`tall_r`), so their condition number is never squared; the
+    opposite direction takes its factor from that one.
     """
     needed: list[tuple[str, str]] = []
     for a, b in pairs:
@@ -318,12 +335,19 @@ def fit_many(df: DataFrame, dims: dict[str, int], pairs: list[tuple[str, str]],
             sums[a, b], sums[b, a] = matrix, matrix.T
 
     maps = {}
+    factors: dict[tuple[str, str], np.ndarray] = {}
     for a, b in pairs:
         started = time.monotonic()
         if method_for(dims[a], dims[b]) == "orthogonal_procrustes":
             made = solve_orthogonal(sums[a, b])
         else:
-            made = solve_triangular_least_squares(tall_r(df, [a, b], [dims[a], dims[b]]), dims[a])
+            if (b, a) in factors:
+                factor = swapped_r(factors.pop((b, a)), dims[b])
+            else:
+                factor = tall_r(df, [a, b], [dims[a], dims[b]], max_tasks=max_tasks)
+                if (b, a) in pairs:
+                    factors[a, b] = factor
+            made = solve_triangular_least_squares(factor, dims[a])
         maps[a, b] = replace(made, solve_seconds=time.monotonic() - started)
     return maps
 
