@@ -21,6 +21,8 @@ from rebasis.sources.vectors import vectors
 # spread by hash, so several tasks per shard keep most of them apart.
 WRITE_TASKS = 40_000
 TASKS_PER_SHARD = 4
+# Small shards share tasks of about this many rows: a task per shard would cost more than its work.
+TASK_ROWS = SHARD_ROWS // TASKS_PER_SHARD
 
 
 def verify_input(df: DataFrame, recorded: DataFrame) -> tuple[str, str]:
@@ -50,14 +52,16 @@ def encode_pending(rows: DataFrame, pending: DataFrame, encoder: Encoder, model:
                    prefix: str, input_hash: str, root: str, batch_size: int = BATCH_SIZE,
                    max_tokens: int | None = None, shard_rows: int = SHARD_ROWS,
                    n_pending: int | None = None) -> None:
-    """Encode the rows of pending shards and store them, one task per shard.
+    """Encode the rows of pending shards and store them, each shard whole in one task.
 
     Text is moved to its shard's task before encoding, so vectors are not shuffled.
     """
     waiting = rows.select("row_idx", "text", shard_of("row_idx", shard_rows).alias("shard_id"))
     if n_pending is None:
         n_pending = pending.count()
-    tasks = max(1, min(TASKS_PER_SHARD * n_pending, WRITE_TASKS))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    useful = max(4 * cores, -(-n_pending * shard_rows // TASK_ROWS))
+    tasks = max(1, min(TASKS_PER_SHARD * n_pending, WRITE_TASKS, useful))
     waiting = waiting.join(small(pending.select("shard_id"), n_pending), "shard_id").repartition(
         tasks, "shard_id"
     )
