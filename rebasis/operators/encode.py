@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import uuid
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import ArrowUDFType
 
 from rebasis.functions.text import TOKEN_SPACE, cap_tokens, with_prefix
 from rebasis.functions.vectors import NORM_FLOOR
+from rebasis.operators.arrow import list_column
 from rebasis.registry import BATCH_SIZE, SHARD_ROWS
 
 
@@ -40,8 +43,9 @@ class HashedTermEncoder:
     Tokens are lower-case and split at ASCII white space, as by ``text.tokens``. Needs no model files.
     """
 
-    # Tokens whose bucket one worker remembers.
-    REMEMBERED = 1 << 20
+    # Tokens whose bucket one worker remembers, and their greatest length.
+    REMEMBERED = 1 << 17
+    REMEMBERED_CHARS = 64
 
     def __init__(self, dim: int = 256, salt: str = "", name: str | None = None):
         self.dim, self.salt = dim, salt
@@ -49,22 +53,28 @@ class HashedTermEncoder:
         self.revision = "1"
 
     def load(self) -> Callable[[np.ndarray], np.ndarray]:
-        dim, salt, most = self.dim, self.salt, self.REMEMBERED
+        dim, salt, most, longest = self.dim, self.salt, self.REMEMBERED, self.REMEMBERED_CHARS
+        # two generations: most tokens come once, and those that come again move to the younger one
         seen: dict[str, int] = {"": -1}
+        older: dict[str, int] = {}
 
         def bucket(token: str) -> int:
-            digest = hashlib.md5((salt + token).encode()).hexdigest()
-            found = seen[token] = int(digest[:8], 16) % dim
+            found = older.get(token)
+            if found is None:
+                digest = hashlib.md5((salt + token).encode()).hexdigest()
+                found = int(digest[:8], 16) % dim
+            if len(token) <= longest and len(seen) < most // 2:
+                seen[token] = found
             return found
 
         def encode(texts: np.ndarray) -> np.ndarray:
+            nonlocal seen, older
             # each distinct token of a batch is looked up once; counts are one pass over all tokens
             lower = pa.array([t.lower() if t else "" for t in texts], pa.string())
             lists = pc.split_pattern_regex(lower, pattern=TOKEN_SPACE)
             coded = lists.flatten().dictionary_encode()
-            if len(seen) >= most:
-                seen.clear()
-                seen[""] = -1
+            if len(seen) >= most // 2:
+                seen, older = {"": -1}, seen
             place = np.array([seen[t] if t in seen else bucket(t) for t in coded.dictionary.to_pylist()], np.int64)
             place = place[coded.indices.to_numpy()] if len(coded) else place
             text = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
@@ -75,34 +85,51 @@ class HashedTermEncoder:
         return encode
 
 
+# Models held by a worker, by the call that made them: loaded once, whatever the number of tasks.
+_LOADED: OrderedDict[str, Callable[[np.ndarray], np.ndarray]] = OrderedDict()
+MODELS_HELD = 4
+
+
+def _model(key: str, encoder: Encoder) -> Callable[[np.ndarray], np.ndarray]:
+    if key not in _LOADED:
+        while len(_LOADED) >= MODELS_HELD:
+            _LOADED.popitem(last=False)
+        _LOADED[key] = encoder.load()
+    _LOADED.move_to_end(key)
+    return _LOADED[key]
+
+
 def encode_udf(encoder: Encoder, batch_size: int = BATCH_SIZE, half: bool = False,
                distinct_calls: bool = False):
     """A column function text -> unit vector; ``half`` rounds to 16-bit floats.
 
+    Texts become Python strings one batch of ``batch_size`` at a time; vectors stay in Arrow.
     With ``distinct_calls`` the optimizer may not merge equal calls, so that
     calling it twice encodes twice.
     """
-    dim, name = encoder.dim, encoder.name
-
-    def make():
-        model = encoder.load()
-
-        def predict(texts: np.ndarray) -> np.ndarray:
-            vectors = np.asarray(model(texts))
-            if vectors.dtype != np.float32:
-                raise ValueError(f"{name} returned {vectors.dtype}, expected float32")
-            if vectors.shape != (len(texts), dim):
-                raise ValueError(f"{name} returned {vectors.shape}, expected {(len(texts), dim)}")
-            wide = vectors.astype(np.float64)
-            length = np.linalg.norm(wide, axis=1, keepdims=True)
-            scaled = (wide / np.maximum(length, NORM_FLOOR)).astype(np.float32)
-            return scaled.astype(np.float16).astype(np.float32) if half else scaled
-
-        return predict
-
-    udf = predict_batch_udf(
-        make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
-    )
+    dim, name, key = encoder.dim, encoder.name, uuid.uuid4().hex
+
+    def predict(model, texts: np.ndarray) -> pa.Array:
+        vectors = np.asarray(model(texts))
+        if vectors.dtype != np.float32:
+            raise ValueError(f"{name} returned {vectors.dtype}, expected float32")
+        if vectors.shape != (len(texts), dim):
+            raise ValueError(f"{name} returned {vectors.shape}, expected {(len(texts), dim)}")
+        wide = vectors.astype(np.float64)
+        length = np.linalg.norm(wide, axis=1, keepdims=True)
+        scaled = (wide / np.maximum(length, NORM_FLOOR)).astype(np.float32)
+        return list_column(scaled.astype(np.float16).astype(np.float32) if half else scaled, pa.float32())
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = _model(key, encoder)
+        for texts in columns:
+            made = [
+                predict(model, texts.slice(lo, batch_size).to_numpy(zero_copy_only=False))
+                for lo in range(0, len(texts), batch_size)
+            ]
+            yield pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.float32()))
+
+    udf = F.arrow_udf(run, T.ArrayType(T.FloatType()), ArrowUDFType.SCALAR_ITER)
     return udf.asNondeterministic() if distinct_calls else udf
 
 
