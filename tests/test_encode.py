@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -362,3 +363,48 @@ def test_reports(spark):
     assert spark.read.schema(PAIR_RESULTS).json(path).first() == row
     lines = ceiling_lines(spark.createDataFrame([("m", 0.998)], CEILINGS))
     assert lines.first() == ("m", "recall@10 = 0.99800")
+
+
+def test_small_shards_share_write_tasks(spark, monkeypatch):
+    """Hundreds of shards of a few rows are written by tasks that follow from cores and rows."""
+    rows = spark.range(600).selectExpr("id AS row_idx", "concat('a b ', id) AS text")
+    expected = E.expected_shards(rows, 2)
+    tasks, write = [], P.write_vectors
+    monkeypatch.setattr(P, "write_vectors", lambda df, *how: tasks.append(df.rdd.getNumPartitions()) or write(df, *how))
+    root = fresh_path(spark, "vectors")
+    P.encode_pending(rows, expected, ENCODER, "m", "corpus", "", "h", root, shard_rows=2)
+    assert tasks[0] <= 4 * spark.sparkContext.defaultParallelism
+    made = vectors(spark, root, "m", "corpus")
+    assert made.select("shard_id").distinct().count() == 300 and made.count() == 600
+
+
+def test_encoder_remembers_a_bounded_number_of_tokens():
+    """Tokens that come once do not pile up; forgotten ones get the same bucket again."""
+    tracemalloc.start()
+    try:
+        call = E.HashedTermEncoder(8).load()
+        for lo in range(0, 600_000, 20_000):
+            call(np.array([" ".join(f"token-{n}" for n in range(lo, lo + 20_000))], object))
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 32 << 20
+    given = ("token-7", "token-599999", "x" * 200)
+    assert call(np.array([" ".join(given)], object))[0].tolist() == _counts8(*given).tolist()
+
+
+def _bucket8(token):
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % 8
+
+
+def _counts8(*given):
+    return np.bincount([_bucket8(t) for t in given], minlength=8)
+
+
+def test_model_is_loaded_once_a_worker():
+    key, model = "k", E.HashedTermEncoder(8)
+    first = E._model(key, model)
+    assert E._model(key, model) is first
+    for n in range(E.MODELS_HELD):
+        E._model(f"other-{n}", model)
+    assert len(E._LOADED) == E.MODELS_HELD and E._model(key, model) is not first

@@ -251,3 +251,25 @@ def test_qr_of_an_empty_table(spark):
     r = L.tall_r(empty, ["a", "b"], [3, 2])
     made = L.solve_triangular_least_squares(r, 3)
     assert r.shape == (0, 5) and made.rank == 0 and not made.matrix.any()
+
+
+def test_both_directions_share_one_tall_factor(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    a = rng.normal(size=(200, 5))
+    b = np.hstack([a @ rng.normal(size=(5, 5)), rng.normal(size=(200, 2))])
+    df = _frame(spark, a, b, 5)
+    made, tall = [], L.tall_r
+    monkeypatch.setattr(L, "tall_r", lambda *how, **more: made.append(1) or tall(*how, **more))
+    maps = L.fit_many(df, {"a": 5, "b": 7}, [("a", "b"), ("b", "a")])
+    assert len(made) == 1
+    assert np.allclose(maps["a", "b"].matrix, np.linalg.lstsq(a, b, rcond=None)[0])
+    assert np.allclose(maps["b", "a"].matrix, np.linalg.lstsq(b, a, rcond=None)[0])
+
+
+def test_local_factor_takes_large_batches_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    a, b = rng.normal(size=(300, 4)), rng.normal(size=(300, 2))
+    monkeypatch.setattr(L, "QR_BYTES", 1)
+    r = L.tall_r(_frame(spark, a, b, 4), ["a", "b"], [4, 2])
+    both = np.hstack([a, b])
+    assert np.allclose(r.T @ r, both.T @ both)
