@@ -27,7 +27,7 @@ BLOCK_BYTES = 8 << 20
 # Score tiles are this many queries by this many documents, so that one stays in the cache.
 TILE_QUERIES, TILE_DOCS = 1024, 512
 # Documents after which found candidates are ranked.
-MERGE_DOCS = 4096
+MERGE_DOCS = 8192
 # Values of candidate vectors gathered at a time for their exact scores.
 GATHER = 1 << 20
 
