@@ -98,12 +98,14 @@ class WordEncoder:
         known, older, marked, plain = self.known, self.older, self.marks, PLAIN.fullmatch
         ask: list[bytes] = []
         for word in words:
-            found = plain(word)
-            if found is None:
+            if word.isalpha():  # ASCII letters alone, as most words are
+                stem, marks = word.lower(), b""
+            elif (found := plain(word)) is None:
                 ask.append(word)
                 continue
-            stem, marks = found.groups()
-            stem = stem.lower()
+            else:
+                stem, marks = found.groups()
+                stem = stem.lower()
             ids = known.get(stem) or older.get(stem) or self.stem_ids(stem)
             known[stem] = ids
             if marks:
@@ -130,7 +132,7 @@ class WordEncoder:
         known, older = self.known, self.older
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         found = list(map(known.get, words))
         if new := [n for n, ids in enumerate(found) if ids is None]:
             unknown = []

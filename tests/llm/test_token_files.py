@@ -116,3 +116,22 @@ def test_random_access_and_size():
     assert image.document(3).tolist() == ids[3000:4000].tolist()
     with pytest.raises(ValueError):
         t.Image(b"nope" + raw)
+
+
+def test_words_of_plain_letters_skip_the_pattern(tokenizer, monkeypatch):
+    """Words of ASCII letters alone need no pattern match, and words are read from Arrow without a scalar each."""
+    class Counted:
+        def __init__(self):
+            self.seen = []
+
+        def fullmatch(self, word):
+            self.seen.append(word)
+            return plain.fullmatch(word)
+
+    plain, counted = t.PLAIN, Counted()
+    monkeypatch.setattr(t, "PLAIN", counted)
+    texts = ["Plain WORDS alone", "marks, too! naïve 42 Ünder", None, ""]
+    ids, sizes = t.WordEncoder()(pa.array(texts))
+    want = [tokenizer.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+    assert sorted(counted.seen) == sorted(w.encode() for w in ["", "marks,", "too!", "naïve", "42", "Ünder"])
