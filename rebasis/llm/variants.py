@@ -10,15 +10,18 @@ code point) are found without comparing all pairs:
 2. **Decomposition.** At each position of a word the longest dictionary gram starting there is
    a candidate; a candidate lying inside an earlier one is dropped. The rest, with an occurrence
    number for repeats, are the word's grams.
-3. **Affected-gram bound.** One edit at position i can change only grams that start within
-   ``Q_MAX - 1`` positions of i (their text, or whether an earlier gram covers them). The
-   largest count of the word's grams in such a window is NAG; a word within one edit shares at
-   least ``b = grams - NAG`` grams with it. This bound is exact, never too high.
+3. **Affected-gram bound.** One edit at position i can change a gram of ``s`` code points at p
+   only if i is one of them, or the place behind them and the dictionary holds a longer gram that
+   starts with it, or one of the ``Q_MAX - s`` places before p, from where a changed gram could
+   cover it. The largest number of the word's grams that one i can change is NAG; a word within one
+   edit shares at least ``b = grams - NAG`` grams with it. This bound is never too high.
 4. **List merging.** Grams are ordered by their frequency over all words, rarest first. Two
    words within one edit, both with ``b >= 1``, share at least ``max(b)`` grams, so they share
-   a gram among the first ``grams - b + 1`` of each (prefix filtering over the bound). The
-   lists of those prefix grams, per gram and word length, are merged by a join. Candidates
-   then pass the count filter and an exact edit-distance check.
+   a gram among the first ``grams - b + 1`` of each (prefix filtering over the bound). Grams that
+   the edit leaves alone keep their start, or move by the difference of the lengths if they lie
+   behind it. The lists of the prefix grams, per gram, word length and start, are merged by a join.
+   Candidates whose letters differ by more than one edit can make them, as seen in a 64-bit mask, are
+   left out; the others pass the count filter and an exact edit-distance check.
 5. **The rest, exactly.** A word whose bound is 0 or less (short words, whose window covers all
    their grams) cannot be pruned by grams: it would probe with all its grams, and the lists of
    frequent grams would meet nearly whole. Pairs with such a word meet through one-deletion
@@ -37,6 +40,8 @@ repeated rows count each time; words are distinct, so ties in ``n`` are decided
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,47 +103,57 @@ def dictionary(words: DataFrame, q_min: int = Q_MIN, q_max: int = Q_MAX, share:
     return freq.select("g", "q", "f")
 
 
-def split_word(word: str, grams: set[str], q_min: int = Q_MIN, q_max: int = Q_MAX) -> tuple[list[str], int]:
-    """The tokens ``gram#k`` of a word (k-th repeat of the gram) and its bound ``b``.
+def split_word(word: str, grams: set[str], longer: set[str], q_min: int = Q_MIN,
+               q_max: int = Q_MAX) -> tuple[list[str], list[int], int]:
+    """The tokens ``gram#k`` of a word (k-th repeat of the gram), their starts and the bound ``b``.
 
     At each position the longest dictionary gram starting there is a candidate; one that ends
-    no later than an earlier candidate is covered and dropped. ``b`` = tokens minus the most
-    tokens that start within ``q_max - 1`` positions of any one edit position.
+    no later than an earlier candidate is covered and dropped. ``longer`` holds the grams that
+    begin a longer one of the dictionary. ``b`` = tokens minus the most that one edit can change.
     """
-    kept, reach = [], -1
+    tokens, starts, reach = [], [], -1
+    seen: dict[str, int] = {}
+    change = [0] * (len(word) + 2)  # of the number of changed tokens, from one edit place to the next
     for p in range(len(word) - q_min + 1):
         size = next((q for q in range(min(q_max, len(word) - p), q_min - 1, -1) if word[p : p + q] in grams), 0)
         if size and p + size > reach:
-            kept.append((p, word[p : p + size]))
             reach = p + size
-    seen: dict[str, int] = {}
-    tokens = []
-    for _, g in kept:
-        tokens.append(f"{g}#{seen.get(g, 0)}")
-        seen[g] = seen.get(g, 0) + 1
-    w = q_max - 1
-    starts = [p for p, _ in kept]
-    nag = max((sum(1 for p in starts if i - w <= p <= i + w) for i in range(len(word) + 1)), default=0)
-    return tokens, len(tokens) - nag
+            g = word[p:reach]
+            k = seen.get(g, 0)
+            seen[g] = k + 1
+            tokens.append(f"{g}#{k}")
+            starts.append(p)
+            change[max(0, p - (q_max - size))] += 1
+            change[reach + (g in longer)] -= 1
+    return tokens, starts, len(tokens) - max(accumulate(change))
+
+
+def letter_mask(word: str) -> int:
+    """A bit for each letter, by its code point modulo 64; one edit changes two bits at most."""
+    mask = 0
+    for c in set(word):
+        mask |= 1 << (ord(c) & 63)
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def decompose(words: DataFrame, dic: DataFrame, q_min: int = Q_MIN, q_max: int = Q_MAX) -> DataFrame:
-    """Per word: its kept grams as tokens ``gram#k`` (k-th repeat) and the bound ``b``.
+    """Per word: its kept grams as tokens ``gram#k`` (k-th repeat), their starts, the bound ``b`` and the letter mask.
 
     The dictionary is broadcast: its size is bounded by construction (all grams of ``q_min``
     letters, and for each longer size at most ``1 / FREQ_SHARE`` frequent prefixes per gram
     of a word, times the alphabet), not by the data. Words are split in Arrow batches.
     """
     grams = {r.g for r in dic.select("g").collect()}
-    shared = words.sparkSession.sparkContext.broadcast(grams)
+    shared = words.sparkSession.sparkContext.broadcast((grams, {g[:-1] for g in grams}))
 
-    @pandas_udf("tokens array<string>, b int")
+    @pandas_udf("tokens array<string>, starts array<int>, b int, mask long")
     def split(batch: pd.Series) -> pd.DataFrame:
-        held = shared.value
-        parts = [split_word(w, held, q_min, q_max) for w in batch]
-        return pd.DataFrame({"tokens": [t for t, _ in parts], "b": [b for _, b in parts]})
+        held, longer = shared.value
+        parts = [split_word(w, held, longer, q_min, q_max) for w in batch]
+        return pd.DataFrame({"tokens": [t for t, _, _ in parts], "starts": [s for _, s, _ in parts],
+                             "b": [b for _, _, b in parts], "mask": [letter_mask(w) for w in batch]})
 
-    return words.select("word", split("word").alias("s")).select("word", "s.tokens", "s.b")
+    return words.select("word", split("word").alias("s")).select("word", "s.*")
 
 
 def _deletions(word: Column) -> Column:
@@ -153,23 +168,30 @@ def near_pairs(words: DataFrame, q_min: int = Q_MIN, q_max: int = Q_MAX, share:
     dic = dictionary(words, q_min, q_max, share)
     idx = stored(decompose(words, dic, q_min, q_max), "vgram-words")
     bounded = idx.where(F.col("b") >= 1)
-    tok = bounded.select("word", "b", F.explode("tokens").alias("t"))
-    freq = tok.groupBy("t").agg(F.count("*").alias("tf"))
-    ranked = tok.join(freq, "t").groupBy("word", "b").agg(F.sort_array(F.collect_list(F.struct("tf", "t"))).alias("r"))
+    tok = bounded.select("word", "b", "mask", F.explode(F.arrays_zip("tokens", "starts")).alias("x")).select(
+        "word", "b", "mask", F.substring_index("x.tokens", "#", 1).alias("g"), F.col("x.starts").alias("p"))
+    freq = tok.groupBy("g").agg(F.count("*").alias("tf"))
+    ranked = tok.join(freq, "g").groupBy("word", "b", "mask").agg(
+        F.sort_array(F.collect_list(F.struct("tf", "g", "p"))).alias("r"))
     plen = F.size("r") - F.col("b") + 1
-    prefix = stored(ranked.select("word", "b", F.explode(F.slice("r", 1, plen)).alias("x"))
-                    .select("word", "b", F.col("x.t").alias("t")), "vgram-prefix")
-    # near words differ in length by one at most: lists are merged per (gram, length)
     size = F.char_length("word")
-    probe = prefix.select(F.col("word").alias("a"), "t", F.explode(F.array(size - 1, size, size + 1)).alias("len"))
-    build = prefix.select(F.col("word").alias("c"), "t", size.alias("len"))
-    by_grams = (probe.join(build, ["t", "len"]).where(F.col("a") < F.col("c"))
+    prefix = stored(ranked.select("word", "mask", size.alias("len"), F.explode(F.slice("r", 1, plen)).alias("x"))
+                    .select("word", "mask", "len", "x.g", "x.p"), "vgram-prefix")
+    # near words differ in length by one at most, and a shared gram's start by that difference or not
+    # at all: the shorter word looks up the longer one. Two lists of one hash only add candidates
+    places = [("len", "p", True), (F.col("len") + 1, "p", False), (F.col("len") + 1, F.col("p") + 1, False)]
+    probe = prefix.select(F.col("word").alias("a"), F.col("mask").alias("ma"), F.explode(F.array(*(
+        F.struct(F.xxhash64("g", n, p).alias("t"), F.lit(same).alias("same")) for n, p, same in places))).alias("x")
+    ).select("a", "ma", "x.t", "x.same")
+    build = prefix.select(F.col("word").alias("c"), F.col("mask").alias("mc"), F.xxhash64("g", "len", "p").alias("t"))
+    by_grams = (probe.join(build, "t")
+                .where((F.bit_count(F.col("ma").bitwiseXOR(F.col("mc"))) <= 2) & (~F.col("same") | (F.col("a") < F.col("c"))))
                 .select("a", "c").distinct())
     both = idx.select(F.col("word").alias("a"), F.col("tokens").alias("ta"), F.col("b").alias("ba"))
     other = idx.select(F.col("word").alias("c"), F.col("tokens").alias("tc"), F.col("b").alias("bc"))
     checked = (by_grams.join(both, "a").join(other, "c")
                .where(F.size(F.array_intersect("ta", "tc")) >= F.greatest("ba", "bc"))
-               .select("a", "c"))
+               .select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("c")))
     keys = idx.select("word", (F.col("b") < 1).alias("loose"), F.explode(_deletions(F.col("word"))).alias("k"))
     by_deletions = (keys.where("loose").alias("x").join(keys.alias("y"), "k")
                     .where((F.col("x.word") != F.col("y.word")) & (~F.col("y.loose") | (F.col("x.word") < F.col("y.word"))))

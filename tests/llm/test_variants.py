@@ -110,3 +110,38 @@ def test_pairs_of_short_and_long_words(spark):
     got = sorted(tuple(r) for r in v.near_pairs(table).collect())
     want = sorted((a, b) for a in words for b in words if one_edit(a, b))
     assert got == want
+
+
+def test_bound_counts_only_grams_that_an_edit_can_change(spark):
+    """The bound holds for every one-edit pair, by gram and start, and keeps long words apart by several grams."""
+    rnd = random.Random(5)
+    words = {"".join(rnd.choice("abcd") for _ in range(rnd.randrange(7, 14))) for _ in range(150)}
+    for w in sorted(words):
+        i, c = rnd.randrange(len(w)), rnd.choice("abcd")
+        words |= {w[:i] + c + w[i:], w[:i] + c + w[i + 1:], w[:i] + w[i + 1:], w[:i] + "e" + w[i:]}
+    dic = v.dictionary(spark.createDataFrame([(w,) for w in words], "word string"), share=0.05)
+    grams = {r.g for r in dic.collect()}
+    longer = {g[:-1] for g in grams}
+    parts = {w: v.split_word(w, grams, longer) for w in words}
+    pairs = [(a, b) for a in words for b in words if a < b and one_edit(a, b)]
+    assert len(pairs) > 200
+    for a, b in pairs:
+        shift = len(b) - len(a)
+        (ta, sa, ba), (tb, sb, bb) = parts[a], parts[b]
+        there = set(zip((t.split("#")[0] for t in tb), sb))
+        same = sum((t.split("#")[0], p) in there or (t.split("#")[0], p + shift) in there for t, p in zip(ta, sa))
+        assert same >= max(ba, bb)
+    # all 2- to 4-grams known: each place but the last two starts a gram of four, an edit changes four
+    word = "abcdefghijkl"
+    every = {word[p : p + q] for q in (2, 3, 4) for p in range(len(word) - q + 1)}
+    tokens, starts, b = v.split_word(word, every, {g[:-1] for g in every})
+    assert starts == list(range(9)) and b == 9 - 4  # windows of Q_MAX - 1 to both sides gave 9 - 7
+
+
+def test_letter_mask_of_one_edit():
+    rnd = random.Random(9)
+    for _ in range(500):
+        w = "".join(rnd.choice("abcdefgéÿz") for _ in range(rnd.randrange(7, 12)))
+        i, c = rnd.randrange(len(w)), rnd.choice("abcdefgéÿzü")
+        for o in (w[:i] + c + w[i:], w[:i] + c + w[i + 1:], w[:i] + w[i + 1:]):
+            assert ((v.letter_mask(w) ^ v.letter_mask(o)) & (1 << 64) - 1).bit_count() <= 2
