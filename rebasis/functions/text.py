@@ -53,8 +53,16 @@ TYPOGRAPHIC = "|".join([
 
 
 def strip(c: Column | str) -> Column:
-    """Trim Unicode white space at both ends, not only the space character."""
-    return F.regexp_replace(_col(c), f"^{SPACE_CLASS}|{SPACE_CLASS}$", "")
+    """Trim Unicode white space at both ends, not only the space character.
+
+    The pattern, which tries every space of a text, runs only where the first or last character is one.
+    """
+
+    def trimmed(text: Column) -> Column:
+        ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+        return F.when(ends.rlike(SPACE_CLASS), F.regexp_replace(text, f"^{SPACE_CLASS}|{SPACE_CLASS}$", "")).otherwise(text)
+
+    return let(_col(c), trimmed)
 
 
 def title_and_text(text: Column | str, title: Column | str | None = None) -> Column:
@@ -62,7 +70,9 @@ def title_and_text(text: Column | str, title: Column | str | None = None) -> Col
 
     A missing text stays missing, so that the corpus invariants can see it.
     """
-    title = F.lit("") if title is None else strip(F.coalesce(_col(title), F.lit("")))
+    if title is None:
+        return strip(text)
+    title = strip(F.coalesce(_col(title), F.lit("")))
     return strip(F.concat(title, F.lit(" "), strip(text)))
 
 

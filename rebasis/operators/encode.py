@@ -43,7 +43,7 @@ class HashedTermEncoder:
     Tokens are lower-case and split at ASCII white space, as by ``text.tokens``. Needs no model files.
     """
 
-    # Tokens whose bucket one worker remembers, and their greatest length.
+    # Tokens whose bucket one worker remembers, and their greatest length in bytes.
     REMEMBERED = 1 << 17
     REMEMBERED_CHARS = 64
 
@@ -55,14 +55,16 @@ class HashedTermEncoder:
     def load(self) -> Callable[[np.ndarray], np.ndarray]:
         dim, salt, most, longest = self.dim, self.salt, self.REMEMBERED, self.REMEMBERED_CHARS
         # two generations: most tokens come once, and those that come again move to the younger one
-        seen: dict[str, int] = {"": -1}
-        older: dict[str, int] = {}
+        seen: dict[bytes, int] = {b"": -1}
+        older: dict[bytes, int] = {}
+        start = hashlib.md5(salt.encode())
 
-        def bucket(token: str) -> int:
+        def bucket(token: bytes) -> int:
             found = older.get(token)
             if found is None:
-                digest = hashlib.md5((salt + token).encode()).hexdigest()
-                found = int(digest[:8], 16) % dim
+                digest = start.copy()
+                digest.update(token)
+                found = int.from_bytes(digest.digest()[:4], "big") % dim
             if len(token) <= longest and len(seen) < most // 2:
                 seen[token] = found
             return found
@@ -71,11 +73,16 @@ class HashedTermEncoder:
             nonlocal seen, older
             # each distinct token of a batch is looked up once; counts are one pass over all tokens
             lower = pa.array([t.lower() if t else "" for t in texts], pa.string())
-            lists = pc.split_pattern_regex(lower, pattern=TOKEN_SPACE)
+            if pc.any(pc.match_substring(lower, "\v")).as_py():  # no space to TOKEN_SPACE
+                lists = pc.split_pattern_regex(lower, pattern=TOKEN_SPACE)
+            else:
+                lists = pc.ascii_split_whitespace(lower)
             coded = lists.flatten().dictionary_encode()
             if len(seen) >= most // 2:
-                seen, older = {"": -1}, seen
-            place = np.array([seen[t] if t in seen else bucket(t) for t in coded.dictionary.to_pylist()], np.int64)
+                seen, older = {b"": -1}, seen
+            words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+            known = map(seen.get, words)
+            place = np.array([bucket(t) if p is None else p for t, p in zip(words, known)], np.int64)
             place = place[coded.indices.to_numpy()] if len(coded) else place
             text = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
             real = place >= 0

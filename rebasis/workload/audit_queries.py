@@ -61,9 +61,11 @@ def _text_ranked(spark: SparkSession, sf: str, encoder: E.Encoder = ENCODER) ->
 
 def _text_graded(spark: SparkSession, sf: str) -> DataFrame:
     labels = st.table(spark, sf, "labels").select("doc_id", "quality")
-    return st.contained(spark, sf).join(labels, "doc_id", "left").select(
+    graded = st.contained(spark, sf).join(labels, "doc_id", "left").select(
         "item_id", "doc_id", (F.coalesce("quality", F.lit(0)) + 1).alias("rel")
     )
+    # as raw_qrels: ideal and gained sums would each search the texts again
+    return stored(graded, "graded")
 
 
 @query(S.with_(_TEXT_RANKED) + "SELECT item_id, rank, doc_id, score FROM ranked")

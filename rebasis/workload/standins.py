@@ -48,14 +48,14 @@ def contained(spark: SparkSession, sf: str) -> DataFrame:
     """(item_id, doc_id) where the document contains the passage.
 
     A contained passage brings its second to fourth words along as whole words,
-    so documents and passages meet on word triples before they are compared.
+    so documents and passages meet on hashed word triples before they are compared.
     """
     docs, items = texts(spark, sf), table(spark, sf, "benchmark")
 
     def triples(words):
         return F.transform(
             F.sequence(F.lit(1), F.size(words) - 2),
-            lambda i: F.concat_ws(" ", *(F.get(words, i - 1 + n) for n in range(3))),
+            lambda i: F.xxhash64(*(F.get(words, i - 1 + n) for n in range(3))),
         )
 
     words = let(
@@ -64,7 +64,7 @@ def contained(spark: SparkSession, sf: str) -> DataFrame:
     )
     if short := items.where(F.size(F.split("text", " ")) < 5).count():
         raise ValueError(f"{short} passages have fewer than five words and would not be found")
-    anchors = items.select("item_id", F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("g"))
+    anchors = items.select("item_id", F.xxhash64(*(F.get(F.split("text", " "), n) for n in (1, 2, 3))).alias("g"))
     met = docs.select("doc_id", F.explode(words).alias("g")).join(anchors, "g")
     return (
         met.select("item_id", "doc_id")
