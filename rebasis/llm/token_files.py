@@ -54,7 +54,8 @@ END_ID = 1
 CACHE_WORDS = 350_000
 GROUP_BYTES = 1 << 23
 # Letters that lower-case and normalise one by one, in UTF-8, then marks the tokenizer parts from letters.
-PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?%$#&*|]{0,8})")
+LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+PLAIN = re.compile(rb"([A-Za-z]+(?:%b[A-Za-z]*)*|(?:%b[A-Za-z]*)+)([.,;:!?%%$#&*|]{0,8})" % (LATIN, LATIN))
 # byte-level vocabularies show a byte as itself if it is printable, else as the next free character from 256
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
@@ -95,7 +96,7 @@ class WordEncoder:
         return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def learn(self, words: list[bytes]) -> None:
-        known, older, marked, plain = self.known, self.older, self.marks, PLAIN.fullmatch
+        known, older, marked, plain, stem_ids = self.known, self.older, self.marks, PLAIN.fullmatch, self.stem_ids
         ask: list[bytes] = []
         for word in words:
             if word.isalpha():  # ASCII letters alone, as most words are
@@ -106,13 +107,15 @@ class WordEncoder:
             else:
                 stem, marks = found.groups()
                 stem = stem.lower()
-            ids = known.get(stem) or older.get(stem) or self.stem_ids(stem)
-            known[stem] = ids
+            ids = known.get(stem)
+            if ids is None:
+                ids = known[stem] = older.get(stem) or stem_ids(stem)
             if marks:
                 if marks not in marked:
                     marked[marks] = self.library([marks])[0]
                 ids += marked[marks]
-            known[word] = ids
+            if stem != word:
+                known[word] = ids
         known.update(zip(ask, self.library(ask)))
 
     def rest(self) -> None:
@@ -202,7 +205,8 @@ def repair(ids: np.ndarray, rounds: int | None = ROUNDS, min_uses: int = MIN_USE
     """
     n = len(ids)
     seq = np.append(ids.astype(np.uint32), np.uint32(0))
-    kind = np.int32 if n < (1 << 31) - 2 else np.int64
+    # links of the machine's own width index fastest; those of a very long sequence are kept narrow
+    kind = np.int32 if 1 << 24 < n < (1 << 31) - 2 else np.intp
     after, before = np.arange(1, n + 2, dtype=kind), np.arange(-1, n, dtype=kind)
     gone = np.zeros(n + 1, bool)
     gone[n] = True
@@ -216,16 +220,20 @@ def repair(ids: np.ndarray, rounds: int | None = ROUNDS, min_uses: int = MIN_USE
         pairs = (seq[at].astype(np.uint64) << np.uint64(24)) | seq[after[at]]
         # of a run of one symbol every second pair counts
         same = np.zeros(len(at), bool)
-        same[1:] = (pairs[1:] == pairs[:-1]) & (after[at[:-1]] == at[1:])
+        alike = np.flatnonzero(pairs[1:] == pairs[:-1])
+        same[alike[after[at[alike]] == at[alike + 1]] + 1] = True
         odd = np.zeros(len(at), bool)
         if same.any():
             order = np.arange(len(at))
             odd = ((order - np.maximum.accumulate(np.where(same, 0, order))) & 1) == 1
-        free = np.flatnonzero(~odd)
-        places, codes, counts = frequent(pairs[free], min_uses)
+        if odd.any():
+            free = np.flatnonzero(~odd)
+            places, codes, counts = frequent(pairs[free], min_uses)
+            places = free[places]
+        else:
+            places, codes, counts = frequent(pairs, min_uses)
         if not len(counts):
             break
-        places = free[places]
         code = np.full(len(at), -1, np.int64)
         code[places] = codes
         value = np.zeros(len(counts), np.uint64)

@@ -135,3 +135,22 @@ def test_words_of_plain_letters_skip_the_pattern(tokenizer, monkeypatch):
     want = [tokenizer.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
     assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
     assert sorted(counted.seen) == sorted(w.encode() for w in ["", "marks,", "too!", "naïve", "42", "Ünder"])
+
+
+def test_new_words_are_stored_once(tokenizer):
+    """A stem is not stored again for each word that has it, nor a word that is its own stem twice."""
+    stored = []
+
+    class Known(dict):
+        def __setitem__(self, word, ids):
+            stored.append(word)
+            super().__setitem__(word, ids)
+
+    encode = t.WordEncoder()
+    encode.known = Known()
+    words = [b"forlyened", b"forlyened,", b"Forlyened", b"\xc3\xbcber.", b"42", b""]
+    encode.learn(words)
+    assert sorted(stored) == sorted([b"forlyened", b"forlyened,", b"Forlyened", b"\xc3\xbcber", b"\xc3\xbcber."])
+    for word in words:
+        want = tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        assert np.frombuffer(encode.known[word], np.uint32).tolist() == want
