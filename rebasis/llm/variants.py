@@ -21,7 +21,7 @@ code point) are found without comparing all pairs:
    the edit leaves alone keep their start, or move by the difference of the lengths if they lie
    behind it. The lists of the prefix grams, per gram, word length and start, are merged by a join.
    Candidates whose letters differ by more than one edit can make them, as seen in a 64-bit mask, are
-   left out; the others pass the count filter and an exact edit-distance check.
+   left out; the others pass an exact edit-distance check where they meet, and then the count filter.
 5. **The rest, exactly.** A word whose bound is 0 or less (short words, whose window covers all
    their grams) cannot be pruned by grams: it would probe with all its grams, and the lists of
    frequent grams would meet nearly whole. Pairs with such a word meet through one-deletion
@@ -67,9 +67,11 @@ FREQ_SHARE = 0.002
 
 def spelled_words(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(word, n): runs lower-cased in A-Z, one code point dropped where the hash says, counted."""
-    runs = docs.select(F.col(key).alias("_k"), F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")),
-                                                                            F.lit(RUN), 0)).alias("run"))
-    low = runs.select(F.col("_k"), F.translate("run", UPPER, LOWER).alias("low"))
+    # a text is lower-cased whole, which moves no run's ends; one of ASCII alone has no other capitals
+    given = F.coalesce(F.col(text), F.lit(""))
+    plain = F.octet_length(given) == F.char_length(given)
+    lower = F.when(plain, F.lower(given)).otherwise(F.translate(given, UPPER, LOWER))
+    low = docs.select(F.col(key).alias("_k"), F.explode(F.regexp_extract_all(lower, F.lit(RUN), 0)).alias("low"))
     h = F.crc32(F.concat(F.coalesce(F.col("_k").cast("string"), F.lit("")), F.lit(":"), F.col("low")).cast("binary"))
     at = (h % F.char_length("low")).cast("int")
     dropped = F.concat(F.col("low").substr(F.lit(1), at), F.col("low").substr(at + 2, F.lit(LONGEST)))
@@ -184,8 +186,10 @@ def near_pairs(words: DataFrame, q_min: int = Q_MIN, q_max: int = Q_MAX, share:
         F.struct(F.xxhash64("g", n, p).alias("t"), F.lit(same).alias("same")) for n, p, same in places))).alias("x")
     ).select("a", "ma", "x.t", "x.same")
     build = prefix.select(F.col("word").alias("c"), F.col("mask").alias("mc"), F.xxhash64("g", "len", "p").alias("t"))
+    one_edit = F.levenshtein("a", "c", 1) == 1
     by_grams = (probe.join(build, "t")
-                .where((F.bit_count(F.col("ma").bitwiseXOR(F.col("mc"))) <= 2) & (~F.col("same") | (F.col("a") < F.col("c"))))
+                .where((F.bit_count(F.col("ma").bitwiseXOR(F.col("mc"))) <= 2) & (~F.col("same") | (F.col("a") < F.col("c")))
+                       & one_edit)
                 .select("a", "c").distinct())
     both = idx.select(F.col("word").alias("a"), F.col("tokens").alias("ta"), F.col("b").alias("ba"))
     other = idx.select(F.col("word").alias("c"), F.col("tokens").alias("tc"), F.col("b").alias("bc"))
@@ -195,8 +199,9 @@ def near_pairs(words: DataFrame, q_min: int = Q_MIN, q_max: int = Q_MAX, share:
     keys = idx.select("word", (F.col("b") < 1).alias("loose"), F.explode(_deletions(F.col("word"))).alias("k"))
     by_deletions = (keys.where("loose").alias("x").join(keys.alias("y"), "k")
                     .where((F.col("x.word") != F.col("y.word")) & (~F.col("y.loose") | (F.col("x.word") < F.col("y.word"))))
-                    .select(F.least("x.word", "y.word").alias("a"), F.greatest("x.word", "y.word").alias("c")).distinct())
-    pairs = checked.unionByName(by_deletions).distinct().where(F.levenshtein("a", "c", 1) == 1)
+                    .select(F.least("x.word", "y.word").alias("a"), F.greatest("x.word", "y.word").alias("c"))
+                    .where(one_edit))
+    pairs = checked.unionByName(by_deletions).distinct()
     return pairs.select(F.col("a").alias("word"), F.col("c").alias("other")).unionByName(
         pairs.select(F.col("c").alias("word"), F.col("a").alias("other")))
 

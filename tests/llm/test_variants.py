@@ -145,3 +145,24 @@ def test_letter_mask_of_one_edit():
         i, c = rnd.randrange(len(w)), rnd.choice("abcdefgéÿzü")
         for o in (w[:i] + c + w[i:], w[:i] + c + w[i + 1:], w[:i] + w[i + 1:]):
             assert ((v.letter_mask(w) ^ v.letter_mask(o)) & (1 << 64) - 1).bit_count() <= 2
+
+
+def test_candidates_are_checked_where_they_meet(spark):
+    """The exact one-edit check stands in the joins, before candidates are shuffled to their grams."""
+    words = spark.createDataFrame([(w, 3) for w in ("internal", "internall", "xinternal", "external", "intrenal")],
+                                  "word string, n long")
+    near = v.near_pairs(words)
+    plan = near._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Join Inner" in line and "levenshtein" in line for line in plan) >= 2
+    got = {tuple(r) for r in near.collect()}
+    assert got == {("internal", "internall"), ("internall", "internal"), ("internal", "xinternal"), ("xinternal", "internal")}
+
+
+def test_only_ascii_capitals_are_lowered(spark):
+    """In texts of ASCII alone and in others, also where a character's lower case is no single one."""
+    rows = [(1, "WORDSOFASCII WordsOfAscii"), (2, "ÄRGERLICH äRGERLICH ÄRGERLICH İSTANBULCITY"), (3, None), (4, "STANBULCITY")]
+    runs = [(k, lower_az(r)) for k, text in rows for r in re.findall(v.RUN, text or "")]
+    want = Counter(r if (h := zlib.crc32(f"{k}:{r}".encode())) % 31 else r[: h % len(r)] + r[h % len(r) + 1 :] for k, r in runs)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.word: r.n for r in v.spelled_words(docs).collect()}
+    assert got and got == {w: n for w, n in want.items() if n >= 2 and len(w) >= 7}
